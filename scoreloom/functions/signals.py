@@ -16,133 +16,128 @@ from pyspark.sql import functions as F
 
 from scoreloom import constants as K
 from scoreloom.config import RewardConfig
+from scoreloom.functions import sqltext as sql
 from scoreloom.functions import text as T
 
-Signal = Callable[[RewardConfig], Column]
+Signal = Callable[[RewardConfig], Column | str]
 
 MEASURES = (
-    "n_chars", "n_script", "think_at", "answer_at", "think_end", "answer_end", "has_tag_part_think",
-    "has_tag_part_answer", "has_keyword", "has_forbidden", "has_question_word", "is_question",
+    "n_chars", "n_script", "think_at", "answer_at", "think_end", "answer_end", "has_think_tag",
+    "has_answer_tag", "has_keyword", "has_forbidden", "has_question_word", "is_question",
 )
 
 
-def measure(
-    df: DataFrame,
-    config: RewardConfig,
-    text: str = "completion",
-    think_tags: tuple[str, str] = K.THINK_TAGS,
-    answer_tags: tuple[str, str] = K.ANSWER_TAGS,
-) -> DataFrame:
+def measure(df: DataFrame, config: RewardConfig, text: str = "completion") -> DataFrame:
     """Add the measurements every built-in signal draws on."""
-    body = T.text_or_empty(F.col(text))
+    name = sql.column(text)
+    body = f"coalesce({name}, '')"
+    (think_open, think_close), (answer_open, answer_close) = K.THINK_TAGS, K.ANSWER_TAGS
     first = df.withColumns(
         {
-            "n_chars": F.length(body),
-            "n_script": T.count_arabic(body),
-            "think_at": T.tag_start(body, think_tags[0]),
-            "answer_at": T.tag_start(body, answer_tags[0]),
-            "has_keyword": T.contains_any(body, config.keywords_to_reward),
-            "has_forbidden": T.contains_any(body, config.keywords_to_penalize),
-            "has_question_word": T.contains_any(body, config.arabic_question_words),
-            "is_question": F.endswith(T.strip(body), F.lit(K.QUESTION_MARK)),
+            "n_chars": F.expr(f"length({body})"),
+            "n_script": F.expr(script_count(body)),
+            "think_at": F.expr(f"locate({sql.text(think_open)}, {body})"),
+            "answer_at": F.expr(f"locate({sql.text(answer_open)}, {body})"),
+            "has_keyword": F.expr(T.contains_any(body, config.keywords_to_reward)),
+            "has_forbidden": F.expr(T.contains_any(body, config.keywords_to_penalize)),
+            "has_question_word": F.expr(T.contains_any(body, config.arabic_question_words)),
+            "is_question": F.expr(ends_as_question(body)),
         }
     )
     return first.withColumns(
         {
-            "think_end": T.tag_end(body, F.col("think_at"), *think_tags),
-            "answer_end": T.tag_end(body, F.col("answer_at"), *answer_tags),
-            "has_tag_part_think": (F.col("think_at") > 0) | F.contains(body, F.lit(think_tags[1])),
-            "has_tag_part_answer": (F.col("answer_at") > 0) | F.contains(body, F.lit(answer_tags[1])),
+            "think_end": F.expr(pair_end(body, "think_at", K.THINK_TAGS)),
+            "answer_end": F.expr(pair_end(body, "answer_at", K.ANSWER_TAGS)),
+            "has_think_tag": F.expr(f"think_at > 0 OR contains({body}, {sql.text(think_close)})"),
+            "has_answer_tag": F.expr(f"answer_at > 0 OR contains({body}, {sql.text(answer_close)})"),
         }
     )
 
 
-def _number(value: float) -> Column:
-    return F.lit(float(value))
+# --- measurements as SQL ----------------------------------------------------------
 
 
-def script_purity(config: RewardConfig) -> Column:
+def script_count(body: str) -> str:
+    """Characters in the Arabic blocks; pure ASCII text skips the regex."""
+    counted = f"regexp_count({body}, {sql.text(T.ARABIC_CLASS)})"
+    return f"if(octet_length({body}) = length({body}), 0, {counted})"
+
+
+def ends_as_question(body: str) -> str:
+    bare = f"trim(BOTH {sql.text(T.WHITESPACE)} FROM {body})"
+    return f"endswith({bare}, {sql.text(K.QUESTION_MARK)})"
+
+
+def pair_end(body: str, start: str, tags: tuple[str, str]) -> str:
+    """Position of the first closing tag behind the first opening one, else 0."""
+    behind = f"{start} + {len(tags[0])}"
+    return f"if({start} > 0, locate({sql.text(tags[1])}, {body}, {behind}), 0)"
+
+
+# --- scores as SQL over the measurements --------------------------------------------
+
+
+def script_purity(config: RewardConfig) -> str:
     """Reward text written in the Arabic blocks, penalise the rest by its share."""
     factor = config.arabic_penalty_factor
     if config.script_mode == "literal":
-        return _number(-factor)
-    share = F.col("n_script") / F.col("n_chars")
-    return (
-        F.when(F.col("n_chars") == 0, _number(-factor))
-        .when(F.col("n_script") == F.col("n_chars"), _number(factor / 2))
-        .when(share > 0.9, _number(factor / 4))
-        .otherwise(_number(-factor) * (_number(1) - share))
-    )
+        return sql.number(-factor)
+    return f"""CASE WHEN n_chars = 0 THEN {sql.number(-factor)}
+        WHEN n_script = n_chars THEN {sql.number(factor / 2)}
+        WHEN n_script / n_chars > {sql.number(0.9)} THEN {sql.number(factor / 4)}
+        ELSE {sql.number(-factor)} * ({sql.number(1)} - n_script / n_chars) END"""
 
 
-def length_target(config: RewardConfig) -> Column:
+def length_target(config: RewardConfig) -> str:
     """Reward lengths near the target, penalise the distance otherwise."""
-    off = F.abs(F.col("n_chars") - F.lit(config.target_length))
-    tolerance = config.target_length * 0.15
-    return (
-        F.when(F.col("n_chars") == 0, _number(-config.target_length * config.length_penalty_per_char * 2))
-        .when(off == 0, _number(config.length_positive_exact))
-        .when(
-            off <= tolerance,
-            _number(config.length_positive_close) * (_number(1) - off / _number(tolerance)),
-        )
-        .otherwise(-(_number(0.1) + off * _number(config.length_penalty_per_char)))
-    )
+    target, per_char = config.target_length, config.length_penalty_per_char
+    tolerance = target * 0.15
+    off = f"abs(n_chars - {target!r})" if isinstance(target, int) else f"abs(n_chars - {sql.number(target)})"
+    near = f"{sql.number(config.length_positive_close)} * ({sql.number(1)} - {off} / {sql.number(tolerance)})"
+    return f"""CASE WHEN n_chars = 0 THEN {sql.number(-target * per_char * 2)}
+        WHEN {off} = 0 THEN {sql.number(config.length_positive_exact)}
+        WHEN {off} <= {sql.number(tolerance)} THEN {near}
+        ELSE -({sql.number(0.1)} + {off} * {sql.number(per_char)}) END"""
 
 
-def keyword_presence(config: RewardConfig) -> Column:
-    hit = (F.col("n_chars") > 0) & F.col("has_keyword")
-    return F.when(hit, _number(config.reward_keywords_value)).otherwise(_number(0))
+def keyword_presence(config: RewardConfig) -> str:
+    value = sql.number(config.reward_keywords_value)
+    return f"if(n_chars > 0 AND has_keyword, {value}, {sql.number(0)})"
 
 
-def forbidden_absence(config: RewardConfig) -> Column:
-    hit = (F.col("n_chars") > 0) & F.col("has_forbidden")
-    return F.when(hit, _number(-config.forbidden_penalty_value)).otherwise(_number(0))
+def forbidden_absence(config: RewardConfig) -> str:
+    value = sql.number(-config.forbidden_penalty_value)
+    return f"if(n_chars > 0 AND has_forbidden, {value}, {sql.number(0)})"
 
 
-def question_words(config: RewardConfig) -> Column:
+def question_words(config: RewardConfig) -> str:
     """Penalise question words, unless the text itself is a question."""
-    hit = (F.col("n_chars") > 0) & ~F.col("is_question") & F.col("has_question_word")
-    return F.when(hit, _number(-config.q_words_penalty_value)).otherwise(_number(0))
+    value = sql.number(-config.q_words_penalty_value)
+    return f"if(n_chars > 0 AND NOT is_question AND has_question_word, {value}, {sql.number(0)})"
 
 
-def tag_structure(config: RewardConfig) -> Column:
+def tag_structure(config: RewardConfig) -> str:
     """Reward a complete think pair before a complete answer pair.
 
     A pair is broken when one of its tags occurs without making it complete.
     """
     reward, penalty = config.think_answer_reward_value, config.think_answer_penalty_value
-    think, answer = F.col("think_end") > 0, F.col("answer_end") > 0
-    broken = sum(
-        (
-            F.when(part & ~whole, _number(penalty)).otherwise(_number(0))
-            for part, whole in (
-                (F.col("has_tag_part_think"), think),
-                (F.col("has_tag_part_answer"), answer),
-            )
-        ),
-        start=_number(0),
-    )
-    pairs = (
-        F.when(
-            think & answer,
-            F.when(
-                F.col("think_at") > F.col("answer_at"),
-                _number(reward + config.think_answer_order_penalty),
-            ).otherwise(_number(reward)),
-        )
-        .when(think | answer, _number(penalty / 2))
-        .otherwise(_number(0))
-    )
-    return broken + pairs
+    zero, broken = sql.number(0), sql.number(penalty)
+    swapped = sql.number(reward + config.think_answer_order_penalty)
+    return f"""if(has_think_tag AND think_end = 0, {broken}, {zero})
+        + if(has_answer_tag AND answer_end = 0, {broken}, {zero})
+        + CASE WHEN think_end > 0 AND answer_end > 0
+            THEN if(think_at > answer_at, {swapped}, {sql.number(reward)})
+          WHEN think_end > 0 OR answer_end > 0 THEN {sql.number(penalty / 2)}
+          ELSE {zero} END"""
 
 
 @dataclass(frozen=True)
 class SignalRegistry:
     """Signals by name, in the order their weighted terms are added.
 
-    A signal takes the configuration and returns a column over the measurements
-    and any other column of the scored table. Its weight is looked up by name.
+    A signal takes the configuration and returns a column, or the SQL of one, over
+    the measurements and any other column of the scored table. Its weight is looked up by name.
     """
 
     signals: Mapping[str, Signal]
@@ -159,15 +154,17 @@ class SignalRegistry:
         missing = [name for name in self.signals if name not in config.weights]
         if missing:
             raise KeyError(f"weights lack {missing}")
-        return {f"r_{name}": signal(config).cast("double") for name, signal in self}
-
-    def total(self, config: RewardConfig) -> Column:
-        """Weighted sum of the score columns, added in registry order."""
-        terms = [_number(config.weights[name]) * F.col(f"r_{name}") for name, _ in self]
-        total = terms[0]
-        for term in terms[1:]:
-            total = total + term
-        return total
+        scores = {f"r_{name}": signal(config) for name, signal in self}
+        return {
+            name: (F.expr(score) if isinstance(score, str) else score).cast("double")
+            for name, score in scores.items()
+        }
+
+    def total(self, config: RewardConfig, prefix: str = "r_") -> str:
+        """SQL of the weighted sum of the score columns, added in registry order."""
+        return " + ".join(
+            f"{sql.number(config.weights[name])} * {sql.column(prefix + name)}" for name, _ in self
+        )
 
 
 BUILT_IN = SignalRegistry(
@@ -182,13 +179,13 @@ BUILT_IN = SignalRegistry(
 )
 
 
-def clamp(total: Column, config: RewardConfig) -> Column:
-    """Bound the total; the upper bound wins if the two cross."""
+def clamp(total: str, config: RewardConfig) -> str:
+    """SQL that bounds a total; the upper bound wins if the two cross."""
     bounds = config.clamp_rewards
     if not bounds:
         return total
     if bounds["min"] is not None:
-        total = F.greatest(_number(bounds["min"]), total)
+        total = f"greatest({sql.number(bounds['min'])}, {total})"
     if bounds["max"] is not None:
-        total = F.least(_number(bounds["max"]), total)
+        total = f"least({sql.number(bounds['max'])}, {total})"
     return total

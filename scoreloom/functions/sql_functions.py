@@ -1,110 +1,72 @@
 """The signals as SQL functions.
 
 Temporary SQL functions expand into the plan of the calling query, so scoring
-from SQL is as visible to the optimizer as scoring from Python.
+from SQL is as visible to the optimizer as scoring from Python. The functions
+are the same SQL the column form uses: the parameters of a score function carry
+the names of the measurements it reads.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import SparkSession
 
 from scoreloom import constants as K
 from scoreloom.config import DEFAULT, RewardConfig
+from scoreloom.functions import signals as S
+from scoreloom.functions import sqltext as sql
 from scoreloom.functions import text as T
 
 
-def _text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _num(value: float) -> str:
-    return f"CAST({float(value)!r} AS DOUBLE)"
-
-
-def _any_of(words: Sequence[str]) -> str:
-    return "(" + " OR ".join(f"contains(txt, {_text(w)})" for w in words) + ")" if words else "FALSE"
-
-
 def definitions(config: RewardConfig = DEFAULT, prefix: str = "reward_") -> dict[str, str]:
     """Function bodies by signature, in the order they have to be created."""
-    target, per_char = config.target_length, config.length_penalty_per_char
-    tolerance = target * 0.15
-    factor = config.arabic_penalty_factor
-    penalty = config.think_answer_penalty_value
-    (t_open, t_close), (a_open, a_close) = K.THINK_TAGS, K.ANSWER_TAGS
-
-    bodies = {
-        f"{prefix}strip(txt STRING) RETURNS STRING": f"trim(BOTH {_text(T.WHITESPACE)} FROM txt)",
-        f"{prefix}length_score(n INT) RETURNS DOUBLE": (
-            f"CASE WHEN n = 0 THEN {_num(-target * per_char * 2)}"
-            f" WHEN n = {target} THEN {_num(config.length_positive_exact)}"
-            f" WHEN abs(n - {target}) <= {_num(tolerance)} THEN {_num(config.length_positive_close)}"
-            f" * (1 - abs(n - {target}) / {_num(tolerance)})"
-            f" ELSE -({_num(0.1)} + abs(n - {target}) * {_num(per_char)}) END"
-        ),
-        f"{prefix}script_score(n INT, arabic INT) RETURNS DOUBLE": (
-            f"CASE WHEN n = 0 THEN {_num(-factor)} WHEN arabic = n THEN {_num(factor / 2)}"
-            f" WHEN arabic / n > {_num(0.9)} THEN {_num(factor / 4)}"
-            f" ELSE {_num(-factor)} * (1 - arabic / n) END"
-            if config.script_mode == "ranges"
-            else _num(-factor)
-        ),
-        f"{prefix}pair_end(txt STRING, start INT, opening STRING, closing STRING) RETURNS INT": (
-            "CASE WHEN start > 0 THEN locate(closing, txt, start + length(opening)) ELSE 0 END"
-        ),
-        f"{prefix}pair_score(think_at INT, think_end INT, answer_at INT, answer_end INT,"
-        " think_part BOOLEAN, answer_part BOOLEAN) RETURNS DOUBLE": (
-            f"if(think_part AND think_end = 0, {_num(penalty)}, {_num(0)})"
-            f" + if(answer_part AND answer_end = 0, {_num(penalty)}, {_num(0)})"
-            f" + CASE WHEN think_end > 0 AND answer_end > 0 THEN {_num(config.think_answer_reward_value)}"
-            f" + if(think_at > answer_at, {_num(config.think_answer_order_penalty)}, {_num(0)})"
-            f" WHEN think_end > 0 OR answer_end > 0 THEN {_num(penalty / 2)} ELSE {_num(0)} END"
-        ),
-        f"{prefix}length(txt STRING) RETURNS DOUBLE": f"{prefix}length_score(length(coalesce(txt, '')))",
-        f"{prefix}arabic_only(txt STRING) RETURNS DOUBLE": (
-            f"{prefix}script_score(length(coalesce(txt, '')),"
-            f" regexp_count(coalesce(txt, ''), {_text(T.ARABIC_CLASS)}))"
-        ),
-        f"{prefix}contains_keywords(txt STRING) RETURNS DOUBLE": (
-            f"if(coalesce(length(txt) > 0 AND {_any_of(config.keywords_to_reward)}, FALSE),"
-            f" {_num(config.reward_keywords_value)}, {_num(0)})"
-        ),
-        f"{prefix}not_contains_forbidden(txt STRING) RETURNS DOUBLE": (
-            f"if(coalesce(length(txt) > 0 AND {_any_of(config.keywords_to_penalize)}, FALSE),"
-            f" {_num(-config.forbidden_penalty_value)}, {_num(0)})"
+    body = "coalesce(txt, '')"
+    (think_open, think_close), (answer_open, answer_close) = K.THINK_TAGS, K.ANSWER_TAGS
+    words = {
+        "has_keyword": ("contains_keywords", S.keyword_presence, config.keywords_to_reward),
+        "has_forbidden": ("not_contains_forbidden", S.forbidden_absence, config.keywords_to_penalize),
+    }
+    out = {
+        f"{prefix}of_length(n_chars INT)": S.length_target(config),
+        f"{prefix}length(txt STRING)": f"{prefix}of_length(length({body}))",
+        f"{prefix}of_script(n_chars INT, n_script INT)": S.script_purity(config),
+        f"{prefix}arabic_only(txt STRING)": f"{prefix}of_script(length({body}), {S.script_count(body)})",
+    }
+    for measured, (name, score, entries) in words.items():
+        helper = f"{prefix}of_{name}"
+        out[f"{helper}(n_chars INT, {measured} BOOLEAN)"] = score(config)
+        out[f"{prefix}{name}(txt STRING)"] = f"{helper}(length({body}), {T.contains_any(body, entries)})"
+    out |= {
+        f"{prefix}of_question(n_chars INT, is_question BOOLEAN, has_question_word BOOLEAN)": (
+            S.question_words(config)
         ),
-        f"{prefix}question_words_not_in_answer(txt STRING) RETURNS DOUBLE": (
-            f"if(coalesce(length(txt) > 0 AND NOT endswith({prefix}strip(txt), {_text(K.QUESTION_MARK)})"
-            f" AND {_any_of(config.arabic_question_words)}, FALSE),"
-            f" {_num(-config.q_words_penalty_value)}, {_num(0)})"
+        f"{prefix}question_words_not_in_answer(txt STRING)": (
+            f"{prefix}of_question(length({body}), {S.ends_as_question(body)},"
+            f" {T.contains_any(body, config.arabic_question_words)})"
         ),
-        f"{prefix}tags_at(txt STRING, think_at INT, answer_at INT) RETURNS DOUBLE": (
-            f"{prefix}pair_score(think_at, {prefix}pair_end(txt, think_at, {_text(t_open)}, {_text(t_close)}),"
-            f" answer_at, {prefix}pair_end(txt, answer_at, {_text(a_open)}, {_text(a_close)}),"
-            f" think_at > 0 OR contains(txt, {_text(t_close)}),"
-            f" answer_at > 0 OR contains(txt, {_text(a_close)}))"
+        f"{prefix}of_tags(think_at INT, answer_at INT, think_end INT, answer_end INT,"
+        " has_think_tag BOOLEAN, has_answer_tag BOOLEAN)": S.tag_structure(config),
+        f"{prefix}of_openings(txt STRING, think_at INT, answer_at INT)": (
+            f"{prefix}of_tags(think_at, answer_at, {S.pair_end('txt', 'think_at', K.THINK_TAGS)},"
+            f" {S.pair_end('txt', 'answer_at', K.ANSWER_TAGS)},"
+            f" think_at > 0 OR contains(txt, {sql.text(think_close)}),"
+            f" answer_at > 0 OR contains(txt, {sql.text(answer_close)}))"
         ),
-        f"{prefix}think_answer_tags(txt STRING) RETURNS DOUBLE": (
-            f"{prefix}tags_at(coalesce(txt, ''), locate({_text(t_open)}, coalesce(txt, '')),"
-            f" locate({_text(a_open)}, coalesce(txt, '')))"
+        f"{prefix}think_answer_tags(txt STRING)": (
+            f"{prefix}of_openings({body}, locate({sql.text(think_open)}, {body}),"
+            f" locate({sql.text(answer_open)}, {body}))"
         ),
     }
-    total = " + ".join(f"{_num(config.weights[s])} * {prefix}{s}(txt)" for s in K.DEFAULT_WEIGHTS)
-    bounds = config.clamp_rewards
-    if bounds and bounds["min"] is not None:
-        total = f"greatest({_num(bounds['min'])}, {total})"
-    if bounds and bounds["max"] is not None:
-        total = f"least({_num(bounds['max'])}, {total})"
-    bodies[f"{prefix}total(txt STRING) RETURNS DOUBLE"] = total
-    return bodies
+    total = " + ".join(
+        f"{sql.number(config.weights[name])} * {prefix}{name}(txt)" for name, _ in S.BUILT_IN
+    )
+    out[f"{prefix}total(txt STRING)"] = S.clamp(total, config)
+    return out
 
 
 def register(spark: SparkSession, config: RewardConfig = DEFAULT, prefix: str = "reward_") -> list[str]:
     """Create the functions in the session and return their names."""
     names = []
     for signature, body in definitions(config, prefix).items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS DOUBLE RETURN {body}")
         names.append(signature.split("(")[0])
     return names

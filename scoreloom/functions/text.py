@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scoreloom import constants as K
+from scoreloom.functions import sqltext as sql
 
 
 def _members(runs) -> str:
@@ -20,9 +19,13 @@ def _char_class(runs) -> str:
     return "[" + "".join(f"\\u{first:04X}-\\u{last:04X}" for first, last in runs) + "]"
 
 
+# Java tests the ranges of a class one after another. Both classes are therefore
+# intersected with a range or two that settle most characters at the first test:
+# nothing below the Arabic blocks is Arabic, and no printable Latin, Greek,
+# Cyrillic, Hebrew or Arabic character is white space.
 WHITESPACE = _members(K.WHITESPACE_RUNS)
-WHITESPACE_CLASS = _char_class(K.WHITESPACE_RUNS)
-ARABIC_CLASS = _char_class(K.ARABIC_BLOCKS)
+WHITESPACE_CLASS = "[[^!-\\u0084\\u00A1-\\u167F]&&" + _char_class(K.WHITESPACE_RUNS) + "]"
+ARABIC_CLASS = "[[\\u0600-\\uFEFF]&&" + _char_class(K.ARABIC_BLOCKS) + "]"
 
 # beyond this many words one pass of an alternation beats a pass per word
 _LARGE_LIST = 64
@@ -39,7 +42,9 @@ def strip(text: Column) -> Column:
 
 def normalize_digits(text: Column) -> Column:
     """ASCII digits to Arabic-Indic ones; null becomes the empty string."""
-    return F.translate(text_or_empty(text), K.ASCII_DIGITS, K.ARABIC_DIGITS)
+    text = text_or_empty(text)
+    # most texts have no digit, and looking for one is cheaper than translating
+    return F.when(text.rlike("[0-9]"), F.translate(text, K.ASCII_DIGITS, K.ARABIC_DIGITS)).otherwise(text)
 
 
 def is_ascii(text: Column) -> Column:
@@ -51,17 +56,16 @@ def count_arabic(text: Column) -> Column:
     return F.when(is_ascii(text), F.lit(0)).otherwise(F.regexp_count(text, F.lit(ARABIC_CLASS)))
 
 
-def contains_any(text: Column, words: Sequence[str]) -> Column:
-    """Does the text hold any of the words as a plain substring?"""
-    if not words:
-        return F.lit(False)
+def contains_any(body: str, words: Sequence[str]) -> str:
+    """SQL test: does the text hold any of the words as a plain substring?"""
     if len(words) <= _LARGE_LIST:
-        found = reduce(or_, (F.contains(text, F.lit(word)) for word in words))
+        found = sql.contains_any(body, words)
     else:
         quoted = "|".join("\\Q" + word.replace("\\E", "\\E\\\\E\\Q") + "\\E" for word in words)
-        found = text.rlike(quoted)
-    if all(not word.isascii() for word in words):
-        return ~is_ascii(text) & found
+        found = f"{body} RLIKE {sql.text(quoted)}"
+    if words and all(not word.isascii() for word in words):
+        # pure ASCII text cannot hold any of them
+        return f"(octet_length({body}) <> length({body}) AND {found})"
     return found
 
 

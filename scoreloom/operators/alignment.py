@@ -32,7 +32,8 @@ def align_prompts(
             {prompt_position: F.lit(None).cast("bigint"), prompt: F.lit("")}
         )
     at = F.col(position)
-    target = F.floor(at / F.lit(n // p)) if n and n % p == 0 else at % F.lit(p)
+    block = F.expr(f"`{position}` div {max(n // p, 1)}")
+    target = block if n % p == 0 else at % F.lit(p)
     # Every prompt serves the same number of completions, so keys are even; only
     # a handful of prompts would leave most tasks idle. Then prompts are repeated
     # and completions spread over the repeats: at most one row per task is added.

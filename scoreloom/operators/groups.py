@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scoreloom import constants as K
 from scoreloom.config import DEFAULT, RewardConfig
+from scoreloom.functions import sqltext as sql
 from scoreloom.functions import text as T
 from scoreloom.functions.signals import BUILT_IN, SignalRegistry, clamp, measure
 from scoreloom.operators.lookup import HOT_SHARE, join_keyed
@@ -171,9 +172,16 @@ def quality_filter(
     min_script: float = 0.5,
     need_tags: bool = True,
 ) -> DataFrame:
-    """Completions that pass every check; the columns stay as they are."""
+    """Completions that pass every check; the columns stay as they are.
+
+    A filter on the measurements would be pushed below them, which means
+    measuring twice. The reason goes through a one-element list, and filters on
+    list elements stay where they are.
+    """
     measured = measure(df, config, text)
-    return measured.where(quality_reason(config, min_script, need_tags).isNull()).select(*df.columns)
+    reason = F.array(quality_reason(config, min_script, need_tags))
+    judged = measured.select(*df.columns, F.explode_outer(reason).alias("drop_reason"))
+    return judged.where(F.col("drop_reason").isNull()).drop("drop_reason")
 
 
 def quality_summary(
@@ -203,29 +211,23 @@ def component_contribution(
     All signals are aggregated in one pass; the single result row is turned
     afterwards.
     """
-    aggs: list[Column] = [
+    aggs = [
         F.count("*").alias("n_rows"),
-        F.avg((F.col("reward") != F.col("raw_reward")).cast("double")).alias("share_clamped"),
+        F.expr("avg(CAST(reward <> raw_reward AS DOUBLE)) AS share_clamped"),
     ]
+    entries = []
     for name, _ in registry:
-        score = F.col(f"r_{name}")
-        aggs += [
-            F.avg(score).alias(f"mean_{name}"),
-            F.avg(F.lit(float(config.weights[name])) * score).alias(f"weighted_{name}"),
-            F.min(score).alias(f"min_{name}"),
-            F.max(score).alias(f"max_{name}"),
-        ]
-    entry = [
-        F.struct(
-            F.lit(name).alias("component"),
-            F.col(f"mean_{name}").alias("mean_score"),
-            F.col(f"weighted_{name}").alias("mean_weighted"),
-            F.col(f"min_{name}").alias("min_score"),
-            F.col(f"max_{name}").alias("max_score"),
+        score = sql.column(f"r_{name}")
+        weighted = f"{sql.number(config.weights[name])} * {score}"
+        stats = f"avg({score}) AS mean, avg({weighted}) AS weighted, min({score}) AS low, max({score}) AS high"
+        aggs.append(F.expr("struct(" + stats + ")").alias(f"s_{name}"))
+        of = sql.column(f"s_{name}")
+        entries.append(
+            f"named_struct('component', {sql.text(name)}, 'mean_score', {of}.mean,"
+            f" 'mean_weighted', {of}.weighted, 'min_score', {of}.low, 'max_score', {of}.high)"
         )
-        for name, _ in registry
-    ]
-    return scored.agg(*aggs).select("n_rows", "share_clamped", F.inline(F.array(*entry)))
+    turned = F.expr(f"inline(array({', '.join(entries)}))")
+    return scored.agg(*aggs).select("n_rows", "share_clamped", turned)
 
 
 def config_sweep(
@@ -254,22 +256,15 @@ def _sweep_family(df: DataFrame, family: Mapping[str, RewardConfig], text: str)
     measured = measure(df.select(text), next(iter(family.values())), text)
     scores, totals, entries = {}, {}, []
     for i, (name, config) in enumerate(family.items()):
-        columns = BUILT_IN.columns(config)
-        scores.update({f"s{i}_{c}": column for c, column in columns.items()})
-        terms = [F.lit(float(config.weights[s])) * F.col(f"s{i}_r_{s}") for s, _ in BUILT_IN]
-        total = terms[0]
-        for term in terms[1:]:
-            total = total + term
-        totals[f"t{i}"] = total
-        bounded = clamp(F.col(f"t{i}"), config)
+        scores.update({f"s{i}_{c}": column for c, column in BUILT_IN.columns(config).items()})
+        totals[f"t{i}"] = F.expr(BUILT_IN.total(config, f"s{i}_r_"))
+        bounded = clamp(f"t{i}", config)
         entries.append(
-            F.struct(
-                F.lit(name).alias("config_id"),
-                bounded.alias("reward"),
-                (bounded != F.col(f"t{i}")).cast("double").alias("clamped"),
-            )
+            f"named_struct('config_id', {sql.text(name)}, 'reward', {bounded},"
+            f" 'clamped', CAST({bounded} <> t{i} AS DOUBLE))"
         )
-    rows = measured.withColumns(scores).withColumns(totals).select(F.inline(F.array(*entries)))
+    rows = measured.withColumns(scores).withColumns(totals)
+    rows = rows.select(F.expr(f"inline(array({', '.join(entries)}))"))
     return rows.groupBy("config_id").agg(*_reward_stats(), F.avg("clamped").alias("share_clamped"))
 
 
@@ -283,14 +278,16 @@ def lexicon_coverage(
     words = [(name, word) for name, entries in lexicon.items() for word in entries]
     if not words:
         raise ValueError("the lexicon is empty")
-    body = T.text_or_empty(F.col(text))
-    hits = [F.count_if(F.contains(body, F.lit(word))).alias(f"w{i}") for i, (_, word) in enumerate(words)]
-    entry = [
-        F.struct(F.lit(name).alias("list"), F.lit(word).alias("word"), F.col(f"w{i}").alias("n_hits"))
-        for i, (name, word) in enumerate(words)
+    body = f"coalesce({sql.column(text)}, '')"
+    hits = [
+        F.expr(f"count_if(contains({body}, {sql.text(word)})) AS w{i}") for i, (_, word) in enumerate(words)
     ]
+    entries = ", ".join(
+        f"named_struct('list', {sql.text(name)}, 'word', {sql.text(word)}, 'n_hits', w{i})"
+        for i, (name, word) in enumerate(words)
+    )
     totals = df.agg(F.count("*").alias("n_rows"), *hits)
-    return totals.select("n_rows", F.inline(F.array(*entry))).select(
+    return totals.select("n_rows", F.expr(f"inline(array({entries}))")).select(
         "list", "word", "n_hits", (F.col("n_hits") / F.col("n_rows")).alias("share")
     )
 

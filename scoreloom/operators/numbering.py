@@ -157,4 +157,4 @@ def number_blocks(
         raise ValueError("block size must be positive")
     ranges = cut_ranges(keyed_by or df, keys, size, rows_per_range)
     numbered = number_rows(df, ranges, "row_no", first=0)
-    return numbered.withColumn(name, F.floor(F.col("row_no") / F.lit(size)).cast("bigint"))
+    return numbered.withColumn(name, F.expr(f"row_no div {size}"))

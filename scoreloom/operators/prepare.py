@@ -21,22 +21,16 @@ def with_defaults(df: DataFrame, columns: tuple[str, ...] = INSTRUCTION_COLUMNS)
 # --- column expressions -----------------------------------------------------------
 
 
-def user_query(
-    instruction: Column,
-    context: Column,
-    separator: str = K.CONTEXT_SEPARATOR,
-    normalize: bool = True,
-) -> Column:
+def joined_query(instruction: Column, context: Column, separator: str = K.CONTEXT_SEPARATOR) -> Column:
     """Context, separator, instruction; without a usable context the instruction alone.
 
     A blank context does not count, a usable one goes in unstripped. Nulls count
     as empty strings.
     """
     instruction, context = T.text_or_empty(instruction), T.text_or_empty(context)
-    joined = F.when(
+    return F.when(
         T.strip(context) != "", F.concat(context, F.lit(separator), instruction)
     ).otherwise(instruction)
-    return T.strip(T.normalize_digits(joined) if normalize else joined)
 
 
 def reasoning_part(answer: Column, marker: str = K.ANSWER_MARKER) -> Column:
@@ -74,9 +68,12 @@ def message_list(*turns: tuple[str, Column]) -> Column:
 def add_user_query(
     df: DataFrame, separator: str = K.CONTEXT_SEPARATOR, normalize: bool = True, name: str = "user_query"
 ) -> DataFrame:
-    df = with_defaults(df)
-    query = user_query(F.col("instruction"), F.col("context"), separator, normalize)
-    return df.withColumn(name, query)
+    df = with_defaults(df).withColumn(
+        name, joined_query(F.col("instruction"), F.col("context"), separator)
+    )
+    # a step of its own: the digits of a text are looked for before they are translated
+    digits = T.normalize_digits(F.col(name)) if normalize else F.col(name)
+    return df.withColumn(name, T.strip(digits))
 
 
 def add_answer_parts(df: DataFrame) -> DataFrame:
@@ -98,6 +95,16 @@ def message_dataset(df: DataFrame, system: str = K.SYSTEM_PROMPT) -> DataFrame:
     return full.select(*raw.columns, messages.alias("messages"))
 
 
+def message_rows(messages: DataFrame, key: str = "ex_id") -> DataFrame:
+    """One row per message: key, position from 0, role, content.
+
+    The outer form keeps the optimizer from testing the list for emptiness in a
+    filter of its own, which would build every message twice.
+    """
+    turns = messages.select(key, F.posexplode_outer("messages").alias("pos", "turn"))
+    return turns.select(key, "pos", "turn.role", "turn.content")
+
+
 def training_text(df: DataFrame, template: Template | str = CHATML, system: str = K.SYSTEM_PROMPT) -> DataFrame:
     """Raw columns plus ``text``: the three turns as the template writes them."""
     raw = with_defaults(df)

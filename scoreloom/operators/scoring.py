@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.config import DEFAULT, RewardConfig
+from scoreloom.functions import sqltext as sql
 from scoreloom.functions.signals import BUILT_IN, MEASURES, SignalRegistry, clamp, measure
 
 
@@ -22,8 +23,8 @@ def score_completions(
     An empty table stays empty, with the full schema.
     """
     scored = measure(df, config, text).withColumns(registry.columns(config))
-    scored = scored.withColumn("raw_reward", registry.total(config))
-    scored = scored.withColumn("reward", clamp(F.col("raw_reward"), config))
+    scored = scored.withColumn("raw_reward", F.expr(registry.total(config)))
+    scored = scored.withColumn("reward", F.expr(clamp("raw_reward", config)))
     return scored if keep_measures else scored.drop(*MEASURES)
 
 
@@ -39,14 +40,9 @@ def component_log(
     registry: SignalRegistry = BUILT_IN,
 ) -> DataFrame:
     """Long form of the score columns: one row per completion and signal."""
-    entries = F.array(
-        *(
-            F.struct(
-                F.lit(name).alias("component"),
-                F.col(f"r_{name}").alias("score"),
-                (F.lit(float(config.weights[name])) * F.col(f"r_{name}")).alias("weighted"),
-            )
-            for name, _ in registry
-        )
+    entries = ", ".join(
+        f"named_struct('component', {sql.text(name)}, 'score', {sql.column('r_' + name)},"
+        f" 'weighted', {sql.number(config.weights[name])} * {sql.column('r_' + name)})"
+        for name, _ in registry
     )
-    return scored.select(*ids, F.inline(entries))
+    return scored.select(*ids, F.expr(f"inline(array({entries}))"))

@@ -31,9 +31,9 @@ def build_vocab(
     if not specials:
         raise ValueError("at least one special token is needed, it marks padding")
     pieces = staged(
-        df.select(F.explode(T.words_of(F.col(text))).alias("piece"))
-        .distinct()
-        .where(~F.col("piece").isin(*specials)),
+        df.select(F.explode_outer(T.words_of(F.col(text))).alias("piece"))
+        .where(~F.col("piece").isin(*specials))
+        .distinct(),
         "vocab-pieces",
     )
     ranges = cut_ranges(pieces, ["piece"], rows_per_range=rows_per_range)
@@ -67,12 +67,12 @@ def encode(
         key, "pos", F.coalesce("word", F.lit("")).alias("piece")
     )
     found = left_lookup(tokens, vocab.select("piece", "token_id"), "piece", ("piece",), small)
-    entry = F.when(
-        F.col("pos").isNotNull(),
-        F.struct("pos", F.coalesce("token_id", F.lit(unknown_id)).cast("int").alias("id")),
-    )
-    ordered = F.array_sort(F.collect_list(entry))
-    return found.groupBy(key).agg(F.transform(ordered, lambda e: e["id"]).alias("input_ids"))
+    # position and id share one bigint: a quarter of the bytes of a struct to
+    # exchange, and the lists sort as plain numbers
+    packed = F.shiftleft(F.col("pos").cast("bigint"), 32) + F.coalesce("token_id", F.lit(unknown_id))
+    ordered = F.sort_array(F.collect_list(packed))
+    unpacked = F.transform(ordered, lambda e: e.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
+    return found.groupBy(key).agg(unpacked.alias("input_ids"))
 
 
 def tokenize_with(
@@ -102,13 +102,15 @@ def pad_batches(
     key: str = "ex_id",
     by_length: bool = False,
     label_pad: int = K.LABEL_PAD,
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int = ROWS_PER_RANGE // 5,
 ) -> DataFrame:
     """Batches of consecutive rows, padded to the longest row of the batch.
 
     ``by_length`` orders rows by length before batching, so a batch holds rows
     of about one length. Ids are padded with ``pad_id``, masks with 0 and labels
     with ``label_pad``. Rows are exchanged once: batches never straddle a range.
+    Their keys are read ahead to cut the ranges, so ``rows`` should be a stored
+    table.
     """
     sized = rows.withColumn("n_tokens", F.size("input_ids"))
     keys = ["n_tokens", key] if by_length else [key]

@@ -96,8 +96,7 @@ def sft_messages(spark, sf):
     built = prepare.prepare(
         instructions(spark, sf), for_rl=False, template=CHATML, max_seq_length=K.MAX_SEQUENCE
     )
-    turns = built.select("ex_id", F.posexplode("messages").alias("pos", "turn"))
-    return turns.select("ex_id", F.col("pos").cast("bigint").alias("pos"), "turn.role", "turn.content")
+    return prepare.message_rows(built).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.operators.conversations import turn_pairs
+from scoreloom.sources.tables import spread
 
 # the same text is read by both SQL engines
 COMPLETIONS_SQL = """
@@ -69,7 +70,7 @@ def instructions_of(conversations: DataFrame) -> DataFrame:
 
 
 def completions(spark: SparkSession, folder: str) -> DataFrame:
-    return completions_of(table(spark, folder, "documents"))
+    return completions_of(spread(table(spark, folder, "documents"), "doc_id"))
 
 
 def instructions(spark: SparkSession, folder: str) -> DataFrame:

@@ -60,6 +60,16 @@ def read_table(
     return df.where(F.col("split") == split)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core on a table stored in fewer splits than there are cores.
+
+    One row group is one split, so a small file would be scored by one task. A
+    table with enough splits is returned as it is and never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def from_columns(
     spark: SparkSession, columns: Mapping[str, Sequence], schema: T.StructType | None = None
 ) -> DataFrame:
