@@ -59,10 +59,13 @@ def reward_windows(
     """Mean reward and row count per window of event time.
 
     Tumbling windows by default, sliding ones with ``slide``, sessions with
-    ``session_gap``. Rows later than the watermark are dropped.
+    ``session_gap``. Sessions belong to something, say a training run, so they
+    need the columns to group ``by``. Rows later than the watermark are dropped.
     """
     if slide is not None and session_gap is not None:
         raise ValueError("a window either slides or follows sessions")
+    if session_gap is not None and not by:
+        raise ValueError("sessions need columns to group by")
     if session_gap is not None:
         span = F.session_window(at, session_gap)
     else:
