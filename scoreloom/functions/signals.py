@@ -31,13 +31,13 @@ def measure(df: DataFrame, config: RewardConfig, text: str = "completion") -> Da
     """Add the measurements every built-in signal draws on."""
     name = sql.column(text)
     body = f"coalesce({name}, '')"
-    (think_open, think_close), (answer_open, answer_close) = K.THINK_TAGS, K.ANSWER_TAGS
+    think_close, answer_close = K.THINK_TAGS[1], K.ANSWER_TAGS[1]
     first = df.withColumns(
         {
             "n_chars": F.expr(f"length({body})"),
             "n_script": F.expr(script_count(body)),
-            "think_at": F.expr(f"locate({sql.text(think_open)}, {body})"),
-            "answer_at": F.expr(f"locate({sql.text(answer_open)}, {body})"),
+            "think_at": F.expr(pair_start(body, K.THINK_TAGS)),
+            "answer_at": F.expr(pair_start(body, K.ANSWER_TAGS)),
             "has_keyword": F.expr(T.contains_any(body, config.keywords_to_reward)),
             "has_forbidden": F.expr(T.contains_any(body, config.keywords_to_penalize)),
             "has_question_word": F.expr(T.contains_any(body, config.arabic_question_words)),
@@ -59,13 +59,22 @@ def measure(df: DataFrame, config: RewardConfig, text: str = "completion") -> Da
 
 def script_count(body: str) -> str:
     """Characters in the Arabic blocks; pure ASCII text skips the regex."""
-    counted = f"regexp_count({body}, {sql.text(T.ARABIC_CLASS)})"
+    # joined runs: far fewer matches to collect than one per character
+    runs = f"regexp_extract_all({body}, {sql.text(T.ARABIC_CLASS + '++')}, 0)"
+    counted = f"length(array_join({runs}, ''))"
     return f"if(octet_length({body}) = length({body}), 0, {counted})"
 
 
 def ends_as_question(body: str) -> str:
+    mark = sql.text(K.QUESTION_MARK)
     bare = f"trim(BOTH {sql.text(T.WHITESPACE)} FROM {body})"
-    return f"endswith({bare}, {sql.text(K.QUESTION_MARK)})"
+    return f"(contains({body}, {mark}) AND endswith({bare}, {mark}))"
+
+
+def pair_start(body: str, tags: tuple[str, str]) -> str:
+    """Position of the first opening tag, else 0. Looking for bytes comes first."""
+    opening = sql.text(tags[0])
+    return f"if(contains({body}, {opening}), locate({opening}, {body}), 0)"
 
 
 def pair_end(body: str, start: str, tags: tuple[str, str]) -> str:

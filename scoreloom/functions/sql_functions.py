@@ -20,7 +20,7 @@ from scoreloom.functions import text as T
 def definitions(config: RewardConfig = DEFAULT, prefix: str = "reward_") -> dict[str, str]:
     """Function bodies by signature, in the order they have to be created."""
     body = "coalesce(txt, '')"
-    (think_open, think_close), (answer_open, answer_close) = K.THINK_TAGS, K.ANSWER_TAGS
+    think_close, answer_close = K.THINK_TAGS[1], K.ANSWER_TAGS[1]
     words = {
         "has_keyword": ("contains_keywords", S.keyword_presence, config.keywords_to_reward),
         "has_forbidden": ("not_contains_forbidden", S.forbidden_absence, config.keywords_to_penalize),
@@ -52,8 +52,8 @@ def definitions(config: RewardConfig = DEFAULT, prefix: str = "reward_") -> dict
             f" answer_at > 0 OR contains(txt, {sql.text(answer_close)}))"
         ),
         f"{prefix}think_answer_tags(txt STRING)": (
-            f"{prefix}of_openings({body}, locate({sql.text(think_open)}, {body}),"
-            f" locate({sql.text(answer_open)}, {body}))"
+            f"{prefix}of_openings({body}, {S.pair_start(body, K.THINK_TAGS)},"
+            f" {S.pair_start(body, K.ANSWER_TAGS)})"
         ),
     }
     total = " + ".join(

@@ -51,13 +51,12 @@ def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.length(text)
 
 
-def count_arabic(text: Column) -> Column:
-    """Characters in the Arabic blocks. Pure ASCII text skips the regex."""
-    return F.when(is_ascii(text), F.lit(0)).otherwise(F.regexp_count(text, F.lit(ARABIC_CLASS)))
-
-
 def contains_any(body: str, words: Sequence[str]) -> str:
-    """SQL test: does the text hold any of the words as a plain substring?"""
+    """SQL test: does the text hold any of the words as a plain substring?
+
+    A word that holds another word of the list adds nothing and is left out.
+    """
+    words = [w for i, w in enumerate(words) if not any(o in w and (o != w or j < i) for j, o in enumerate(words))]
     if len(words) <= _LARGE_LIST:
         found = sql.contains_any(body, words)
     else:

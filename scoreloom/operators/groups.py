@@ -11,7 +11,7 @@ from scoreloom import constants as K
 from scoreloom.config import DEFAULT, RewardConfig
 from scoreloom.functions import sqltext as sql
 from scoreloom.functions import text as T
-from scoreloom.functions.signals import BUILT_IN, SignalRegistry, clamp, measure
+from scoreloom.functions.signals import BUILT_IN, SignalRegistry, clamp, measure, script_count
 from scoreloom.operators.lookup import HOT_SHARE, join_keyed
 from scoreloom.operators.numbering import RANGE, ROWS_PER_RANGE, number_blocks
 from scoreloom.operators.quantiles import quantiles
@@ -294,9 +294,9 @@ def lexicon_coverage(
 
 def script_profile(df: DataFrame, by: Sequence[str], text: str = "text") -> DataFrame:
     """Share of Arabic characters per group, over all characters and per text."""
+    body = f"coalesce({sql.column(text)}, '')"
     measured = df.select(
-        *by, F.length(T.text_or_empty(F.col(text))).alias("n"),
-        T.count_arabic(T.text_or_empty(F.col(text))).alias("arabic"),
+        *by, F.expr(f"length({body}) AS n"), F.expr(f"{script_count(body)} AS arabic")
     ).withColumn("ratio", F.when(F.col("n") > 0, F.col("arabic") / F.col("n")).otherwise(F.lit(0.0)))
     return measured.groupBy(*by).agg(
         F.count("*").alias("n_rows"),

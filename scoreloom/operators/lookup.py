@@ -25,10 +25,13 @@ def join_keyed(rows: DataFrame, table: DataFrame, key: str, counts: str, share:
     table rows and are never shuffled; the others are shuffled by key, where no
     key is large enough to unbalance a task.
     """
-    hot = hot_keys(table, key, counts, share)
-    near = rows.join(F.broadcast(hot), key)
-    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key)
-    return near.unionByName(far)
+    # null keys form a group of their own, as they do in an aggregate
+    partner = table.withColumnRenamed(key, "partner_key")
+    hot = F.broadcast(hot_keys(partner, "partner_key", counts, share))
+    same = rows[key].eqNullSafe(F.col("partner_key"))
+    near = rows.join(hot, same)
+    far = rows.join(hot.select("partner_key"), same, "left_anti").join(partner, same)
+    return near.unionByName(far).drop("partner_key")
 
 
 def fits_broadcast(table: DataFrame, text_columns: tuple[str, ...]) -> bool:
