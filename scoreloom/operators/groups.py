@@ -12,7 +12,7 @@ from scoreloom.config import DEFAULT, RewardConfig
 from scoreloom.functions import sqltext as sql
 from scoreloom.functions import text as T
 from scoreloom.functions.signals import BUILT_IN, SignalRegistry, clamp, measure, script_count
-from scoreloom.operators.lookup import HOT_SHARE, join_keyed
+from scoreloom.operators.lookup import HOT_SHARE, join_groups, join_keyed
 from scoreloom.operators.numbering import RANGE, ROWS_PER_RANGE, number_blocks
 from scoreloom.operators.quantiles import quantiles
 from scoreloom.staging import staged
@@ -149,7 +149,7 @@ def evaluation_report(
         *((F.sum(name) / total).alias(f"share_{name}") for name in flags),
     )
     names = [f"p{round(q * 100):02d}_reward" for q in at]
-    return shares.join(quantiles(counted, [by], "reward", "n", at, names), by)
+    return join_groups(shares, quantiles(counted, [by], "reward", "n", at, names), [by])
 
 
 def quality_reason(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,13 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on grouping columns, where a null group meets the null group."""
+    renamed = right.withColumnsRenamed({k: f"right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"right_{k}")) for k in keys]
+    return left.join(renamed, same).drop(*(f"right_{k}" for k in keys))
+
+
 def hot_keys(counts: DataFrame, key: str, rows: str, share: float = HOT_SHARE) -> DataFrame:
     """Keys of ``counts`` holding more than ``share`` of all counted rows."""
     total = counts.agg((F.sum(rows) * F.lit(share)).alias("limit")).scalar()

@@ -20,7 +20,10 @@ from pyspark.sql import types as T
 
 RANGE = "range_no"
 ROWS_PER_RANGE = 50_000
+# never more ranges than this, nor than a few per shuffle partition: exchanges
+# into very many partitions cost more than sorting a larger range
 MAX_RANGES = 50_000
+RANGES_PER_PARTITION = 4
 
 
 @dataclass(frozen=True)
@@ -75,9 +78,10 @@ def cut_ranges(
     unit: int = 1,
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> Ranges:
-    """Find cut points for ranges of about ``rows_per_range`` rows.
+    """Find cut points for ranges of about ``rows_per_range`` rows, or more if
+    that would make too many ranges.
 
-    ``keys`` must be unique in total and free of nulls. With ``unit > 1`` every
+    ``keys`` must be unique in total; nulls come first. With ``unit > 1`` every
     range starts at a multiple of ``unit``, so blocks of that many consecutive
     rows never straddle two ranges. Only the key columns are read.
     """
@@ -85,7 +89,8 @@ def cut_ranges(
     types = tuple(f.dataType for f in narrow.schema.fields)
     keys = tuple(keys)
     total = narrow.count()
-    parts = min(math.ceil(total / rows_per_range), MAX_RANGES)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(math.ceil(total / rows_per_range), RANGES_PER_PARTITION * tasks, MAX_RANGES)
     if parts <= 1:
         return Ranges(keys, types, (), (0,))
     found = (
@@ -145,16 +150,14 @@ def number_blocks(
     size: int,
     name: str = "block_no",
     rows_per_range: int = ROWS_PER_RANGE,
-    keyed_by: DataFrame | None = None,
 ) -> DataFrame:
     """Number blocks of ``size`` consecutive rows, from 0.
 
     Blocks lie within one range, so grouping or windowing by ``(range_no, name)``
-    afterwards needs no further exchange. ``keyed_by`` may name a cheaper table
-    holding the same keys.
+    afterwards needs no further exchange.
     """
     if size < 1:
         raise ValueError("block size must be positive")
-    ranges = cut_ranges(keyed_by or df, keys, size, rows_per_range)
+    ranges = cut_ranges(df, keys, size, rows_per_range)
     numbered = number_rows(df, ranges, "row_no", first=0)
     return numbered.withColumn(name, F.expr(f"row_no div {size}"))

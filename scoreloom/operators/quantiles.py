@@ -1,8 +1,9 @@
 """Exact interpolated quantiles per group, without holding a group in one task.
 
 The built-in exact percentile keeps every distinct value of a group in one hash
-map. Here the distinct values are counted first, counts are summed into equal
-bins, and only the bins a quantile falls into are put in order.
+map. Here the distinct values are cut into ranges of about equal size, the row
+counts of the ranges tell which of them a quantile falls into, and only those
+are put in order.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.operators.lookup import join_groups
+from scoreloom.operators.numbering import ROWS_PER_RANGE, cut_ranges
+
 
 def quantiles(
     counts: DataFrame,
@@ -21,21 +25,20 @@ def quantiles(
     rows: str,
     at: Sequence[float],
     names: Sequence[str],
-    bins: int = 4096,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Quantiles of ``value`` where each row of ``counts`` stands for ``rows`` rows.
 
-    ``counts`` is read several times and should be a stored table.
+    ``counts`` holds each value of a group once. It is read several times and
+    should be a stored table.
     """
+    if any(math.isnan(q) or not 0 <= q <= 1 for q in at):
+        raise ValueError(f"not quantiles: {at}")
     group = list(group)
-    span = counts.agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
-    low, high = span["low"], span["high"]
-    width = (high - low) / bins if low is not None and high > low else 1.0
-    low = 0.0 if low is None else low
-    bin_no = F.least(F.floor((F.col(value) - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
-    binned = counts.select(*group, value, rows, bin_no.cast("int").alias("bin_no"))
+    ranges = cut_ranges(counts, [*group, value], rows_per_range=rows_per_range)
+    binned = counts.select(*group, value, rows, ranges.number().alias("bin_no"))
 
-    # at most ``bins`` rows per group from here on
+    # one row per group and range from here on
     whole = Window.partitionBy(*group)
     upto = whole.orderBy("bin_no").rowsBetween(Window.unboundedPreceding, -1)
     per_bin = (
@@ -65,7 +68,7 @@ def quantiles(
     inside = Window.partitionBy(*group, "bin_no").orderBy(value)
     last = F.col("ahead") + F.sum(rows).over(inside)
     values = (
-        binned.join(wanted, [*group, "bin_no"])
+        join_groups(binned, wanted, [*group, "bin_no"])
         .withColumn("last", last)
         .select(
             *group, "group_n", value,
@@ -85,8 +88,6 @@ def quantiles(
     table = values.groupBy(*group).agg(F.first("group_n").alias("group_n"), *found)
     out = []
     for i, (q, name) in enumerate(zip(at, names, strict=True)):
-        if not 0 <= q <= 1 or math.isnan(q):
-            raise ValueError(f"not a quantile: {q}")
         spot = F.lit(float(q)) * (F.col("group_n") - 1)
         below, above = F.col(f"v{i}_0"), F.col(f"v{i}_1")
         out.append((below + (spot - F.floor(spot)) * (above - below)).alias(name))

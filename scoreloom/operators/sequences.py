@@ -22,7 +22,7 @@ def build_vocab(
     df: DataFrame,
     text: str,
     specials: Sequence[str] = SPECIALS,
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int = 10 * ROWS_PER_RANGE,
 ) -> DataFrame:
     """Vocabulary of white-space tokens: ``token_id, piece, is_special``.
 

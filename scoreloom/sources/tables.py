@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FORMATS = ("parquet", "json", "orc")
+FEW_SPLITS = 8
 
 INSTRUCTION_SCHEMA = T.StructType(
     [
@@ -61,13 +62,15 @@ def read_table(
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core on a table stored in fewer splits than there are cores.
+    """Use every core on a small table stored in very few splits.
 
     One row group is one split, so a small file would be scored by one task. A
-    table with enough splits is returned as it is and never shuffled here.
+    table of more than a handful of splits is returned as it is: it is large
+    enough to keep a cluster busy, and too large to be worth an exchange.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    few = df.rdd.getNumPartitions() < min(cores, FEW_SPLITS)
+    return df.repartition(cores, key) if few else df
 
 
 def from_columns(

@@ -97,6 +97,8 @@ def test_evaluation_report(spark, samples):
     assert row["share_tags_right"] == pytest.approx(2 / 19)
     assert row["share_has_forbidden_word"] == pytest.approx(1 / 19)
     assert row["share_has_reason_word"] == pytest.approx(2 / 19)
+    nameless = groups.evaluation_report(scored.withColumn("part", F.nullif("part", F.lit("1"))), "part")
+    assert nameless.agg(F.sum("n_rows")).first()[0] == 19 and nameless.where("part IS NULL").count() == 1
 
 
 def test_contribution_adds_up(spark, samples):

@@ -101,19 +101,20 @@ def test_left_lookup_is_whole_either_way(spark, skewed):
         assert sorted(map(repr, got)) == expected
 
 
-@pytest.mark.parametrize("bins", [1, 7, 4096])
-def test_quantiles_equal_numpy(spark, bins):
+@pytest.mark.parametrize("rows_per_range", [20, 100, 100_000])
+def test_quantiles_equal_numpy(spark, rows_per_range):
     rng = np.random.default_rng(3)
     groups = {
         "normal": rng.normal(size=501), "one": np.array([4.5]), "two": np.array([1.0, 2.0]),
         "ties": rng.integers(-3, 3, size=400).astype(float), "flat": np.full(50, -5.0),
+        None: np.array([-0.0, 1e-300, 2.0]),
         "edge": np.concatenate([np.full(300, -5.0), rng.uniform(-5, 5, size=150)]),
     }
     rows = [(g, float(v)) for g, values in groups.items() for v in values]
     df = spark.createDataFrame(rows, "g string, v double")
     counts = df.groupBy("g", "v").agg(F.count("*").alias("n"))
     at = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
-    out = quantiles(counts, ["g"], "v", "n", at, [f"q{i}" for i in range(len(at))], bins)
+    out = quantiles(counts, ["g"], "v", "n", at, [f"q{i}" for i in range(len(at))], rows_per_range)
     got = {r["g"]: tuple(r)[1:] for r in out.collect()}
     for g, values in groups.items():
         assert got[g] == pytest.approx(np.quantile(values, at), abs=1e-12), g
