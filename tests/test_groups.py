@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from scoreloom.config import DEFAULT
 from scoreloom.operators import groups
 from scoreloom.operators.scoring import score_completions
+from scoreloom.sources.tables import COMPLETION_SCHEMA
 
 
 def table(spark, values):
@@ -80,10 +81,8 @@ def test_steps(spark, rows_per_range):
 
 @pytest.fixture(scope="module")
 def samples(spark, golden):
-    rows = [(i, i // 3, i % 3, g["completion"], g["source"][-1]) for i, g in enumerate(golden)]
-    return spark.createDataFrame(
-        rows, "comp_id bigint, prompt_id bigint, gen_idx int, completion string, part string"
-    )
+    rows = [(i, i // 3, i % 3, g["completion"]) for i, g in enumerate(golden)]
+    return spark.createDataFrame(rows, COMPLETION_SCHEMA)
 
 
 def test_evaluation_report(spark, samples):
@@ -97,7 +96,7 @@ def test_evaluation_report(spark, samples):
     assert row["share_tags_right"] == pytest.approx(2 / 19)
     assert row["share_has_forbidden_word"] == pytest.approx(1 / 19)
     assert row["share_has_reason_word"] == pytest.approx(2 / 19)
-    nameless = groups.evaluation_report(scored.withColumn("part", F.nullif("part", F.lit("1"))), "part")
+    nameless = groups.evaluation_report(scored.withColumn("part", F.when(F.col("comp_id") != 3, "x")), "part")
     assert nameless.agg(F.sum("n_rows")).first()[0] == 19 and nameless.where("part IS NULL").count() == 1
 
 
