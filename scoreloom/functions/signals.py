@@ -22,20 +22,23 @@ from scoreloom.functions import text as T
 Signal = Callable[[RewardConfig], Column | str]
 
 MEASURES = (
-    "n_chars", "n_script", "think_at", "answer_at", "think_end", "answer_end", "has_think_tag",
+    "text_length", "script_length", "think_at", "answer_at", "think_end", "answer_end", "has_think_tag",
     "has_answer_tag", "has_keyword", "has_forbidden", "has_question_word", "is_question",
 )
 
 
 def measure(df: DataFrame, config: RewardConfig, text: str = "completion") -> DataFrame:
     """Add the measurements every built-in signal draws on."""
+    taken = [c for c in MEASURES if c in df.columns]
+    if taken:
+        raise ValueError(f"the table has columns {taken} of its own; rename or drop them")
     name = sql.column(text)
     body = f"coalesce({name}, '')"
     think_close, answer_close = K.THINK_TAGS[1], K.ANSWER_TAGS[1]
     first = df.withColumns(
         {
-            "n_chars": F.expr(f"length({body})"),
-            "n_script": F.expr(script_count(body)),
+            "text_length": F.expr(f"length({body})"),
+            "script_length": F.expr(script_count(body)),
             "think_at": F.expr(pair_start(body, K.THINK_TAGS)),
             "answer_at": F.expr(pair_start(body, K.ANSWER_TAGS)),
             "has_keyword": F.expr(T.contains_any(body, config.keywords_to_reward)),
@@ -91,19 +94,19 @@ def script_purity(config: RewardConfig) -> str:
     factor = config.arabic_penalty_factor
     if config.script_mode == "literal":
         return sql.number(-factor)
-    return f"""CASE WHEN n_chars = 0 THEN {sql.number(-factor)}
-        WHEN n_script = n_chars THEN {sql.number(factor / 2)}
-        WHEN n_script / n_chars > {sql.number(0.9)} THEN {sql.number(factor / 4)}
-        ELSE {sql.number(-factor)} * ({sql.number(1)} - n_script / n_chars) END"""
+    return f"""CASE WHEN text_length = 0 THEN {sql.number(-factor)}
+        WHEN script_length = text_length THEN {sql.number(factor / 2)}
+        WHEN script_length / text_length > {sql.number(0.9)} THEN {sql.number(factor / 4)}
+        ELSE {sql.number(-factor)} * ({sql.number(1)} - script_length / text_length) END"""
 
 
 def length_target(config: RewardConfig) -> str:
     """Reward lengths near the target, penalise the distance otherwise."""
     target, per_char = config.target_length, config.length_penalty_per_char
     tolerance = target * 0.15
-    off = f"abs(n_chars - {target!r})" if isinstance(target, int) else f"abs(n_chars - {sql.number(target)})"
+    off = f"abs(text_length - {target!r})" if isinstance(target, int) else f"abs(text_length - {sql.number(target)})"
     near = f"{sql.number(config.length_positive_close)} * ({sql.number(1)} - {off} / {sql.number(tolerance)})"
-    return f"""CASE WHEN n_chars = 0 THEN {sql.number(-target * per_char * 2)}
+    return f"""CASE WHEN text_length = 0 THEN {sql.number(-target * per_char * 2)}
         WHEN {off} = 0 THEN {sql.number(config.length_positive_exact)}
         WHEN {off} <= {sql.number(tolerance)} THEN {near}
         ELSE -({sql.number(0.1)} + {off} * {sql.number(per_char)}) END"""
@@ -111,18 +114,18 @@ def length_target(config: RewardConfig) -> str:
 
 def keyword_presence(config: RewardConfig) -> str:
     value = sql.number(config.reward_keywords_value)
-    return f"if(n_chars > 0 AND has_keyword, {value}, {sql.number(0)})"
+    return f"if(text_length > 0 AND has_keyword, {value}, {sql.number(0)})"
 
 
 def forbidden_absence(config: RewardConfig) -> str:
     value = sql.number(-config.forbidden_penalty_value)
-    return f"if(n_chars > 0 AND has_forbidden, {value}, {sql.number(0)})"
+    return f"if(text_length > 0 AND has_forbidden, {value}, {sql.number(0)})"
 
 
 def question_words(config: RewardConfig) -> str:
     """Penalise question words, unless the text itself is a question."""
     value = sql.number(-config.q_words_penalty_value)
-    return f"if(n_chars > 0 AND NOT is_question AND has_question_word, {value}, {sql.number(0)})"
+    return f"if(text_length > 0 AND NOT is_question AND has_question_word, {value}, {sql.number(0)})"
 
 
 def tag_structure(config: RewardConfig) -> str:

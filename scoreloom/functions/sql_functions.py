@@ -26,17 +26,17 @@ def definitions(config: RewardConfig = DEFAULT, prefix: str = "reward_") -> dict
         "has_forbidden": ("not_contains_forbidden", S.forbidden_absence, config.keywords_to_penalize),
     }
     out = {
-        f"{prefix}of_length(n_chars INT)": S.length_target(config),
+        f"{prefix}of_length(text_length INT)": S.length_target(config),
         f"{prefix}length(txt STRING)": f"{prefix}of_length(length({body}))",
-        f"{prefix}of_script(n_chars INT, n_script INT)": S.script_purity(config),
+        f"{prefix}of_script(text_length INT, script_length INT)": S.script_purity(config),
         f"{prefix}arabic_only(txt STRING)": f"{prefix}of_script(length({body}), {S.script_count(body)})",
     }
     for measured, (name, score, entries) in words.items():
         helper = f"{prefix}of_{name}"
-        out[f"{helper}(n_chars INT, {measured} BOOLEAN)"] = score(config)
+        out[f"{helper}(text_length INT, {measured} BOOLEAN)"] = score(config)
         out[f"{prefix}{name}(txt STRING)"] = f"{helper}(length({body}), {T.contains_any(body, entries)})"
     out |= {
-        f"{prefix}of_question(n_chars INT, is_question BOOLEAN, has_question_word BOOLEAN)": (
+        f"{prefix}of_question(text_length INT, is_question BOOLEAN, has_question_word BOOLEAN)": (
             S.question_words(config)
         ),
         f"{prefix}question_words_not_in_answer(txt STRING)": (

@@ -6,6 +6,7 @@ body of a SQL function, and building it takes one call instead of dozens.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 
@@ -14,7 +15,8 @@ def text(value: str) -> str:
 
 
 def number(value: float) -> str:
-    return f"CAST({float(value)!r} AS DOUBLE)"
+    value = float(value)
+    return f"CAST({value!r} AS DOUBLE)" if math.isfinite(value) else f"CAST('{value!r}' AS DOUBLE)"
 
 
 def column(name: str) -> str:

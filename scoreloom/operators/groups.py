@@ -110,11 +110,11 @@ def best_of_prompt(scored: DataFrame, prompt: str = "prompt_id", comp_id: str =
 
 def checks(config: RewardConfig = DEFAULT) -> dict[str, Column]:
     """Yes/no questions of an evaluation, over measured completions."""
-    filled = F.col("n_chars") > 0
+    filled = F.col("text_length") > 0
     return {
         "is_empty": ~filled,
-        "all_script": filled & (F.col("n_script") == F.col("n_chars")),
-        "mostly_script": filled & (F.col("n_script") / F.col("n_chars") > 0.9),
+        "all_script": filled & (F.col("script_length") == F.col("text_length")),
+        "mostly_script": filled & (F.col("script_length") / F.col("text_length") > 0.9),
         "tags_right": (F.col("think_end") > 0)
         & (F.col("answer_end") > 0)
         & (F.col("think_at") < F.col("answer_at")),
@@ -158,7 +158,7 @@ def quality_reason(
     """Why a measured completion is dropped; null when it is kept."""
     passed = checks(config)
     reason = F.when(passed["is_empty"], "empty").when(
-        F.col("n_script") / F.col("n_chars") < F.lit(float(min_script)), "script"
+        F.col("script_length") / F.col("text_length") < F.lit(float(min_script)), "script"
     )
     if need_tags:
         reason = reason.when(~passed["tags_right"], "tags")

@@ -132,3 +132,10 @@ def test_staged_table_lives_in_the_shared_folder(spark):
     out = staging.staged(df, "unit")
     assert out.dtypes == df.dtypes and out.count() == 10
     assert all(staging.shared_dir(spark).removeprefix("file:") in f for f in out.inputFiles())
+
+
+def test_staged_tables_can_be_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "shared_dir", lambda session: str(tmp_path))
+    staging.staged(spark.range(3), "unit")
+    assert list(tmp_path.rglob("*.parquet"))
+    assert staging.drop_staged(spark) and not list(tmp_path.rglob("*.parquet"))

@@ -29,7 +29,7 @@ def test_golden_scores(spark, golden):
     names = {
         "length": "r_length", "arabic": "r_arabic_only", "keyword": "r_contains_keywords",
         "forbidden": "r_not_contains_forbidden", "question": "r_question_words_not_in_answer",
-        "tags": "r_think_answer_tags", "n": "n_chars", "ar": "n_script", "total_rng": "reward",
+        "tags": "r_think_answer_tags", "n": "text_length", "ar": "script_length", "total_rng": "reward",
     }
     for expected, row, lit in zip(golden, ranges, literal, strict=True):
         for key, column in names.items():
@@ -80,7 +80,7 @@ def test_script_blocks(spark):
               0xFE6F, 0xFE70, 0xFEFF, 0xFF00, 0x1F600, 0x1EE00]
     rows = measure(texts(spark, [chr(p) for p in points]), DEFAULT).orderBy("comp_id").collect()
     inside = [0x0600, 0x06FF, 0x0750, 0x077F, 0xFB50, 0xFDFF, 0xFE70, 0xFEFF]
-    assert [r["n_script"] for r in rows] == [int(p in inside) for p in points]
+    assert [r["script_length"] for r in rows] == [int(p in inside) for p in points]
 
 
 def test_words_are_substrings_and_count_once(spark):
@@ -163,6 +163,18 @@ def test_empty_table_keeps_schema(spark):
     assert {"reward", "raw_reward", *(f"r_{n}" for n, _ in BUILT_IN)} <= set(out.columns)
 
 
+def test_other_columns_stay(spark, small):
+    df = spark.read.parquet(f"{small}/documents.parquet")
+    assert score_completions(df, text="text").select(df.columns).exceptAll(df).count() == 0
+    with pytest.raises(ValueError):
+        score_completions(df.withColumn("think_at", F.lit(1)), text="text")
+
+
+def test_bounds_may_be_infinite(spark):
+    config = DEFAULT.with_(clamp_rewards={"min": float("-inf"), "max": float("inf")})
+    assert scores(spark, ["x" * 5000], config) == scores(spark, ["x" * 5000], config, "raw_reward")
+
+
 def test_one_stage_and_no_python(spark, small):
     df = spark.read.parquet(f"{small}/documents.parquet")
     plan = score_completions(df, text="text").select("doc_id", "reward")._jdf.queryExecution().executedPlan().toString()
