@@ -47,10 +47,6 @@ def normalize_digits(text: Column) -> Column:
     return F.when(text.rlike("[0-9]"), F.translate(text, K.ASCII_DIGITS, K.ARABIC_DIGITS)).otherwise(text)
 
 
-def is_ascii(text: Column) -> Column:
-    return F.octet_length(text) == F.length(text)
-
-
 def contains_any(body: str, words: Sequence[str]) -> str:
     """SQL test: does the text hold any of the words as a plain substring?
 

@@ -372,5 +372,8 @@ ORACLES: dict[str, str] = {
     "stream_scores": f"{full()} SELECT comp_id, {r6('reward')} AS reward FROM rw",
     "stream_reward_windows": f"""{full()} SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS window_start,
  {r6('avg(reward)')} AS mean_reward, count(*) AS n_rows FROM rw JOIN events ON event_id = comp_id GROUP BY 1""",
+    "stream_sliding_windows": f"""{full()} SELECT CAST(floor(epoch(ts) / 1200) * 1200 AS BIGINT) - k AS window_start,
+ {r6('avg(reward)')} AS mean_reward, count(*) AS n_rows
+ FROM rw JOIN events ON event_id = comp_id, (VALUES (0), (1200), (2400)) w(k) GROUP BY 1""",
     "stream_group_advantage": ADVANTAGE,
 }

@@ -452,22 +452,30 @@ def stream_scores(spark, sf):
     return jobs.drained(stream, "stream-scores", jobs.append_to).select("comp_id", r6("reward", "reward"))
 
 
-@query
-def stream_reward_windows(spark, sf):
+def _stream_windows(spark: SparkSession, sf: str, **window) -> DataFrame:
     events = derived.table(spark, sf, "events").select(
         F.col("event_id").alias("comp_id"), jobs.utc_instant(F.col("ts")).alias("ts")
     )
     stream = jobs.score_stream(_completion_stream(spark, sf)).select("comp_id", "reward").join(events, "comp_id")
     table = jobs.drained(
-        jobs.reward_windows(stream), "stream-windows",
+        jobs.reward_windows(stream, **window), "stream-windows",
         lambda s, path, state: jobs.per_batch_to(s, path, state, mode="complete"),
     )
     return table.select(
-        F.unix_timestamp("window_start").alias("window_start"),
-        r6("mean_reward", "mean_reward"), "n_rows",
+        F.unix_timestamp("window_start").alias("window_start"), r6("mean_reward", "mean_reward"), "n_rows"
     )
 
 
+@query
+def stream_reward_windows(spark, sf):
+    return _stream_windows(spark, sf)
+
+
+@query
+def stream_sliding_windows(spark, sf):
+    return _stream_windows(spark, sf, width="1 hour", slide="20 minutes")
+
+
 @query
 def stream_group_advantage(spark, sf):
     stream = jobs.score_stream(_completion_stream(spark, sf)).select("comp_id", "prompt_id", "reward")
