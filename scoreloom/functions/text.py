@@ -66,10 +66,7 @@ def contains_any(body: str, words: Sequence[str]) -> str:
 
 def words_of(text: Column) -> Column:
     """Split on runs of white space, no empty pieces."""
-    bare = strip(text_or_empty(text))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(
-        F.split(bare, WHITESPACE_CLASS + "+")
-    )
+    return F.array_remove(F.split(text_or_empty(text), WHITESPACE_CLASS + "+"), "")
 
 
 def tag_start(text: Column, opening: str) -> Column:

@@ -43,7 +43,8 @@ def turn_pairs(
         copies = F.when(
             ranges.is_cut(F.col("own")), F.array(F.col("own"), F.col("own") - 1)
         ).otherwise(F.array(F.col("own")))
-        spread = own.withColumn(RANGE, F.explode(copies))
+        # outer: the list is never empty, and testing it would look up the range again
+        spread = own.withColumn(RANGE, F.explode_outer(copies))
         window = Window.partitionBy(RANGE).orderBy("conv_id", "turn")
         paired = spread.withColumns({n: c.over(window) for n, c in next_turn.items()}).where(
             F.col("own") == F.col(RANGE)

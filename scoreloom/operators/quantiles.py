@@ -72,13 +72,14 @@ def quantiles(
         .withColumn("last", last)
         .select(
             *group, "group_n", value,
-            F.explode(
+            F.explode_outer(
                 F.filter(
                     "ranks",
                     lambda r: (r["rank"] < F.col("last")) & (r["rank"] >= F.col("last") - F.col(rows)),
                 )
             ).alias("hit"),
         )
+        .where(F.col("hit").isNotNull())
     )
     found = [
         F.max(F.when((F.col("hit.q") == i) & (F.col("hit.up") == up), F.col(value))).alias(f"v{i}_{int(up)}")
