@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scoreloom.llm import exact_dedup, mixing, near_dedup
+from scoreloom.llm import decontaminate, exact_dedup, langid, mixing, near_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,17 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 @query
 def op4_near_dedup(spark, sf):
     return near_dedup.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op1_decontaminate(spark, sf):
+    found = decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    best = F.array_sort(F.collect_list("item_id")).alias("item_ids")
+    return found.groupBy("doc_id").agg(best, F.max("similarity").alias("similarity"))
+
+
+@query
+def op10_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = langid.identify(docs, langid.train_network(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
