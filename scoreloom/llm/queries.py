@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from scoreloom.llm import decontaminate, exact_dedup, langid, mixing, near_dedup
+from scoreloom.llm import chat, decontaminate, exact_dedup, langid, licenses, lm, mixing, near_dedup
+from scoreloom.llm.common import map_batches
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +59,70 @@ def op10_language_id(spark, sf):
     docs = table(spark, sf, "documents")
     found = langid.identify(docs, langid.train_network(docs))
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_license_scan(spark, sf):
+    docs = table(spark, sf, "documents")
+    return licenses.scan_licenses(docs, licenses.train_classifier(docs))
+
+
+def _chat_digest(batch):
+    out = {name: [] for name in ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")}
+    rows = zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss")), strict=True)
+    for conv_id, formatted, loss in rows:
+        turns = chat.read_back(formatted)
+        learned = "".join(chat.unescape(formatted[r["start"] : r["end"]]) for r in loss)
+        said = "".join(f"{role}\n{text}\n" for role, text in turns)
+        values = (conv_id, len(turns), _hex(said), len(learned), _hex(learned), len(formatted))
+        for name, value in zip(out, values, strict=True):
+            out[name].append(value)
+    return out
+
+
+def _hex(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+@query
+def op6_chat_format(spark, sf):
+    given = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    rows = given.unionByName(spark.createDataFrame(extra, given.schema))
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return map_batches(chat.format_conversations(rows), _chat_digest, schema)
+
+
+@query
+def op8_lm_score(spark, sf):
+    found = lm.score_documents(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_backoff", F.round("score", 6).alias("score"))
+
+
+ORACLES["op8_lm_score"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+u AS (SELECT b, count(*) AS n FROM p GROUP BY b),
+g AS (SELECT a, b, count(*) AS n FROM p WHERE a IS NOT NULL GROUP BY a, b),
+s AS (SELECT p.doc_id, p.a IS NOT NULL AND g.n < 2 AS backed,
+             CASE WHEN p.a IS NULL THEN ln(u.n / (SELECT count(*) FROM p))
+                  WHEN g.n >= 2 THEN ln(g.n / c.n) ELSE ln(u.n / (SELECT count(*) FROM p)) + ln(0.4) END AS l
+      FROM p JOIN u ON u.b = p.b LEFT JOIN g ON g.a = p.a AND g.b = p.b LEFT JOIN u c ON c.b = p.a)
+SELECT d.doc_id, CAST(len(any_value(d.w)) AS BIGINT) AS n_words,
+       CAST(count(*) FILTER (WHERE backed) AS BIGINT) AS n_backoff, round(coalesce(sum(l), 0), 6) AS score
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+ORACLES["op6_chat_format"] = r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(regexp_replace(text, '([\\<\[\]])', '\\\1', 'g'))
+           + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+             ELSE 14 + length(regexp_replace(role, '([\\<\[\]])', '\\\1', 'g')) END) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id
+"""
