@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from scoreloom.llm import chat, decontaminate, exact_dedup, langid, licenses, lm, mixing, near_dedup
+from scoreloom.llm import chat, decontaminate, exact_dedup, langid, licenses, lm, mixing, near_dedup, substrings
 from scoreloom.llm.common import map_batches
 
 QUERIES: dict = {}
@@ -126,3 +126,25 @@ SELECT conv_id, count(*) AS n_turns,
              ELSE 14 + length(regexp_replace(role, '([\\<\[\]])', '\\\1', 'g')) END) AS BIGINT) AS formatted_chars
 FROM r GROUP BY conv_id
 """
+
+
+@query
+def op2_substring_dedup(spark, sf):
+    found = substrings.remove_repeated(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLES["op2_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+f AS (SELECT g, min(doc_id) AS least FROM p GROUP BY g),
+r AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT p.doc_id, p.i FROM p JOIN f USING (g) WHERE f.least < p.doc_id) x,
+      (SELECT unnest(range(0, 13)) AS k) y),
+e AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM d),
+k AS (SELECT e.doc_id, count(*) AS kept, string_agg(x, ' ' ORDER BY e.i) AS t
+      FROM e LEFT JOIN r ON r.doc_id = e.doc_id AND r.i = e.i WHERE r.i IS NULL GROUP BY e.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.kept, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
