@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from scoreloom.llm import chat, decontaminate, exact_dedup, langid, licenses, lm, mixing, near_dedup, substrings
+from scoreloom.llm import chat, decontaminate, exact_dedup, langid, licenses, lm, mixing, near_dedup, pii, substrings
 from scoreloom.llm.common import map_batches
 
 QUERIES: dict = {}
@@ -148,3 +148,13 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.kep
        sha256(coalesce(k.t, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)
 """
+
+
+@query
+def op3_pii(spark, sf):
+    found = pii.personal_spans(table(spark, sf, "documents"))
+    counts = [pii.n_of_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.BASE]
+    every = pii.span_list(F.concat("base", "added"))
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.span_list(F.col("base")), 256).alias("base_sha256"), every.alias("spans")
+    )
