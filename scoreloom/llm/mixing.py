@@ -35,7 +35,7 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 BLOCK, SHARD = 128, 4096
 #: Documents of one source whose running sum one task computes.
-CHUNK = 10_000
+CHUNK = 1_000
 #: Slots per cell of the lookup from slot number to source.
 CELL = 4096
 PRIME = 2_147_483_647
