@@ -11,7 +11,8 @@ are linked when ``100 * |both| >= 75 * |either|``, counted on the full sets.
 3. *Bands.* 42 bands of 3 slots: a pair at similarity 0.75 misses all with a chance of
    1e-10. Buckets keep their smallest and largest class.
 4. *First links.* Every class is verified against the extreme it shares most bands with.
-   That joins nearly all of a group, whatever its size, with two pairs per class.
+   That joins most of a group, whatever its size, with two pairs per class; then each class
+   still outside is verified against the one its signature agrees with most.
 5. *Remaining links.* In buckets that still hold several components, the classes outside
    the bucket's largest component meet all others in tiles of bounded size; a pair is
    taken in the first bucket it shares, if its signatures agree in at least ``FLOOR`` of
@@ -28,9 +29,9 @@ from __future__ import annotations
 
 import hashlib
 from collections import OrderedDict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,37 +163,62 @@ def _own_text(batch: pa.RecordBatch) -> dict:
     return {"id": batch.column("id").take(pa.array(keep, pa.int64())), "text": batch.column("text").take(pa.array(keep, pa.int64()))}
 
 
-def _tile_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    few, all_ = rows[rows["straggler"]], rows[~rows["straggler"]]
-    out_a: list[np.ndarray] = []
-    out_b: list[np.ndarray] = []
-    if len(few) and len(all_):
-        key = rows["key"].iloc[0]
-
-        def arrays(part: pd.DataFrame):
-            sketch = np.frombuffer(b"".join(part["sketch"]), np.uint8).reshape(len(part), SLOTS)
-            return part["rep"].to_numpy(), part["comp"].to_numpy(), sketch, np.stack(part["bands"].to_numpy())
-
-        ids, comps, sketches, bands = arrays(few)
-        other_ids, other_comps, other_sketches, other_bands = arrays(all_)
-        outside = all_["outside"].to_numpy()
-        for i in range(len(ids)):
-            near = (other_sketches == sketches[i]).sum(axis=1) >= FLOOR * SLOTS
-            # two stragglers meet twice, once as each side
-            near &= (other_comps != comps[i]) & (~outside | (other_ids > ids[i]))
-            at = np.flatnonzero(near)
-            if len(at):
-                shared = other_bands[at] == bands[i]
-                at = at[bands[i][shared.argmax(axis=1)] == key]
-                out_a.append(np.full(len(at), ids[i]))
-                out_b.append(other_ids[at])
-    a = np.concatenate(out_a) if out_a else np.empty(0, np.int64)
-    b = np.concatenate(out_b) if out_b else np.empty(0, np.int64)
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-
-def remaining_pairs(members: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
-    """Candidate pairs across components of one bucket, each once."""
+def _tile(few: list[tuple], others: list[tuple], key: int) -> list[tuple[int, int, int]]:
+    """Pairs of one tile with their number of equal slots; members are ``(rep, comp, outside, sketch, bands)``."""
+    sketches = np.frombuffer(b"".join([m[3] for m in others]), np.uint8).reshape(-1, SLOTS)
+    ids, comps, outside = (np.array([m[k] for m in others]) for k in range(3))
+    out = []
+    for rep, comp, _, sketch, bands in few:
+        # two members outside the main component meet twice, once as each side
+        at = np.flatnonzero((comps != comp) & (~outside | (ids > rep)))
+        if len(at):
+            equal = (sketches[at] == np.frombuffer(sketch, np.uint8)).sum(axis=1)
+            for i, n in zip(at[equal >= FLOOR * SLOTS].tolist(), equal[equal >= FLOOR * SLOTS].tolist(), strict=True):
+                shared = np.asarray(others[i][4]) == np.asarray(bands)
+                if bands[int(shared.argmax())] == key:
+                    out.append((rep, int(ids[i]), n))
+    return out
+
+
+def _best_of(pairs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    best: dict[int, tuple[int, int, int]] = {}
+    for p in pairs:
+        if p[0] not in best or p[2] > best[p[0]][2]:
+            best[p[0]] = p
+    return list(best.values())
+
+
+def _tiles(best: bool):
+    """Pairs of the tiles of a partition, whose rows come sorted by tile; with ``best`` one per straggler and tile."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, few, others = None, [], []
+
+        def pairs() -> list[tuple[int, int, int]]:
+            found = _tile(few, others, tile[0]) if few and others else []
+            return _best_of(found) if best else found
+
+        for batch in batches:
+            out, columns = [], [batch.column(c).to_pylist() for c in range(batch.num_columns)]
+            for key, s, m, straggler, *member in zip(*columns, strict=True):
+                if (key, s, m) != tile:
+                    out += pairs() if tile else []
+                    tile, few, others = (key, s, m), [], []
+                (few if straggler else others).append(member)
+            yield _pair_batch(out)
+        if tile:
+            yield _pair_batch(pairs())
+
+    return run
+
+
+def _pair_batch(pairs: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    columns = zip(*pairs, strict=True) if pairs else ([], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "equal"])
+
+
+def remaining_pairs(members: DataFrame, labels: DataFrame, signed: DataFrame, best: bool = False) -> DataFrame:
+    """Candidate pairs ``(a, b)`` across components of one bucket, each once; with ``best`` one per class ``a``."""
     rows = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     rows = rows.select("key", "rep", F.coalesce("root", "rep").alias("comp"))
     sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
@@ -212,9 +238,13 @@ def remaining_pairs(members: DataFrame, labels: DataFrame, signed: DataFrame) ->
     again = rows.where("outside").select(
         "*", F.lit(True).alias("straggler"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("m"), F.pmod(place, few).alias("s")
     )
-    columns = ["key", "s", "m", "rep", "comp", "outside", "straggler"]
-    dealt = once.select(*columns).unionByName(again.select(*columns)).join(signed.select("rep", "bands", "sketch"), "rep")
-    return dealt.groupBy("key", "s", "m").applyInPandas(_tile_pairs, "a long, b long")
+    columns = ["key", "s", "m", "straggler", "rep", "comp", "outside"]
+    dealt = once.select(*columns).unionByName(again.select(*columns)).join(signed.select("rep", "sketch", "bands"), "rep")
+    dealt = dealt.select(*columns, "sketch", "bands").repartition("key", "s", "m").sortWithinPartitions("key", "s", "m")
+    pairs = dealt.mapInArrow(_tiles(best), "a long, b long, equal long")
+    if best:
+        pairs = pairs.groupBy("a").agg(F.max(F.struct("equal", "b"))["b"].alias("b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -242,8 +272,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = best.select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")).distinct()
     first = staged(verified(pairs, texts), "first-links")
 
-    more = verified(remaining_pairs(members, components(first), signed_reps), texts)
-    roots = components(first.union(staged(more, "more-links")))
+    best = verified(remaining_pairs(members, components(first), signed_reps, best=True), texts)
+    links = first.union(staged(best, "best-links"))
+    more = verified(remaining_pairs(members, components(links), signed_reps), texts)
+    roots = components(links.union(staged(more, "more-links")))
     rows = signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
     rows = rows.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     group = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
