@@ -7,11 +7,12 @@ and never decode a text they only have to cut into words.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +47,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > REMEMBERED:
             self.clear()
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        value = xxhash.xxh3_64_intdigest(word)
         self[word] = value
         return value
 
@@ -99,3 +100,17 @@ def map_batches(df: DataFrame, function, schema: str | T.StructType) -> DataFram
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def pack(values: np.ndarray, deltas: bool = False) -> bytes:
+    """Sorted or small numbers as bytes, one plane per byte position, compressed."""
+    values = values.astype(np.uint64)
+    values = np.diff(values, prepend=np.uint64(0)) if deltas else values
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(data: bytes, deltas: bool = False) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    values = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(values, dtype=np.uint64) if deltas else values

@@ -23,30 +23,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import WordHashes, gram_hashes
+from scoreloom.llm.common import WordHashes, gram_hashes, pack, unpack
 
 ORDER, BACKOFF, MIN_COUNT = 2, 0.4, 2
 BLOCK_BYTES, PARTITION_BYTES = 8 << 20, 24 << 20
 _hashes = WordHashes()
 
 
-def pack(values: np.ndarray, deltas: bool = False) -> bytes:
-    """Sorted or small numbers as bytes, one plane per byte position, compressed."""
-    values = np.diff(values, prepend=np.uint64(0)) if deltas else values.astype(np.uint64)
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unpack(data: bytes, deltas: bool = False) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    values = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-    return np.cumsum(values, dtype=np.uint64) if deltas else values
-
-
 def _documents(texts: pd.Series) -> list[np.ndarray]:
     return [_hashes.of((t or "").encode().split()) for t in texts]
 

@@ -131,7 +131,7 @@ FROM r GROUP BY conv_id
 @query
 def op2_substring_dedup(spark, sf):
     found = substrings.remove_repeated(table(spark, sf, "documents"))
-    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 ORACLES["op2_substring_dedup"] = r"""

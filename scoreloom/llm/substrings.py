@@ -25,21 +25,20 @@ other's words; an empty table gives an empty result; further columns are ignored
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import WordHashes, bytes_of, gram_hashes, map_batches
+from scoreloom.llm.common import WordHashes, bytes_of, gram_hashes, map_batches, mix, pack, unpack
 
 LENGTH, GRAM = 13, 3
 #: Bytes of text one shard stands for, and that a task cuts at once.
-SHARD_BYTES, CUT_BYTES = 12 << 20, 4 << 20
+SHARD_BYTES, CUT_BYTES = 6 << 20, 4 << 20
 #: Frequent 3-grams: in one of ``FREQUENT`` documents of a sample of ``SAMPLE``, at most ``LISTED``.
 SAMPLE, FREQUENT, LISTED = 2_000, 200, 50_000
 NO_ID = np.iinfo(np.int64).max
@@ -150,54 +149,59 @@ def _segments(hashes: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.
     return starts, np.append(starts[1:], len(least)) - 1, least[starts]
 
 
-def _packed(rows: list[tuple], shards: int) -> list[tuple]:
-    """Segments ``(shard, doc, key, start, n words, minimizer, text)`` as one row per shard."""
-    rows.sort(key=lambda r: r[:4])
-    out, at = [], 0
-    squeeze = zstandard.ZstdCompressor(level=3)
-    cuts = np.append(np.flatnonzero(np.diff([r[0] for r in rows], prepend=-1)), len(rows))
-    for at, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        shard, docs, keys, starts, words, least, texts = zip(*rows[at:end], strict=True)
-        out.append((
-            shard[0], False, np.array(docs, np.int64).tobytes(), np.array(keys, np.int64).tobytes(),
-            np.array(starts, np.int32).tobytes(), np.array(words, np.int32).tobytes(),
-            (np.array(least, np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(),
-            np.array([len(t) for t in texts], np.int32).tobytes(), squeeze.compress(b"".join(texts)),
-        ))
-    return out
+def _document(doc: int, key: int, words: list[bytes], frequent: np.ndarray) -> dict[str, np.ndarray]:
+    """The segments of one document; ``begin`` and ``end`` are bytes of its words joined by a space."""
+    hashes = _hashes.of(words)
+    starts, lasts, least = _segments(hashes, frequent)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    windows = np.concatenate([[np.uint64(0)], np.cumsum(gram_hashes(hashes, LENGTH))])
+    return {
+        "docs": np.full(len(starts), doc), "keys": np.full(len(starts), key), "starts": starts, "words": lasts - starts + LENGTH,
+        "least": least, "begin": np.where(starts > 0, ends[starts - 1], 0), "end": ends[lasts + LENGTH - 1] - 1,
+        "same": mix(windows[lasts + 1] - windows[starts] + (lasts - starts).astype(np.uint64)),
+    }
+
+
+def _row(shard: int, decided: bool, segments: dict[str, np.ndarray], at: np.ndarray, text: bytes) -> tuple:
+    packed = (pack(segments[c][at]) for c in ("keys", "starts", "words", "least", "sizes"))
+    return (shard, decided, pack(segments["docs"][at], True), *packed, text)
 
 
 def _cut(docs: list[int], keys: list[int], texts: list[bytes], shards: int, frequent: np.ndarray) -> list[tuple]:
     """The segments of some documents by shard, and what these documents decide among themselves."""
-    rows, marks = [], []
-    smallest: dict[bytes, int] = {}
-    cut = []
+    found, joined, total = [], [], 0
     for doc, key, text in sorted(zip(docs, keys, texts, strict=True), key=lambda x: x[0]):
         words = text.split()
-        if len(words) < LENGTH:
-            continue
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts, lasts, least = _segments(_hashes.of(words), frequent)
-        shard = ((least % np.uint64(1_000_003)) % np.uint64(shards)).tolist()
-        begin = np.where(starts > 0, ends[starts - 1], 0).tolist()
-        end = (ends[lasts + LENGTH - 1] - 1).tolist()
-        n = (lasts - starts + LENGTH).tolist()
-        for s, a, b, start, count, m in zip(shard, begin, end, starts.tolist(), n, least.tolist(), strict=True):
-            piece = joined[a:b]
-            if smallest.setdefault(piece, doc) < doc:
-                marks.append((doc, key, start, count))
-            else:
-                cut.append((s, doc, key, start, count, m, piece))
-    if cut:
-        rows = _packed(cut, shards)
-    if marks:
+        if len(words) >= LENGTH:
+            segments = _document(doc, key, words, frequent)
+            segments["begin"], segments["end"] = segments["begin"] + total, segments["end"] + total
+            found.append(segments)
+            joined.append(b" ".join(words))
+            total += len(joined[-1])
+    if not found:
+        return []
+    cut = {c: np.concatenate([f[c] for f in found]) for c in found[0]}
+    everything = b"".join(joined)
+    begin, end = cut["begin"].tolist(), cut["end"].tolist()
+    # documents are in order, so the first of equal segments is the smallest document's
+    _, first, back = np.unique(cut["same"], return_index=True, return_inverse=True)
+    decided = cut["docs"] > cut["docs"][first[back]]
+    for i in np.flatnonzero(decided).tolist():
+        k = first[back[i]]
+        decided[i] = everything[begin[i] : end[i]] == everything[begin[k] : end[k]]
+    cut["sizes"] = cut["end"] - cut["begin"]
+    shard = (cut["least"] % np.uint64(1_000_003) % np.uint64(shards)).astype(np.int64)
+    order = np.flatnonzero(~decided)
+    order = order[np.argsort(shard[order], kind="stable")]
+    heads = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    squeeze, rows = zstandard.ZstdCompressor(level=3), []
+    for at in np.split(order, heads[1:]):
+        text = b"".join([everything[begin[i] : end[i]] for i in at.tolist()])
+        rows.append(_row(int(shard[at[0]]), False, cut, at, squeeze.compress(text)))
+    at = np.flatnonzero(decided)
+    if len(at):
         # decided words need no shard; they travel with any
-        d, k, s, n = (np.array(x) for x in zip(*marks, strict=True))
-        rows.append((
-            hash((int(d[0]), int(k[0]))) % shards, True, d.astype(np.int64).tobytes(), k.astype(np.int64).tobytes(),
-            s.astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), b"", b"", b"",
-        ))
+        rows.append(_row(int(cut["same"][at[0]] % np.uint64(shards)), True, cut, at, b""))
     return rows
 
 
@@ -215,73 +219,65 @@ def _marked(docs: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.nda
     })
 
 
-def _joined(column: pd.Series, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column), kind)
+def _joined(column: pd.Series, deltas: bool = False) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *(unpack(x, deltas).view(np.int64) for x in column)])
 
 
 def match_shard(rows: pd.DataFrame) -> pd.DataFrame:
     """Index one shard, stream its windows, and mark those that a smaller document holds."""
     decided, rows = rows[rows["decided"]], rows[~rows["decided"]]
-    s = _joined(decided["starts"], np.int32)
-    parts = [(_joined(decided["docs"], np.int64), _joined(decided["keys"], np.int64), s, s + _joined(decided["words"], np.int32))]
-    docs, keys = _joined(rows["docs"], np.int64), _joined(rows["keys"], np.int64)
-    if len(docs):
-        starts, counts, least = _joined(rows["starts"], np.int32), _joined(rows["words"], np.int32), _joined(rows["least"], np.uint32)
+    s = _joined(decided["starts"])
+    parts = [(_joined(decided["docs"], True), _joined(decided["keys"]), s, s + _joined(decided["words"]))]
+    if len(rows):
+        segments = {c: _joined(rows[c], c == "docs") for c in ("docs", "keys", "starts", "words", "least", "sizes")}
+        docs, least = segments["docs"], segments["least"]
         by = np.argsort(least, kind="stable")
         heads = np.flatnonzero(np.concatenate([[True], np.diff(least[by]) != 0]))
         several = np.minimum.reduceat(docs[by], heads) != np.maximum.reduceat(docs[by], heads)
         keep = np.zeros(len(docs), bool)
         keep[by] = np.repeat(several, np.diff(np.append(heads, len(by))))
-        sizes = _joined(rows["sizes"], np.int32).astype(np.int64)
-        parts.append(_matched(rows["text"], sizes, docs, keys, starts, counts, np.flatnonzero(keep)))
+        if keep.any():
+            text = b"".join(map(zstandard.ZstdDecompressor().decompress, rows["text"]))
+            end = np.cumsum(segments["sizes"])[keep]
+            begin = end - segments["sizes"][keep]
+            text = b" ".join([text[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+            parts.append(_matched(text, *(segments[c][keep] for c in ("docs", "keys", "starts", "words"))))
     return _marked(*(np.concatenate([p[k] for p in parts]) for k in range(4)))
 
 
-def _matched(texts, sizes, docs, keys, starts, counts, keep) -> tuple[np.ndarray, ...]:
-    none = np.empty(0, np.int64)
-    if not len(keep):
-        return none, none, none, none
-    text = b"".join(map(zstandard.ZstdDecompressor().decompress, texts))
-    ends = np.cumsum(sizes)
-    numbers: dict[bytes, int] = {}
-    symbols = np.zeros(int(counts[keep].sum()) + len(keep) + 1, np.int64)
-    at = 1
-    for a, b in zip((ends - sizes)[keep].tolist(), ends[keep].tolist(), strict=True):
-        words = text[a:b].split()
-        symbols[at : at + len(words)] = [numbers.setdefault(w, len(numbers) + 1) for w in words]
-        at += len(words) + 1
-    del text
-    offsets = 1 + np.concatenate([[0], np.cumsum(counts[keep] + 1)[:-1]])
-    owner = np.repeat(np.arange(len(keep)), counts[keep] + 1)
-    owner = np.concatenate([[0], owner])
+def _matched(text: bytes, docs: np.ndarray, keys: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Word ranges of segments that a smaller document holds; ``text`` is all their words."""
+    words = text.split()
+    numbers = {w: k for k, w in enumerate(dict.fromkeys(words), 1)}
+    owner = np.repeat(np.arange(len(docs)), counts)
+    symbols = np.zeros(len(words) + len(docs) + 1, np.int64)
+    symbols[np.arange(len(words)) + owner + 1] = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+    del words
+    offsets = 1 + np.concatenate([[0], np.cumsum(counts + 1)[:-1]])
+    owner = np.concatenate([[0], np.repeat(np.arange(len(docs)), counts + 1)])
     index = Index(symbols, len(numbers) + 1)
-    n_windows = counts[keep] - LENGTH + 1
+    n_windows = counts - LENGTH + 1
     first = np.repeat(offsets - np.concatenate([[0], np.cumsum(n_windows)[:-1]]), n_windows)
     windows, low, high = index.search(first + np.arange(len(first)), LENGTH)
-    if not len(windows):
-        return none, none, none, none
-    of_suffix = np.append(docs[keep][owner[index.order]], NO_ID)
-    places, back = np.unique(low, return_inverse=True)
-    bounds = np.empty(2 * len(places), np.int64)
-    bounds[0::2] = places
-    bounds[1::2][back] = high
-    smallest = np.minimum.reduceat(of_suffix, bounds)[0::2][back]
+    if len(windows):
+        of_suffix = np.append(docs[owner[index.order]], NO_ID)
+        places, back = np.unique(low, return_inverse=True)
+        bounds = np.empty(2 * len(places), np.int64)
+        bounds[0::2] = places
+        bounds[1::2][back] = high
+        smallest = np.minimum.reduceat(of_suffix, bounds)[0::2][back]
+        windows = np.sort(windows[smallest < docs[owner[windows]]])
     own = owner[windows]
-    found = smallest < docs[keep][own]
-    windows, own = windows[found], own[found]
-    by = np.argsort(windows)
-    windows, own = windows[by], own[by]
-    heads = np.concatenate([[True], (np.diff(windows) != 1) | (np.diff(own) != 0)]) if len(windows) else np.zeros(0, bool)
-    at = np.flatnonzero(heads)
+    at = np.flatnonzero((np.diff(windows, prepend=-2) != 1) | (np.diff(own, prepend=-1) != 0))
     runs = np.diff(np.append(at, len(windows)))
     own, begin = own[at], windows[at]
-    begin = starts[keep][own] + begin - offsets[own]
-    return docs[keep][own], keys[keep][own], begin, begin + runs + LENGTH - 1
+    begin = starts[own] + begin - offsets[own]
+    return docs[own], keys[own], begin, begin + runs + LENGTH - 1
 
 
 def _frequent(rows: DataFrame) -> np.ndarray:
     """3-grams that many documents of a bounded sample hold."""
-    few = rows.orderBy(F.xxhash64("doc_id", F.lit(5)), "text_key").limit(SAMPLE).select(F.substring("text", 1, 4000).alias("t"))
+    few = rows.orderBy(F.xxhash64("doc_id", F.lit(5)), "text").limit(SAMPLE).select(F.substring("text", 1, 4000).alias("t"))
     texts = [r["t"].encode().split() for r in few.collect()]
     grams = [np.unique(gram_hashes(_hashes.of(w), GRAM)) for w in texts]
     values, counts = np.unique(np.concatenate([*grams, np.empty(0, np.uint64)]), return_counts=True)
@@ -289,10 +285,13 @@ def _frequent(rows: DataFrame) -> np.ndarray:
     return np.sort(values[often][np.argsort(-counts[often], kind="stable")][:LISTED])
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_key, starts, ends)``: word ranges that go, per row of ``docs(doc_id, text)`` that has some."""
+def repeated_passages(docs: DataFrame, text_key: Column) -> DataFrame:
+    """``(doc_id, text_key, starts, ends)``: word ranges that go, per row of ``docs(doc_id, text)`` that has some.
+
+    ``text_key`` tells rows of one id apart.
+    """
     rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc_id"), F.xxhash64("text").alias("text_key"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc_id"), text_key.alias("text_key"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -322,33 +321,32 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
 
 def _kept(batch: pa.RecordBatch) -> dict:
-    out = {"doc_id": batch.column("doc_id"), "n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
+    n_words, n_removed, out = [], [], []
     marks = zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)
     for text, (starts, ends) in zip(bytes_of(batch.column("text")), marks, strict=True):
-        words = (text or b"").split()
+        words = kept = (text or b"").split()
         if starts:
             step = np.zeros(len(words) + 1, np.int32)
             np.add.at(step, starts, 1)
             np.add.at(step, ends, -1)
-            stays = np.cumsum(step[:-1]) == 0
-            kept = [w for w, ok in zip(words, stays.tolist(), strict=True) if ok]
-        else:
-            kept = words
-        joined = b" ".join(kept)
-        out["n_words"].append(len(words))
-        out["n_removed"].append(len(words) - len(kept))
-        out["kept_sha256"].append(hashlib.sha256(joined).hexdigest())
-        out["kept"].append(joined.decode("utf-8", "replace"))
-    return out
+            kept = [w for w, n in zip(words, np.cumsum(step[:-1]).tolist(), strict=True) if n == 0]
+        n_words.append(len(words))
+        n_removed.append(len(words) - len(kept))
+        out.append(b" ".join(kept))
+    kept = pa.array(out, pa.binary()).cast(pa.string())
+    return {"doc_id": batch.column("doc_id"), "n_words": n_words, "n_removed": n_removed, "kept": kept}
 
 
 def remove_repeated(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: ``(doc_id, n_words, n_removed, kept_sha256, kept)``."""
-    marks = repeated_passages(docs).groupBy("doc_id", "text_key").agg(
+    """Per row of ``docs(doc_id, text)``: ``(doc_id, n_words, n_removed, kept)``."""
+    # rows are told apart by their text only where ids repeat: a constant travels for nothing
+    repeats = docs.groupBy("doc_id").count().where("count > 1")
+    text_key = F.lit(0).cast("long") if repeats.isEmpty() else F.abs(F.xxhash64("text"))
+    marks = repeated_passages(docs, text_key).groupBy("doc_id", "text_key").agg(
         F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")
     )
     marks = marks.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "starts", "ends")
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    same = (F.coalesce("doc_id", F.lit(int(NO_ID))) == F.col("id")) & (F.xxhash64("text") == F.col("key"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", text_key.alias("text_key"))
+    same = (F.coalesce("doc_id", F.lit(int(NO_ID))) == F.col("id")) & (F.col("text_key") == F.col("key"))
     joined = rows.join(marks, same, "left").select("doc_id", "text", "starts", "ends")
-    return map_batches(joined, _kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return map_batches(joined, _kept, "doc_id long, n_words long, n_removed long, kept string")
