@@ -11,13 +11,11 @@ are linked when ``100 * |both| >= 75 * |either|``, counted on the full sets.
 3. *Bands.* 42 bands of 3 slots: a pair at similarity 0.75 misses all with a chance of
    1e-10. Buckets keep their smallest and largest class.
 4. *First links.* Every class is verified against the extreme it shares most bands with.
-   That joins most of a group, whatever its size, with two pairs per class; then each class
-   still outside is verified against the one its signature agrees with most.
-5. *Remaining links.* In buckets that still hold several components, the classes outside
-   the bucket's largest component meet all others in tiles of bounded size; a pair is
-   taken in the first bucket it shares, if its signatures agree in at least ``FLOOR`` of
-   the slots (five deviations below 0.75), and verified on the full sets. A pair within
-   one component could not change the result.
+   That joins most of a group, whatever its size, with two pairs per class.
+5. *Remaining links.* A class outside the largest component of one of its buckets joins that
+   component's group. It meets the classes of the group in tiles of bounded size: pairs whose
+   signatures agree in at least ``FLOOR`` of the slots (five deviations below 0.75) are compared on
+   the full sets. A pair within one component could not change the result and is skipped.
 6. *Groups.* Union-find within partitions, then stars across them.
 
 Defined cases: no words or a null text is the empty set, linked with nothing; fewer than
@@ -44,7 +42,7 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS = 42, 3
 SLOTS = BANDS * ROWS
 FLOOR = 0.55
-TILE = 512
+TILE = 256
 #: Shingles signed at once.
 CHUNK = 400_000
 _EMPTY = np.uint64(2**64 - 1)
@@ -138,13 +136,19 @@ class _Sets(OrderedDict):
         return self[key]
 
 
+def similar(s: np.ndarray, t: np.ndarray) -> bool:
+    if 100 * min(len(s), len(t)) < PERCENT * max(len(s), len(t)):
+        return False
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= PERCENT * (len(s) + len(t) - both)
+
+
 def _linked(batch: pa.RecordBatch) -> dict:
     a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
     sets, keep = _Sets(), []
     for i, (x, y, s, t) in enumerate(zip(a, b, bytes_of(batch.column("text_a")), bytes_of(batch.column("text_b")), strict=True)):
         s, t = sets.of(x, s), sets.of(y, t)
-        both = len(np.intersect1d(s, t, assume_unique=True))
-        if 100 * both >= PERCENT * (len(s) + len(t) - both):
+        if similar(s, t):
             keep.append(i)
     return {"a": [a[i] for i in keep], "b": [b[i] for i in keep]}
 
@@ -163,88 +167,94 @@ def _own_text(batch: pa.RecordBatch) -> dict:
     return {"id": batch.column("id").take(pa.array(keep, pa.int64())), "text": batch.column("text").take(pa.array(keep, pa.int64()))}
 
 
-def _tile(few: list[tuple], others: list[tuple], key: int) -> list[tuple[int, int, int]]:
-    """Pairs of one tile with their number of equal slots; members are ``(rep, comp, outside, sketch, bands)``."""
-    sketches = np.frombuffer(b"".join([m[3] for m in others]), np.uint8).reshape(-1, SLOTS)
-    ids, comps, outside = (np.array([m[k] for m in others]) for k in range(3))
-    out = []
-    for rep, comp, _, sketch, bands in few:
-        # two members outside the main component meet twice, once as each side
-        at = np.flatnonzero((comps != comp) & (~outside | (ids > rep)))
-        if len(at):
-            equal = (sketches[at] == np.frombuffer(sketch, np.uint8)).sum(axis=1)
-            for i, n in zip(at[equal >= FLOOR * SLOTS].tolist(), equal[equal >= FLOOR * SLOTS].tolist(), strict=True):
-                shared = np.asarray(others[i][4]) == np.asarray(bands)
-                if bands[int(shared.argmax())] == key:
-                    out.append((rep, int(ids[i]), n))
-    return out
-
-
-def _best_of(pairs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    best: dict[int, tuple[int, int, int]] = {}
-    for p in pairs:
-        if p[0] not in best or p[2] > best[p[0]][2]:
-            best[p[0]] = p
-    return list(best.values())
-
-
-def _tiles(best: bool):
-    """Pairs of the tiles of a partition, whose rows come sorted by tile; with ``best`` one per straggler and tile."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, few, others = None, [], []
-
-        def pairs() -> list[tuple[int, int, int]]:
-            found = _tile(few, others, tile[0]) if few and others else []
-            return _best_of(found) if best else found
-
-        for batch in batches:
-            out, columns = [], [batch.column(c).to_pylist() for c in range(batch.num_columns)]
-            for key, s, m, straggler, *member in zip(*columns, strict=True):
-                if (key, s, m) != tile:
-                    out += pairs() if tile else []
-                    tile, few, others = (key, s, m), [], []
-                (few if straggler else others).append(member)
-            yield _pair_batch(out)
-        if tile:
-            yield _pair_batch(pairs())
-
-    return run
-
-
-def _pair_batch(pairs: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    columns = zip(*pairs, strict=True) if pairs else ([], [], [])
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "equal"])
-
-
-def remaining_pairs(members: DataFrame, labels: DataFrame, signed: DataFrame, best: bool = False) -> DataFrame:
-    """Candidate pairs ``(a, b)`` across components of one bucket, each once; with ``best`` one per class ``a``."""
-    rows = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    rows = rows.select("key", "rep", F.coalesce("root", "rep").alias("comp"))
+class _Tile:
+    """A bounded part of a group: classes outside its component, and classes they have to meet."""
+
+    def __init__(self):
+        self.few: list[tuple] = []
+        self.others: list[tuple] = []
+
+    def links(self) -> list[tuple[int, int]]:
+        """Verified links; members are ``(rep, comp, outside, sketch, text)``. Components that joined here meet no more."""
+        if not self.few or not self.others:
+            return []
+        sketches = np.frombuffer(b"".join([m[3] for m in self.others]), np.uint8).reshape(-1, SLOTS)
+        ids, comps, outside = (np.array([m[k] for m in self.others]) for k in range(3))
+        sets: dict[int, np.ndarray] = {}
+        out = []
+        for rep, comp, _, sketch, text in self.few:
+            equal = (sketches == np.frombuffer(sketch, np.uint8)).sum(axis=1)
+            joined = {comp}
+            # two members outside the group's component meet twice, once as each side
+            near = np.flatnonzero((equal >= FLOOR * SLOTS) & (comps != comp) & (~outside | (ids > rep)))
+            for i in near[np.argsort(-equal[near], kind="stable")].tolist():
+                if comps[i] in joined:
+                    continue
+                for key, t in ((rep, text), (int(ids[i]), self.others[i][4])):
+                    if key not in sets:
+                        sets[key] = text_set(t)
+                if similar(sets[rep], sets[int(ids[i])]):
+                    joined.add(comps[i])
+                    out.append((min(rep, int(ids[i])), max(rep, int(ids[i]))))
+        return out
+
+
+def _tile_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of the tiles of a partition, whose rows come sorted by tile."""
+    at, tile = None, _Tile()
+    for batch in batches:
+        out = []
+        columns = [bytes_of(c) if c.type == pa.string() else c.to_pylist() for c in batch.columns]
+        for main, s, m, straggler, *member in zip(*columns, strict=True):
+            if (main, s, m) != at:
+                out += tile.links()
+                at, tile = (main, s, m), _Tile()
+            (tile.few if straggler else tile.others).append(member)
+        yield _link_batch(out)
+    yield _link_batch(tile.links())
+
+
+def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    columns = zip(*links, strict=True) if links else ([], [])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+
+def remaining_links(members: DataFrame, labels: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` across the components that share buckets.
+
+    A class outside the largest component of one of its buckets joins that component's group.
+    Two classes of different components in one bucket are then in one group: either one is of
+    the largest component, or both joined its group. Each class is in a group once, not per band.
+    """
+    known = labels.withColumnsRenamed({"node": "rep", "root": "comp"})
+    rows = members.join(known, "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = (
         sizes.groupBy("key")
-        .agg(F.sum("n").alias("size"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("comps"),
-             F.max(F.struct("n", "comp"))["comp"].alias("main"))
+        .agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps"))
         .where("comps > 1")
-    )
-    rows = rows.join(mixed, "key").withColumn("outside", F.col("comp") != F.col("main"))
-    tiles = F.ceil(F.col("size") / TILE).cast("long")
-    few = F.ceil((F.col("size") - F.col("largest")) / TILE).cast("long")
+    )
+    joined = staged(rows.join(mixed, "key").where("comp <> main").select("main", "rep", "comp").distinct(), "stragglers")
+    few = joined.groupBy("main").agg(F.count(F.lit(1)).alias("few"))
+    crowd = rows.select("rep", "comp").distinct()
+    own = crowd.join(few, crowd["comp"] == few["main"]).select("main", "rep", "comp", F.lit(False).alias("outside"))
+    everyone = own.unionByName(joined.withColumn("outside", F.lit(True)))
+    groups = everyone.groupBy("main").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("outside").cast("long")).alias("few"))
+    everyone = everyone.join(groups, "main")
+    across, down = F.ceil(F.col("all") / TILE).cast("long"), F.ceil(F.col("few") / TILE).cast("long")
     place = F.xxhash64("rep")
-    once = rows.select(
-        "*", F.lit(False).alias("straggler"), F.pmod(place, tiles).alias("m"), F.explode(F.sequence(F.lit(0), few - 1)).alias("s")
+    once = everyone.select(
+        "*", F.lit(False).alias("straggler"), F.pmod(place, across).alias("m"), F.explode(F.sequence(F.lit(0), down - 1)).alias("s")
     )
-    again = rows.where("outside").select(
-        "*", F.lit(True).alias("straggler"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("m"), F.pmod(place, few).alias("s")
+    again = everyone.where("outside").select(
+        "*", F.lit(True).alias("straggler"), F.explode(F.sequence(F.lit(0), across - 1)).alias("m"), F.pmod(place, down).alias("s")
     )
-    columns = ["key", "s", "m", "straggler", "rep", "comp", "outside"]
-    dealt = once.select(*columns).unionByName(again.select(*columns)).join(signed.select("rep", "sketch", "bands"), "rep")
-    dealt = dealt.select(*columns, "sketch", "bands").repartition("key", "s", "m").sortWithinPartitions("key", "s", "m")
-    pairs = dealt.mapInArrow(_tiles(best), "a long, b long, equal long")
-    if best:
-        pairs = pairs.groupBy("a").agg(F.max(F.struct("equal", "b"))["b"].alias("b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    columns = ["main", "s", "m", "straggler", "rep", "comp", "outside"]
+    dealt = once.select(*columns).unionByName(again.select(*columns))
+    known = signed.select("rep", "sketch").join(texts.select(F.col("id").alias("rep"), "text"), "rep")
+    dealt = dealt.join(known, "rep").select(*columns, "sketch", "text")
+    tiles = dealt.repartition("main", "s", "m").sortWithinPartitions("main", "s", "m")
+    return tiles.mapInArrow(_tile_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -272,10 +282,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = best.select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")).distinct()
     first = staged(verified(pairs, texts), "first-links")
 
-    best = verified(remaining_pairs(members, components(first), signed_reps, best=True), texts)
-    links = first.union(staged(best, "best-links"))
-    more = verified(remaining_pairs(members, components(links), signed_reps), texts)
-    roots = components(links.union(staged(more, "more-links")))
+    more = remaining_links(members, components(first), signed_reps, texts)
+    roots = components(first.union(staged(more, "more-links")))
     rows = signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
     rows = rows.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     group = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
