@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from scoreloom.operators.lookup import left_lookup
 
+#: Shown for an id that the vocabulary does not hold.
+UNKNOWN_PIECE = "\ufffd"
 ID_COLUMNS = ("prompt_input_ids", "query_input_ids", "input_ids")
 
 
@@ -65,7 +67,7 @@ def decode_ids(
     separator: str = "",
     small: bool | None = None,
 ) -> DataFrame:
-    """Token ids back to text, special tokens left out.
+    """Token ids back to text, special tokens left out, unknown ids as ``UNKNOWN_PIECE``.
 
     Takes the first of ``prompt_input_ids``, ``query_input_ids`` and
     ``input_ids`` the table has. A table that brings its prompt text in a
@@ -81,7 +83,10 @@ def decode_ids(
         key, "pos", F.coalesce("id", F.lit(-1)).alias("token_id")
     )
     pieces = left_lookup(tokens, vocab.select("token_id", "piece", "is_special"), "token_id", ("piece",), small)
-    shown = F.when(~F.col("is_special"), F.struct("pos", "piece"))
+    unknown = F.struct("pos", F.lit(UNKNOWN_PIECE).alias("piece"))
+    shown = F.when(~F.col("is_special"), F.struct("pos", "piece")).when(
+        F.col("is_special").isNull() & (F.col("token_id") >= 0), unknown
+    )
     ordered = F.array_sort(F.collect_list(shown))
     text = F.array_join(F.transform(ordered, lambda s: s["piece"]), separator)
     return pieces.groupBy(key).agg(text.alias("prompt"))

@@ -76,22 +76,20 @@ def preference_pairs(
 ) -> DataFrame:
     """Best and worst completion of each prompt whose rewards differ.
 
-    Among equal rewards the lower id ranks higher. Both picks are aggregates,
-    so each task hands on at most two completions per prompt.
+    Among equal rewards the lower id ranks higher. The picks are made on narrow
+    rows; only the texts of picked completions are then fetched by id.
     """
     order = F.struct(F.col("reward").alias("reward"), (-F.col(comp_id)).alias("rank"))
-    pick = F.struct(F.col(comp_id).alias("id"), F.col("reward").alias("reward"), F.col(text).alias("text"))
     ends = scored.groupBy(prompt).agg(
-        F.max_by(pick, order).alias("best"), F.min_by(pick, order).alias("worst")
-    )
-    return ends.where(F.col("best.reward") > F.col("worst.reward")).select(
-        prompt,
-        F.col("best.id").alias("chosen_id"),
-        F.col("worst.id").alias("rejected_id"),
-        F.col("best.text").alias("chosen"),
-        F.col("worst.text").alias("rejected"),
-        (F.col("best.reward") - F.col("worst.reward")).alias("margin"),
-    )
+        F.max_by(comp_id, order).alias("chosen_id"), F.min_by(comp_id, order).alias("rejected_id"),
+        (F.max("reward") - F.min("reward")).alias("margin"),
+    ).where("margin > 0")
+    wanted = ends.select(prompt, F.explode(F.array("chosen_id", "rejected_id")).alias(comp_id))
+    texts = scored.select(comp_id, text).join(wanted.select(comp_id), comp_id, "left_semi")
+    chosen = texts.select(F.col(comp_id).alias("chosen_id"), F.col(text).alias("chosen"))
+    rejected = texts.select(F.col(comp_id).alias("rejected_id"), F.col(text).alias("rejected"))
+    joined = ends.join(chosen, "chosen_id").join(rejected, "rejected_id")
+    return joined.select(prompt, "chosen_id", "rejected_id", "chosen", "rejected", "margin")
 
 
 def best_of_prompt(scored: DataFrame, prompt: str = "prompt_id", comp_id: str = "comp_id") -> DataFrame:

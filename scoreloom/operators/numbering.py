@@ -9,7 +9,6 @@ nothing has to be pinned.
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -20,10 +19,10 @@ from pyspark.sql import types as T
 
 RANGE = "range_no"
 ROWS_PER_RANGE = 50_000
-# never more ranges than this, nor than a few per shuffle partition: exchanges
-# into very many partitions cost more than sorting a larger range
-MAX_RANGES = 50_000
-RANGES_PER_PARTITION = 4
+#: Small tables are cut as well, so that there is one way through.
+LEAST_RANGES = 4
+#: Cut points travel as text that the engine itself writes and reads, for any orderable type.
+EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 @dataclass(frozen=True)
@@ -36,16 +35,15 @@ class Ranges:
 
     keys: tuple[str, ...]
     types: tuple[T.DataType, ...]
-    cuts: tuple[tuple, ...]
+    cuts: tuple[str, ...]
     before: tuple[int, ...]
 
     def _key(self) -> Column:
         return F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(self.keys)))
 
     def _cut_literal(self) -> Column:
-        rows = [{f"k{i}": v for i, v in enumerate(cut)} for cut in self.cuts]
         fields = ",".join(f"k{i}:{t.simpleString()}" for i, t in enumerate(self.types))
-        return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")
+        return F.from_json(F.lit(f"[{','.join(self.cuts)}]"), f"array<struct<{fields}>>", EXACT)
 
     def number(self) -> Column:
         """Range of the row: a binary search over the cut points."""
@@ -62,7 +60,7 @@ class Ranges:
     def rows_before(self, range_no: Column) -> Column:
         if len(self.before) == 1:
             return F.lit(0).cast("bigint")
-        offsets = F.from_json(F.lit(json.dumps(list(self.before))), "array<bigint>")
+        offsets = F.from_json(F.lit(str(list(self.before))), "array<bigint>")
         return F.get(offsets, range_no)
 
     def is_cut(self, range_no: Column) -> Column:
@@ -78,8 +76,7 @@ def cut_ranges(
     unit: int = 1,
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> Ranges:
-    """Find cut points for ranges of about ``rows_per_range`` rows, or more if
-    that would make too many ranges.
+    """Find cut points for ranges of about ``rows_per_range`` rows.
 
     ``keys`` must be unique in total; nulls come first. With ``unit > 1`` every
     range starts at a multiple of ``unit``, so blocks of that many consecutive
@@ -89,8 +86,7 @@ def cut_ranges(
     types = tuple(f.dataType for f in narrow.schema.fields)
     keys = tuple(keys)
     total = narrow.count()
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = min(math.ceil(total / rows_per_range), RANGES_PER_PARTITION * tasks, MAX_RANGES)
+    parts = max(math.ceil(total / rows_per_range), min(LEAST_RANGES, total))
     if parts <= 1:
         return Ranges(keys, types, (), (0,))
     found = (
@@ -99,9 +95,10 @@ def cut_ranges(
         .groupBy("part")
         .agg(F.min(F.struct(*keys)).alias("low"), F.count("*").alias("rows"))
         .orderBy("low")
-        .collect()  # one row per range, at most MAX_RANGES
+        .select(_written(F.struct(*(F.col(f"low.`{k}`").alias(f"k{i}") for i, k in enumerate(keys)))).alias("low"), "rows")
+        .collect()  # one row per range
     )
-    cuts = tuple(tuple(row["low"]) for row in found[1:])
+    cuts = tuple(row["low"] for row in found[1:])
     before = [0]
     for row in found[:-1]:
         before.append(before[-1] + row["rows"])
@@ -121,7 +118,7 @@ def _aligned(narrow: DataFrame, ranges: Ranges, unit: int, total: int) -> Ranges
         while at + 1 < len(ranges.before) and ranges.before[at + 1] <= start:
             at += 1
         wanted[at] = start - ranges.before[at] + 1
-    place = F.from_json(F.lit(json.dumps(wanted)), "array<int>")
+    place = F.from_json(F.lit(str(wanted)), "array<int>")
     # only the first ``unit`` keys of a range can be a new cut point: the rank
     # limit drops the others before the exchange
     rank = F.row_number().over(Window.partitionBy(RANGE).orderBy(*ranges.keys))
@@ -130,11 +127,15 @@ def _aligned(narrow: DataFrame, ranges: Ranges, unit: int, total: int) -> Ranges
         .withColumn("rank", rank)
         .where(F.col("rank") <= unit)
         .where(F.col("rank") == F.get(place, F.col(RANGE)))
-        .select(*ranges.keys)
         .orderBy(*ranges.keys)
+        .select(_written(ranges._key()).alias("cut"))
         .collect()  # one row per range
     )
-    return Ranges(ranges.keys, ranges.types, tuple(tuple(row) for row in found), (0, *starts))
+    return Ranges(ranges.keys, ranges.types, tuple(row["cut"] for row in found), (0, *starts))
+
+
+def _written(key: Column) -> Column:
+    return F.to_json(key, EXACT)
 
 
 def number_rows(df: DataFrame, ranges: Ranges, name: str = "row_no", first: int = 1) -> DataFrame:

@@ -63,15 +63,16 @@ def encode(
     words = T.words_of(F.col(text))
     if max_length is not None:
         words = F.slice(words, 1, max_length)
-    tokens = df.select(key, F.posexplode_outer(words).alias("pos", "word")).select(
+    # dealt by key before the explode: the text moves once, and its tokens stay where they are
+    dealt = df.select(key, words.alias("words")).repartition(key)
+    tokens = dealt.select(key, F.posexplode_outer("words").alias("pos", "word")).select(
         key, "pos", F.coalesce("word", F.lit("")).alias("piece")
     )
     found = left_lookup(tokens, vocab.select("piece", "token_id"), "piece", ("piece",), small)
-    # position and id share one bigint: a quarter of the bytes of a struct to
-    # exchange, and the lists sort as plain numbers
-    packed = F.shiftleft(F.col("pos").cast("bigint"), 32) + F.coalesce("token_id", F.lit(unknown_id))
-    ordered = F.sort_array(F.collect_list(packed))
-    unpacked = F.transform(ordered, lambda e: e.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
+    placed = F.struct("pos", F.coalesce("token_id", F.lit(unknown_id)).cast("bigint").alias("id"))
+    placed = F.when(F.col("pos").isNotNull(), placed)
+    ordered = F.array_sort(F.collect_list(placed))
+    unpacked = F.transform(ordered, lambda e: e["id"])
     return found.groupBy(key).agg(unpacked.alias("input_ids"))
 
 

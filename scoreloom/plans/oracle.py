@@ -10,7 +10,6 @@ from scoreloom import constants as K
 from scoreloom.config import DEFAULT, RewardConfig
 from scoreloom.functions.text import WHITESPACE
 from scoreloom.plans.queries import LITERAL, SWEEP, TEXT_CAP, TIGHT_CLAMP
-from scoreloom.sources.derived import COMPLETIONS_SQL, INSTRUCT_ANSWER_SQL, INSTRUCT_CONTEXT_SQL
 
 ORDER = tuple(K.DEFAULT_WEIGHTS)
 
@@ -52,17 +51,35 @@ def any_of(column: str, entries) -> str:
     return "(" + " OR ".join(f"contains({column}, {q(w)})" for w in entries) + ")"
 
 
-SC = f"sc AS ({COMPLETIONS_SQL})"
+# the inputs are stated here on their own, so that a slip in the Spark side's shows
+SC = """docs AS (SELECT *, coalesce(text, '') AS t, doc_id % 10 AS k FROM documents), sc AS (
+ SELECT doc_id AS comp_id, doc_id // 4 AS prompt_id, CAST(doc_id % 4 AS INT) AS gen_idx, lang, source,
+  CASE WHEN k = 1 THEN '<think>بسبب ' || repeat('ن', doc_id % 23) || '</think><answer>من ' || t || '</answer>'
+   WHEN k = 2 THEN '<answer>من ' || t || '</answer><think>بسبب ' || repeat('ن', doc_id % 23) || '</think>'
+   WHEN k = 3 THEN '<think>من ' || t WHEN k = 4 THEN 'من ' || t || '</think>'
+   WHEN k = 5 THEN '<answer>من ' || t || '</answer>' WHEN k = 6 THEN repeat('ب', 1 + doc_id % 97) || ' ' || t
+   WHEN k = 7 THEN 'أنا آسف من ' || t WHEN k = 8 THEN 'لأن ' || repeat('ت', doc_id % 80) || ' ' || t || ' ما هذا؟'
+   ELSE t END AS completion FROM docs
+ UNION ALL
+ SELECT -doc_id - 1, doc_id // 4, CAST(4 + doc_id % 4 AS INT), lang, source,
+  [ '', repeat('ب', 1 + doc_id % 97), '<think>بسبب ' || repeat('ن', doc_id % 23) || '</think><answer>لأن</answer>',
+    'لأن ' || repeat('ت', doc_id % 80) || ' ما هذا؟' ][1 + doc_id % 4] FROM docs)"""
 
 PAIRS = """pairs AS (
  SELECT conv_id, turn, text AS user_text, nt AS assistant_text FROM (
   SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr,
          lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nt FROM conversations) p
  WHERE role = 'user' AND nr = 'assistant')"""
-SI = f"""{PAIRS}, si AS (
- SELECT conv_id * 1000 + turn AS ex_id, conv_id, concat(user_text, ' ', CAST(conv_id AS STRING)) AS instruction,
-  {INSTRUCT_CONTEXT_SQL} AS context, {INSTRUCT_ANSWER_SQL} AS answer
- FROM (SELECT *, assistant_text AS nt FROM pairs) x)"""
+SI = f"""{PAIRS}, dressed AS (
+ SELECT conv_id, turn, concat(user_text, ' ', conv_id) AS instruction,
+  CASE WHEN conv_id % 4 = 3 THEN 'ctx ' || turn WHEN conv_id % 4 = 1 THEN '   ' WHEN conv_id % 4 = 0 THEN '' END AS context,
+  [assistant_text, assistant_text[1:40] || ' إذن، ' || assistant_text[41:], 'إذن، ' || assistant_text,
+   assistant_text || ' إذن،  ', '   ' || assistant_text, assistant_text || '   ',
+   assistant_text || ' 2024 إذن، أ إذن، ب'][1 + conv_id % 7] AS answer FROM pairs), si AS (
+ SELECT conv_id * 4294967296 + turn AS ex_id, conv_id, instruction, context, answer FROM dressed
+ UNION ALL
+ SELECT -(conv_id * 4294967296 + turn) - 1, conv_id, instruction, context, CASE WHEN conv_id % 2 = 0 THEN '' ELSE '   ' END
+ FROM dressed)"""
 MARK = q(K.ANSWER_MARKER)
 PARTS = f"""{SI}, dg AS (
  SELECT ex_id, instruction, {digits('answer')} AS ans,

@@ -389,7 +389,7 @@ def _token_rows(spark, sf, max_length: int | None) -> DataFrame:
 
 @query
 def tokenized(spark, sf):
-    rows = sequences.training_rows(_token_rows(spark, sf, None))
+    rows = sequences.training_rows(_token_rows(spark, sf, K.MAX_SEQUENCE))
     return rows.select(
         "ex_id", F.size("input_ids").cast("bigint").alias("n_tokens"), joined("input_ids").alias("input_ids"),
         joined("attention_mask").alias("attention_mask"), joined("labels").alias("labels"),
@@ -443,7 +443,7 @@ def truncation_report(spark, sf):
 
 def _completion_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = derived.table(spark, sf, "documents").schema
-    return derived.completions_of(jobs.read_stream(spark, sf, schema, name="documents.parquet"))
+    return derived.completions_of(jobs.read_stream(spark, f"{sf}/documents.parquet", schema))
 
 
 @query
@@ -479,4 +479,4 @@ def stream_sliding_windows(spark, sf):
 @query
 def stream_group_advantage(spark, sf):
     stream = jobs.score_stream(_completion_stream(spark, sf)).select("comp_id", "prompt_id", "reward")
-    return _advantages(jobs.drained(stream, "stream-advantage", jobs.stream_advantage))
+    return _advantages(jobs.latest_advantages(jobs.drained(stream, "stream-advantage", jobs.stream_advantage)))

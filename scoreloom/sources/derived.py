@@ -1,7 +1,8 @@
 """Completion and instruction tables derived from the raw text tables.
 
 The raw text holds neither Arabic nor tags, so rows are dressed with both. Every
-document and every conversation pair goes in, with its whole text.
+document and every conversation pair goes in, with its whole text; empty and
+script-only texts are rows of their own.
 """
 
 from __future__ import annotations
@@ -10,26 +11,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.operators.conversations import turn_pairs
-from scoreloom.sources.tables import spread
 
-# the same text is read by both SQL engines
+# Each document gives a row with its whole text between marks, and a second row, with a
+# negative id, that is empty or holds hardly anything but script.
 COMPLETIONS_SQL = """
 SELECT doc_id AS comp_id, CAST(FLOOR(doc_id / 4.0) AS BIGINT) AS prompt_id,
  CAST(doc_id % 4 AS INT) AS gen_idx, lang, source,
  CASE doc_id % 10
-  WHEN 0 THEN ''
+  WHEN 0 THEN text
   WHEN 1 THEN concat('<think>', a, '</think><answer>', b, '</answer>')
   WHEN 2 THEN concat('<answer>', b, '</answer><think>', a, '</think>')
-  WHEN 3 THEN concat('<think>', a)
-  WHEN 4 THEN concat(a, '</think>')
+  WHEN 3 THEN concat('<think>', b)
+  WHEN 4 THEN concat(b, '</think>')
   WHEN 5 THEN concat('<answer>', b, '</answer>')
-  WHEN 6 THEN repeat('ب', CAST(1 + doc_id % 97 AS INT))
+  WHEN 6 THEN concat(repeat('ب', CAST(1 + doc_id % 97 AS INT)), ' ', text)
   WHEN 7 THEN concat('أنا آسف ', b)
-  WHEN 8 THEN concat('لأن ', repeat('ت', CAST(doc_id % 80 AS INT)), ' ما هذا؟')
+  WHEN 8 THEN concat('لأن ', repeat('ت', CAST(doc_id % 80 AS INT)), ' ', text, ' ما هذا؟')
   ELSE text END AS completion
-FROM (SELECT doc_id, text, lang, source,
+FROM (SELECT doc_id, coalesce(text, '') AS text, lang, source,
              concat('بسبب ', repeat('ن', CAST(doc_id % 23 AS INT))) AS a,
-             concat('من ', text) AS b FROM documents) s
+             concat('من ', coalesce(text, '')) AS b FROM documents) s
+UNION ALL
+SELECT -1 - doc_id AS comp_id, CAST(FLOOR(doc_id / 4.0) AS BIGINT) AS prompt_id,
+ CAST(4 + doc_id % 4 AS INT) AS gen_idx, lang, source,
+ CASE doc_id % 4
+  WHEN 0 THEN ''
+  WHEN 1 THEN repeat('ب', CAST(1 + doc_id % 97 AS INT))
+  WHEN 2 THEN concat('<think>بسبب ', repeat('ن', CAST(doc_id % 23 AS INT)), '</think><answer>لأن</answer>')
+  ELSE concat('لأن ', repeat('ت', CAST(doc_id % 80 AS INT)), ' ما هذا؟') END AS completion
+FROM documents
 """
 
 INSTRUCT_CONTEXT_SQL = """
@@ -38,14 +48,16 @@ INSTRUCT_CONTEXT_SQL = """
 """
 INSTRUCT_ANSWER_SQL = """
  CASE conv_id % 7
-  WHEN 0 THEN nt
   WHEN 1 THEN concat(substr(nt, 1, 40), ' إذن، ', substr(nt, 41))
   WHEN 2 THEN concat('إذن، ', nt)
   WHEN 3 THEN concat(nt, ' إذن،  ')
-  WHEN 4 THEN ''
-  WHEN 5 THEN '   '
-  ELSE concat(nt, ' 2024 إذن، أ إذن، ب') END
+  WHEN 4 THEN concat('   ', nt)
+  WHEN 5 THEN concat(nt, '   ')
+  WHEN 6 THEN concat(nt, ' 2024 إذن، أ إذن، ب')
+  ELSE nt END
 """
+#: Turns of one conversation that ``ex_id`` can tell apart; larger ids end the query, they never meet.
+TURNS = 1 << 32
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,19 +70,24 @@ def completions_of(documents: DataFrame) -> DataFrame:
 
 
 def instructions_of(conversations: DataFrame) -> DataFrame:
-    """Instruction rows, one per user turn that has an answer."""
+    """Instruction rows: each user turn with its answer, and once more with a blank one."""
     pairs = turn_pairs(conversations).withColumnRenamed("assistant_text", "nt")
+    ex_id = F.col("conv_id") * F.lit(TURNS) + F.col("turn")
+    blank = F.when(F.col("conv_id") % 2 == 0, "").otherwise("   ")
+    kinds = F.array(
+        F.struct(ex_id.alias("ex_id"), F.expr(INSTRUCT_ANSWER_SQL).alias("answer")),
+        F.struct((-1 - ex_id).alias("ex_id"), blank.alias("answer")),
+    )
     return pairs.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("ex_id"),
         "conv_id",
         F.concat("user_text", F.lit(" "), F.col("conv_id").cast("string")).alias("instruction"),
         F.expr(INSTRUCT_CONTEXT_SQL).alias("context"),
-        F.expr(INSTRUCT_ANSWER_SQL).alias("answer"),
-    )
+        F.explode(kinds).alias("kind"),
+    ).select("kind.ex_id", "conv_id", "instruction", "context", "kind.answer")
 
 
 def completions(spark: SparkSession, folder: str) -> DataFrame:
-    return completions_of(spread(table(spark, folder, "documents"), "doc_id"))
+    return completions_of(table(spark, folder, "documents"))
 
 
 def instructions(spark: SparkSession, folder: str) -> DataFrame:

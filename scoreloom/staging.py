@@ -7,30 +7,19 @@ the task: the table sits on shared storage and its lineage is a file scan.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-_local_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session, or one of our own in local mode."""
-    configured = spark.conf.get(_SETTING, None)
-    if configured:
-        return configured
-    context = spark.sparkContext
-    already = context.getCheckpointDir()
-    if already:
-        return already
-    if not context.master.startswith("local"):
+    """The shared folder named by the session."""
+    configured = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
+    if not configured:
         raise RuntimeError(f"set {_SETTING} to a folder every executor can reach")
-    app = context.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="scoreloom-")
-    return _local_dirs[app]
+    return configured
 
 
 def _own_folder(spark: SparkSession) -> str:

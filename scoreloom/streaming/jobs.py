@@ -17,19 +17,20 @@ from scoreloom.staging import fresh_path
 
 def read_stream(
     spark: SparkSession,
-    folder: str,
+    path: str,
     schema: T.StructType,
     fmt: str = "parquet",
-    name: str | None = None,
     files_per_batch: int | None = None,
 ) -> DataFrame:
-    """Files arriving in a folder; ``name`` restricts them by file name pattern."""
+    """A table as a stream of its files: a folder that files arrive in, or a single file."""
     reader = spark.readStream.format(fmt).schema(schema)
-    if name is not None:
-        reader = reader.option("pathGlobFilter", name)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(folder)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        # a file source lists folders: this one's, and of it only the file
+        return reader.option("pathGlobFilter", place.getName()).load(place.getParent().toString())
+    return reader.load(path)
 
 
 def utc_instant(wall_clock: Column) -> Column:
@@ -123,12 +124,31 @@ def per_batch_to(
 
 
 def stream_advantage(scored: DataFrame, path: str, checkpoint: str, eps: float = 1e-4) -> None:
-    """Group-relative advantage per micro-batch.
+    """Group-relative advantage, whatever micro-batches the completions of a prompt come in.
 
-    A generator hands over all completions of a prompt at once, so a prompt is
-    complete within its micro-batch.
+    Each micro-batch keeps its rows and writes anew the prompts it touches, from all their
+    rows so far; ``latest_advantages`` reads the last word on each prompt.
     """
-    per_batch_to(scored, path, checkpoint, lambda batch: group_advantage(batch, eps=eps))
+    rows = f"{path}-rows"
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        own = f"{rows}/batch_no={number}"
+        batch.write.mode("overwrite").parquet(own)
+        touched = spark.read.parquet(own).select("prompt_id").distinct()
+        known = spark.read.option("basePath", rows).parquet(rows).where(F.col("batch_no") <= number).drop("batch_no")
+        out = group_advantage(known.join(touched, "prompt_id", "left_semi"), eps=eps)
+        out.write.mode("overwrite").parquet(f"{path}/batch_no={number}")
+
+    _finish(
+        scored.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def latest_advantages(table: DataFrame) -> DataFrame:
+    """Of the written advantages, those of each prompt's last micro-batch."""
+    last = table.groupBy("prompt_id").agg(F.max("batch_no").alias("batch_no"))
+    return table.join(last, ["prompt_id", "batch_no"], "left_semi").drop("batch_no")
 
 
 def drained(stream: DataFrame, label: str, write: Callable[[DataFrame, str, str], None]) -> DataFrame:

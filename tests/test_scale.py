@@ -139,3 +139,36 @@ def test_staged_tables_can_be_dropped(spark, tmp_path, monkeypatch):
     staging.staged(spark.range(3), "unit")
     assert list(tmp_path.rglob("*.parquet"))
     assert staging.drop_staged(spark) and not list(tmp_path.rglob("*.parquet"))
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "date", "decimal(20,4)"])
+def test_ranges_of_any_orderable_key(spark, kind):
+    from scoreloom.operators.numbering import cut_ranges, number_rows
+
+    at = {"timestamp": "timestamp_micros(1700000000000000 + id * 1234567)", "date": "date_add(date'2020-01-01', CAST(id AS INT))"}
+    df = spark.range(500).selectExpr("id", f"CAST({at.get(kind, 'id / 8')} AS {kind}) AS k").repartition(5)
+    ranges = cut_ranges(df, ["k"], rows_per_range=40)
+    assert len(ranges.cuts) > 5
+    got = number_rows(df, ranges).select("id", "row_no").collect()
+    assert all(r["row_no"] == r["id"] + 1 for r in got)
+
+
+def test_whole_texts_reach_the_derived_rows(spark, small):
+    from scoreloom.sources import derived
+
+    docs = derived.table(spark, small, "documents")
+    rows = derived.completions(spark, small)
+    assert rows.count() == rows.select("comp_id").distinct().count() == 2 * docs.count()
+    held = docs.join(rows, docs["doc_id"] == rows["comp_id"]).where("contains(completion, text)")
+    assert held.count() == docs.count()
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for c, n in ((0, 2400), (1, 2)) for t in range(n)]
+    made = derived.instructions_of(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"))
+    assert made.count() == made.select("ex_id").distinct().count() == 2 * 1201
+
+
+def test_unknown_ids_are_shown(spark):
+    from scoreloom.operators.alignment import UNKNOWN_PIECE, decode_ids
+
+    vocab = spark.createDataFrame([(3, "a", False), (4, "b", False), (1, "s", True)], "token_id bigint, piece string, is_special boolean")
+    batch = spark.createDataFrame([(1, [3, 999999, 1, 4])], "prompt_id bigint, input_ids array<int>")
+    assert decode_ids(batch, vocab).first()["prompt"] == f"a{UNKNOWN_PIECE}b"

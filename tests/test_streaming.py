@@ -73,7 +73,21 @@ def test_late_rows_are_dropped(spark, tmp_path):
 def test_advantage_equals_batch(spark, folder, files):
     batch = group_advantage(score_completions(spark.read.parquet(folder)).select("comp_id", "prompt_id", "reward"))
     stream = jobs.score_stream(stream_of(spark, folder, files)).select("comp_id", "prompt_id", "reward")
-    out = jobs.drained(stream, "advantage", jobs.stream_advantage)
+    out = jobs.latest_advantages(jobs.drained(stream, "advantage", jobs.stream_advantage))
+    columns = ["comp_id", F.round("advantage", 9).alias("advantage")]
+    assert rows(out.select(columns)) == rows(batch.select(columns))
+
+
+@pytest.mark.parametrize("files", [1, 2])
+def test_advantage_of_a_prompt_in_two_files(spark, tmp_path, files):
+    path = str(tmp_path / "split")
+    for part in ([(1, 7, "نص"), (2, 7, "نص طويل")], [(3, 7, ""), (4, 7, "لأن")]):
+        df = spark.createDataFrame(part, "comp_id bigint, prompt_id bigint, completion string")
+        df.coalesce(1).write.mode("append").parquet(path)
+    score = lambda df: score_completions(df).select("comp_id", "prompt_id", "reward")
+    batch = group_advantage(score(spark.read.parquet(path)))
+    stream = jobs.read_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=files)
+    out = jobs.latest_advantages(jobs.drained(score(stream), "split", jobs.stream_advantage))
     columns = ["comp_id", F.round("advantage", 9).alias("advantage")]
     assert rows(out.select(columns)) == rows(batch.select(columns))
 
