@@ -102,7 +102,10 @@ def drop_exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] =
         F.col("row.doc_id").alias("id"),
     )
     won = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("d"))
-    kept = keyed.join(classes.select(F.col("digest").alias("d"), "keep_id"), won, "left_semi")
+    if ambiguous:
+        classes = text_classes(_digested(docs, digest)).withColumnRenamed("norm", "t")
+        won &= lower_ascii(F.col("row.text")) == F.col("t")
+    kept = keyed.join(classes.withColumnRenamed("digest", "d"), won, "left_semi")
     text = lower_ascii(F.col("row.text")) if ambiguous else F.lit(0)
     first = F.row_number().over(
         Window.partitionBy("digest", F.coalesce("id", F.lit(0)), F.isnull("id"), text).orderBy(F.xxhash64("row.text"))

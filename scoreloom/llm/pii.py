@@ -64,12 +64,15 @@ def advance(found: str, gaps: str) -> Column:
 
 def spans(found: str, gaps: str, steps: str) -> Column:
     """``array<struct<start, end, piece>>`` from the columns of ``matches``, in code points."""
+    # the sum before each run once, then within the run
+    bases = (
+        f"transform(sequence(0, CAST((size({found}) - 1) div {RUN} AS INT)), c -> named_struct("
+        f"'at', c * {RUN}, 'sum', aggregate(slice({steps}, 1, c * {RUN}), 0, (a, x) -> a + x)))"
+    )
     runs = (
-        f"flatten(transform(sequence(0, CAST((size({found}) - 1) div {RUN} AS INT)), c -> transform("
-        f"slice({found}, c * {RUN} + 1, {RUN}), (p, i) -> named_struct("
-        f"'start', aggregate(slice({steps}, 1, c * {RUN}), 0, (a, x) -> a + x)"
-        f" + aggregate(slice({steps}, c * {RUN} + 1, i), 0, (a, x) -> a + x)"
-        f" + element_at({gaps}, c * {RUN} + i + 1), 'piece', p))))"
+        f"flatten(transform({bases}, r -> transform(slice({found}, r.at + 1, {RUN}), (p, i) -> named_struct("
+        f"'start', r.sum + aggregate(slice({steps}, r.at + 1, i), 0, (a, x) -> a + x)"
+        f" + element_at({gaps}, r.at + i + 1), 'piece', p))))"
     )
     whole = f"transform({runs}, s -> named_struct('start', s.start, 'end', s.start + length(s.piece), 'piece', s.piece))"
     none = "CAST(array() AS array<struct<start: int, end: int, piece: string>>)"
