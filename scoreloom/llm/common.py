@@ -55,6 +55,49 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of the values are in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
+#: Bytes of a text hashed at once; a longer word is still hashed whole.
+BLOCK_BYTES = 1 << 18
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_up_to(n: int) -> list[np.ndarray]:
+    """Powers of an odd number, and of its inverse, modulo 2**64."""
+    if len(_powers[0]) < n:
+        base = int(ODD)
+        for k, b in enumerate((base, pow(base, -1, 1 << 64))):
+            _powers[k] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, b, np.uint64)]), dtype=np.uint64)
+    return _powers
+
+
+def text_hashes(text: bytes) -> np.ndarray:
+    """The 64-bit hash of each word of a text: a polynomial over its bytes, from running sums."""
+    parts, at = [], 0
+    while at < len(text):
+        end = min(len(text), at + BLOCK_BYTES)
+        while end < len(text) and not _SPACE[text[end]]:
+            end += 1
+        chars = np.frombuffer(text, np.uint8, end - at, at)
+        inside = np.zeros(len(chars) + 2, bool)
+        np.logical_not(_SPACE[chars], out=inside[1:-1])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        powers, inverse = _powers_up_to(max(len(chars) + 1, BLOCK_BYTES + 1))
+        sums = np.zeros(len(chars) + 1, np.uint64)
+        np.cumsum(_BYTE[chars] * powers[: len(chars)], out=sums[1:])
+        starts, ends = edges[0::2], edges[1::2]
+        parts.append(mix((sums[ends] - sums[starts]) * inverse[starts]))
+        at = end
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
 def gram_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
     """The hash of each run of ``n`` consecutive words."""
     count = len(word_hashes) - n + 1

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from scoreloom.llm.common import ODD, WordHashes, bytes_of, gram_hashes, mix
+from scoreloom.llm.common import ODD, among, bytes_of, gram_hashes, mix, text_hashes
 
 WORDS, SIMILARITY = 5, 0.75
 BITS, BLOCKS, BLOCK_RADIUS = 128, 16, 2
@@ -44,7 +44,6 @@ PART = 2_000
 #: Windows fingerprinted at once.
 WINDOWS = 4_096
 FOUND = "array<struct<item_id: bigint, from_word: bigint, n_words: bigint, similarity: double>>"
-_hashes = WordHashes()
 
 
 def _grams(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -77,7 +76,7 @@ class Items:
         self.by_length: dict[int, dict] = {}
         shingles: dict[int, list[np.ndarray]] = {}
         for item, text in items:
-            hashes = WordHashes().of(text.encode().lower().split())
+            hashes = text_hashes(text.encode().lower())
             if not len(hashes):
                 continue
             grams = _grams(hashes, len(hashes))
@@ -101,12 +100,12 @@ class Items:
 
     def search(self, text: bytes | None) -> list[dict]:
         """The best window of each item the text holds."""
-        hashes = _hashes.of((text or b"").lower().split())
+        hashes = text_hashes((text or b"").lower())
         best: dict[int, dict] = {}
         for n in self.shingles:
             grams = gram_hashes(hashes, n)
             hits = np.flatnonzero(self.sieves[n][(grams & np.uint64(0x3FFFF)).astype(np.int64)])
-            hits = hits[np.isin(grams[hits], self.shingles[n])]
+            hits = hits[among(grams[hits], self.shingles[n])]
             if len(hits):
                 self._windows(grams, hits, n, len(hashes), best)
         return sorted(best.values(), key=lambda x: x["item_id"])
@@ -116,7 +115,7 @@ class Items:
             width = length - n + 1
             if min(WORDS, length) != n or length > n_words:
                 continue
-            own = hits[np.isin(grams[hits], group["shingles"])]
+            own = hits[among(grams[hits], group["shingles"])]
             if not len(own):
                 continue
             # starts of windows that hold a hit, as runs of consecutive starts

@@ -12,6 +12,7 @@ from compare import connect, differences
 from scoreloom.llm import (
     chat, decontaminate, exact_dedup, langid, licenses, lm, mixing, near_dedup, pii, queries, substrings,
 )
+from scoreloom.llm import common
 from scoreloom.llm.common import WordHashes, gram_hashes
 from scoreloom.llm.components import components
 
@@ -53,6 +54,16 @@ def test_query_equals_sql(spark, small, name):
     con.close()
 
 
+@pytest.mark.parametrize("block", [7, 1 << 18])
+def test_text_hashes_cut_and_tell_words_apart(monkeypatch, block):
+    monkeypatch.setattr(common, "BLOCK_BYTES", block)
+    texts = [b"", b" \t\r\n", b"one", b"a b\x0bc \x1cd  a", LONG.encode(), "ß ss ß".encode(), b"x" * 5000 + b" x"]
+    for t in texts:
+        words, found = t.split(), common.text_hashes(t).tolist()
+        assert len(found) == len(words)
+        assert len(set(zip(words, found, strict=True))) == len(set(words)) == len(set(found))
+
+
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
