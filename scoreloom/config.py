@@ -47,6 +47,8 @@ class RewardConfig:
     think_answer_reward_value: float = 1.0
     think_answer_penalty_value: float = -1.0
     think_answer_order_penalty: float = -0.5
+    think_tags: tuple[str, str] = K.THINK_TAGS
+    answer_tags: tuple[str, str] = K.ANSWER_TAGS
     clamp_rewards: Mapping[str, float | None] | None = field(
         default_factory=lambda: {"min": -5.0, "max": 5.0}
     )
@@ -67,6 +69,11 @@ class RewardConfig:
             if isinstance(words, str) or not all(isinstance(w, str) for w in words):
                 raise TypeError(f"{name} must be a sequence of strings")
             object.__setattr__(self, name, tuple(words))
+        for name in ("think_tags", "answer_tags"):
+            tags = tuple(getattr(self, name))
+            if len(tags) != 2 or not all(isinstance(t, str) and t for t in tags):
+                raise ValueError(f"{name} must be an opening and a closing tag, not {tags!r}")
+            object.__setattr__(self, name, tags)
         object.__setattr__(self, "weights", MappingProxyType(dict(self.weights)))
         if self.clamp_rewards is not None:
             object.__setattr__(self, "clamp_rewards", MappingProxyType(dict(self.clamp_rewards)))

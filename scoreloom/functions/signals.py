@@ -34,13 +34,13 @@ def measure(df: DataFrame, config: RewardConfig, text: str = "completion") -> Da
         raise ValueError(f"the table has columns {taken} of its own; rename or drop them")
     name = sql.column(text)
     body = f"coalesce({name}, '')"
-    think_close, answer_close = K.THINK_TAGS[1], K.ANSWER_TAGS[1]
+    think, answer = config.think_tags, config.answer_tags
     first = df.withColumns(
         {
             "text_length": F.expr(f"length({body})"),
             "script_length": F.expr(script_count(body)),
-            "think_at": F.expr(pair_start(body, K.THINK_TAGS)),
-            "answer_at": F.expr(pair_start(body, K.ANSWER_TAGS)),
+            "think_at": F.expr(pair_start(body, think)),
+            "answer_at": F.expr(pair_start(body, answer)),
             "has_keyword": F.expr(T.contains_any(body, config.keywords_to_reward)),
             "has_forbidden": F.expr(T.contains_any(body, config.keywords_to_penalize)),
             "has_question_word": F.expr(T.contains_any(body, config.arabic_question_words)),
@@ -49,10 +49,10 @@ def measure(df: DataFrame, config: RewardConfig, text: str = "completion") -> Da
     )
     return first.withColumns(
         {
-            "think_end": F.expr(pair_end(body, "think_at", K.THINK_TAGS)),
-            "answer_end": F.expr(pair_end(body, "answer_at", K.ANSWER_TAGS)),
-            "has_think_tag": F.expr(f"think_at > 0 OR contains({body}, {sql.text(think_close)})"),
-            "has_answer_tag": F.expr(f"answer_at > 0 OR contains({body}, {sql.text(answer_close)})"),
+            "think_end": F.expr(pair_end(body, "think_at", think)),
+            "answer_end": F.expr(pair_end(body, "answer_at", answer)),
+            "has_think_tag": F.expr(f"think_at > 0 OR contains({body}, {sql.text(think[1])})"),
+            "has_answer_tag": F.expr(f"answer_at > 0 OR contains({body}, {sql.text(answer[1])})"),
         }
     )
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from scoreloom import constants as K
 from scoreloom.config import DEFAULT, RewardConfig
 from scoreloom.functions import signals as S
 from scoreloom.functions import sqltext as sql
@@ -20,7 +19,7 @@ from scoreloom.functions import text as T
 def definitions(config: RewardConfig = DEFAULT, prefix: str = "reward_") -> dict[str, str]:
     """Function bodies by signature, in the order they have to be created."""
     body = "coalesce(txt, '')"
-    think_close, answer_close = K.THINK_TAGS[1], K.ANSWER_TAGS[1]
+    think, answer = config.think_tags, config.answer_tags
     words = {
         "has_keyword": ("contains_keywords", S.keyword_presence, config.keywords_to_reward),
         "has_forbidden": ("not_contains_forbidden", S.forbidden_absence, config.keywords_to_penalize),
@@ -46,14 +45,14 @@ def definitions(config: RewardConfig = DEFAULT, prefix: str = "reward_") -> dict
         f"{prefix}of_tags(think_at INT, answer_at INT, think_end INT, answer_end INT,"
         " has_think_tag BOOLEAN, has_answer_tag BOOLEAN)": S.tag_structure(config),
         f"{prefix}of_openings(txt STRING, think_at INT, answer_at INT)": (
-            f"{prefix}of_tags(think_at, answer_at, {S.pair_end('txt', 'think_at', K.THINK_TAGS)},"
-            f" {S.pair_end('txt', 'answer_at', K.ANSWER_TAGS)},"
-            f" think_at > 0 OR contains(txt, {sql.text(think_close)}),"
-            f" answer_at > 0 OR contains(txt, {sql.text(answer_close)}))"
+            f"{prefix}of_tags(think_at, answer_at, {S.pair_end('txt', 'think_at', think)},"
+            f" {S.pair_end('txt', 'answer_at', answer)},"
+            f" think_at > 0 OR contains(txt, {sql.text(think[1])}),"
+            f" answer_at > 0 OR contains(txt, {sql.text(answer[1])}))"
         ),
         f"{prefix}think_answer_tags(txt STRING)": (
-            f"{prefix}of_openings({body}, {S.pair_start(body, K.THINK_TAGS)},"
-            f" {S.pair_start(body, K.ANSWER_TAGS)})"
+            f"{prefix}of_openings({body}, {S.pair_start(body, think)},"
+            f" {S.pair_start(body, answer)})"
         ),
     }
     total = " + ".join(

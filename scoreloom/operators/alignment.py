@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.config import DEFAULT, RewardConfig
 from scoreloom.operators.lookup import left_lookup
+from scoreloom.operators.scoring import export_rewards, score_completions
 
 #: Shown for an id that the vocabulary does not hold.
 UNKNOWN_PIECE = "\ufffd"
@@ -91,3 +93,20 @@ def decode_ids(
     text = F.array_join(F.transform(ordered, lambda s: s["piece"]), separator)
     return pieces.groupBy(key).agg(text.alias("prompt"))
 
+
+def reward_callback(
+    completions: DataFrame,
+    prompts: DataFrame,
+    vocab: DataFrame,
+    config: RewardConfig = DEFAULT,
+    separator: str = "",
+    ids: tuple[str, ...] = (),
+) -> DataFrame:
+    """What a trainer asks for: ``(*ids, pos, prompt, reward)``, the reward a 32-bit float.
+
+    ``completions`` are numbered by ``pos``, ``prompts`` by ``prompt_pos``, both from 0. Prompts
+    come as text or as token ids of ``vocab``; those given as ids are decoded first. ``pos`` gives the order.
+    """
+    texts = decode_ids(prompts, vocab, key="prompt_pos", separator=separator)
+    scored = score_completions(align_prompts(completions, texts), config)
+    return export_rewards(scored, *ids, "pos", "prompt")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from scoreloom import constants as K
 from scoreloom.config import DEFAULT, RewardConfig
 from scoreloom.functions.text import WHITESPACE
-from scoreloom.plans.queries import LITERAL, SWEEP, TEXT_CAP, TIGHT_CLAMP
+from scoreloom.plans.queries import FROM_MAPPING, LITERAL, PAGE_TAGS, SESSION_GAP_MS, SWEEP, TEXT_CAP, TIGHT_CLAMP
 
 ORDER = tuple(K.DEFAULT_WEIGHTS)
 
@@ -116,13 +116,13 @@ def tag(column: str, name: str, body: str) -> str:
     return f"strpos({body}, {q(opening)})"
 
 
-def measured(config: RewardConfig = DEFAULT, source: str = "sc") -> str:
+def measured(config: RewardConfig = DEFAULT, source: str = "sc", first: str = "think", then: str = "answer") -> str:
     c = "completion"
     return f"""me AS (SELECT *, length({c}) AS n, len(regexp_extract_all({c}, {ARABIC})) AS ar,
- {tag('complete', 'think', c)} AS tc, {tag('complete', 'answer', c)} AS ac,
- {tag('at', 'think', c)} AS ta, {tag('at', 'answer', c)} AS aa,
- contains({c}, '<think>') OR contains({c}, '</think>') AS tp,
- contains({c}, '<answer>') OR contains({c}, '</answer>') AS ap,
+ {tag('complete', first, c)} AS tc, {tag('complete', then, c)} AS ac,
+ {tag('at', first, c)} AS ta, {tag('at', then, c)} AS aa,
+ contains({c}, '<{first}>') OR contains({c}, '</{first}>') AS tp,
+ contains({c}, '<{then}>') OR contains({c}, '</{then}>') AS ap,
  {any_of(c, config.keywords_to_reward)} AS kw, {any_of(c, config.keywords_to_penalize)} AS fw,
  {any_of(c, config.arabic_question_words)} AS qw, suffix({strip(c)}, {q(K.QUESTION_MARK)}) AS qm FROM {source})"""
 
@@ -393,4 +393,24 @@ ORACLES: dict[str, str] = {
  {r6('avg(reward)')} AS mean_reward, count(*) AS n_rows
  FROM rw JOIN events ON event_id = comp_id, (VALUES (0), (1200), (2400)) w(k) GROUP BY 1""",
     "stream_group_advantage": ADVANTAGE,
+    "stream_session_windows": f"""{full()}, e AS (SELECT source, ts, reward FROM rw JOIN events ON event_id = comp_id),
+ g AS (SELECT *, CASE WHEN epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY source ORDER BY ts) < {SESSION_GAP_MS}
+   THEN 0 ELSE 1 END AS opens FROM e),
+ s AS (SELECT *, sum(opens) OVER (PARTITION BY source ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+ SELECT CAST(floor(epoch(min(ts))) AS BIGINT) AS window_start, source, {r6('avg(reward)')} AS mean_reward,
+  count(*) AS n_rows FROM s GROUP BY source, session""",
+    "reward_page_tags": f"""WITH pg AS (SELECT page_id, coalesce(html, '') AS completion FROM pages),
+ {measured(PAGE_TAGS, 'pg', 'title', 'article')}, {scored(PAGE_TAGS)}
+ SELECT page_id, {r6('r_think_answer_tags')} AS tag_score, {r6('reward')} AS reward FROM rw""",
+    "reward_from_mapping": f"{full(FROM_MAPPING)} SELECT comp_id, {r6('reward')} AS reward FROM rw",
+    "split_read_back": f"""WITH {SC} SELECT comp_id, prompt_id, completion, 'test' AS split FROM sc
+ WHERE comp_id % 10 = 0""",
+    "reward_callback": f"""{full()}, {SI},
+ p AS (SELECT row_number() OVER (ORDER BY ex_id) - 1 AS prompt_pos,
+   array_to_string({words('instruction')}, ' ') AS prompt FROM si),
+ c AS (SELECT comp_id, reward, row_number() OVER (ORDER BY comp_id) - 1 AS pos FROM rw),
+ k AS (SELECT comp_id, pos, reward, CASE WHEN n % m = 0 THEN pos // (n // m) ELSE pos % m END AS prompt_pos
+  FROM c, (SELECT count(*) AS n FROM c) x, (SELECT count(*) AS m FROM p) y)
+ SELECT comp_id, CAST(pos AS BIGINT) AS pos, prompt,
+  round(CAST(CAST(reward AS FLOAT) AS DOUBLE), 4) + CAST(0 AS DOUBLE) AS reward FROM k JOIN p USING (prompt_pos)""",
 }

@@ -16,8 +16,8 @@ from scoreloom.functions.templates import CHATML, PLAIN
 from scoreloom.operators import alignment, conversations, groups, prepare, sequences
 from scoreloom.operators.numbering import RANGE, cut_ranges, number_rows
 from scoreloom.operators.scoring import component_log, export_rewards, score_completions
-from scoreloom.sources import derived
-from scoreloom.staging import staged
+from scoreloom.sources import derived, tables
+from scoreloom.staging import fresh_path, staged
 from scoreloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +32,23 @@ SWEEP: dict[str, RewardConfig] = {
     "unclamped": DEFAULT.with_(clamp_rewards=None),
 }
 TIGHT_CLAMP = DEFAULT.with_(clamp_rewards={"min": -2.0, "max": 1.0})
+PAGE_TAGS = DEFAULT.with_(think_tags=("<title>", "</title>"), answer_tags=("<article>", "</article>"))
+FROM_MAPPING = RewardConfig.from_mapping(
+    {
+        "weights": {**K.DEFAULT_WEIGHTS, "length": 0.2},
+        "arabic_penalty_factor": 4.0,
+        "reward_keywords_value": 0.5,
+        "forbidden_penalty_value": 1.0,
+        "q_words_penalty_value": 0.5,
+        "keywords_to_reward": ["لأن", "the"],
+        "keywords_to_penalize": ["أنا آسف"],
+        "arabic_question_words": ["من"],
+        "target_length": 500,
+    }
+)
 TEXT_CAP = 64
+# no multiple of a second: events a whole gap apart would be a matter of taste
+SESSION_GAP_MS = 600_500
 
 
 def query(function: Query) -> Query:
@@ -223,6 +239,39 @@ def reward_export(spark, sf):
     return exported.select("comp_id", (F.round(F.col("reward").cast("double"), 4) + F.lit(0.0)).alias("reward"))
 
 
+@query
+def reward_page_tags(spark, sf):
+    pages = derived.table(spark, sf, "pages").select("page_id", "html")
+    return score_completions(pages, PAGE_TAGS, text="html").select(
+        "page_id", r6("r_think_answer_tags", "tag_score"), r6("reward", "reward")
+    )
+
+
+@query
+def reward_from_mapping(spark, sf):
+    return scored(spark, sf, FROM_MAPPING).select("comp_id", r6("reward", "reward"))
+
+
+@query
+def split_read_back(spark, sf):
+    split = F.when(F.col("comp_id") % 10 == 0, "test").otherwise("train").alias("split")
+    rows = completions(spark, sf).select("comp_id", "prompt_id", "completion", split)
+    path = fresh_path(spark, "by-split")
+    tables.write_table(rows, path, partition_by=("split",))
+    return tables.read_table(spark, path, split="test")
+
+
+@query
+def reward_callback(spark, sf):
+    rows = _positions(completions(spark, sf).select("comp_id", "completion"), ["comp_id"], "pos")
+    asked = instructions(spark, sf).select("ex_id", "instruction")
+    vocab = sequences.build_vocab(asked, "instruction")
+    ids = sequences.encode(asked, vocab, "instruction").withColumnRenamed("input_ids", "prompt_input_ids")
+    prompts = _positions(ids.select("ex_id", "prompt_input_ids"), ["ex_id"], "prompt_pos")
+    rewards = alignment.reward_callback(rows, prompts, vocab, separator=" ", ids=("comp_id",))
+    return rewards.withColumn("reward", F.round(F.col("reward").cast("double"), 4) + F.lit(0.0))
+
+
 @query
 def reward_components_long(spark, sf):
     return component_log(scored(spark, sf)).select(
@@ -476,6 +525,21 @@ def stream_sliding_windows(spark, sf):
     return _stream_windows(spark, sf, width="1 hour", slide="20 minutes")
 
 
+@query
+def stream_session_windows(spark, sf):
+    events = derived.table(spark, sf, "events").select(
+        F.col("event_id").alias("comp_id"), jobs.utc_instant(F.col("ts")).alias("ts")
+    )
+    stream = jobs.score_stream(_completion_stream(spark, sf)).select("comp_id", "source", "reward").join(events, "comp_id")
+    table = jobs.drained(
+        jobs.reward_windows(stream, session_gap=f"{SESSION_GAP_MS} milliseconds", by=("source",)), "stream-sessions",
+        lambda s, path, state: jobs.per_batch_to(s, path, state, mode="complete"),
+    )
+    return table.select(
+        F.unix_timestamp("window_start").alias("window_start"), "source", r6("mean_reward", "mean_reward"), "n_rows"
+    )
+
+
 @query
 def stream_group_advantage(spark, sf):
     stream = jobs.score_stream(_completion_stream(spark, sf)).select("comp_id", "prompt_id", "reward")
