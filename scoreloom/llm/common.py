@@ -80,6 +80,11 @@ def _powers_up_to(n: int) -> list[np.ndarray]:
 
 def text_hashes(text: bytes) -> np.ndarray:
     """The 64-bit hash of each word of a text: a polynomial over its bytes, from running sums."""
+    return text_words(text)[0]
+
+
+def text_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each word of a text, and the bytes where it starts and ends."""
     parts, at = [], 0
     while at < len(text):
         end = min(len(text), at + BLOCK_BYTES)
@@ -93,9 +98,12 @@ def text_hashes(text: bytes) -> np.ndarray:
         sums = np.zeros(len(chars) + 1, np.uint64)
         np.cumsum(_BYTE[chars] * powers[: len(chars)], out=sums[1:])
         starts, ends = edges[0::2], edges[1::2]
-        parts.append(mix((sums[ends] - sums[starts]) * inverse[starts]))
+        parts.append((mix((sums[ends] - sums[starts]) * inverse[starts]), starts + at, ends + at))
         at = end
-    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    hashes, starts, ends = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return hashes, starts, ends
 
 
 def gram_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:

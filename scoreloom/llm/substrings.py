@@ -34,9 +34,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import WordHashes, bytes_of, gram_hashes, map_batches, mix, pack, unpack
+from scoreloom.llm.common import among, bytes_of, gram_hashes, map_batches, mix, pack, text_words, unpack
 
 LENGTH, GRAM = 13, 3
+#: Words whose interval the index keeps for every place.
+HEAD = 4
 #: Bytes of text one shard stands for, and that a task cuts at once.
 SHARD_BYTES, CUT_BYTES = 6 << 20, 4 << 20
 #: Frequent 3-grams: in one of ``FREQUENT`` documents of a sample of ``SAMPLE``, at most ``LISTED``.
@@ -44,7 +46,10 @@ SAMPLE, FREQUENT, LISTED = 2_000, 200, 50_000
 NO_ID = np.iinfo(np.int64).max
 PACK = "shard long, decided boolean, docs binary, keys binary, starts binary, words binary, least binary, sizes binary, text binary"
 MARKS = "doc_id long, text_key long, starts array<int>, ends array<int>"
-_hashes = WordHashes()
+
+
+#: The bits below each place of a cell.
+_BELOW = np.array([(1 << k) - 1 for k in range(64)], np.uint64)
 
 
 class WaveletMatrix:
@@ -53,8 +58,8 @@ class WaveletMatrix:
     def __init__(self, symbols: np.ndarray, alphabet: int):
         self.levels = max(1, int(alphabet - 1).bit_length())
         self.planes, self.counts, self.zeros = [], [], []
-        first = np.zeros(alphabet, np.int64)
-        every = np.arange(alphabet)
+        first = np.zeros(alphabet, np.int32)
+        every = np.arange(alphabet, dtype=np.int32)
         for level in range(self.levels - 1, -1, -1):
             bits = (symbols >> level) & 1 == 1
             packed = np.packbits(bits, bitorder="little")
@@ -71,9 +76,8 @@ class WaveletMatrix:
 
     def _down(self, k: int, at: np.ndarray, ones: np.ndarray) -> np.ndarray:
         cell = at >> 6
-        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        rank = self.counts[k][cell] + np.bitwise_count(self.planes[k][cell] & below)
-        return np.where(ones, self.zeros[k] + rank, at - rank)
+        rank = self.counts[k][cell] + np.bitwise_count(self.planes[k][cell] & _BELOW[at & 63])
+        return np.where(ones, np.int32(self.zeros[k]) + rank, at - rank)
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often ``symbol`` stands before position ``at``, for arrays of both."""
@@ -82,8 +86,11 @@ class WaveletMatrix:
         return at - self.first[symbol]
 
 
-def suffixes(text: np.ndarray) -> np.ndarray:
-    """Suffix positions sorted by their first 16 symbols; only suffixes that still tie are sorted again."""
+def suffixes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix positions sorted by their first 16 symbols, and the interval of each position's first ``HEAD`` symbols.
+
+    Only suffixes that still tie are sorted again.
+    """
     n = len(text)
     order = np.argsort(text, kind="stable")
     rank = np.empty(n, np.int64)
@@ -91,8 +98,12 @@ def suffixes(text: np.ndarray) -> np.ndarray:
     values = text[order]
     heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
     rank[order] = np.repeat(heads, np.diff(np.append(heads, n)))
+    low = high = None
     while width < 16:
         sizes = np.diff(np.append(heads, n))
+        if width == HEAD:
+            low, high = rank.astype(np.int32), np.empty(n, np.int32)
+            high[order] = np.repeat(heads + sizes, sizes)
         tied = np.repeat(sizes > 1, sizes)
         places = np.flatnonzero(tied)
         if not len(places):
@@ -110,22 +121,28 @@ def suffixes(text: np.ndarray) -> np.ndarray:
         heads = np.flatnonzero(start)
         rank[order] = np.repeat(heads, np.diff(np.append(heads, n)))
         width *= 2
-    return order
+    if low is None:  # no two suffixes share ``HEAD`` symbols
+        low, high = rank.astype(np.int32), rank.astype(np.int32) + 1
+    return order, low, high
 
 
 class Index:
     """FM-index of a sequence of symbols (0 separates segments)."""
 
     def __init__(self, text: np.ndarray, alphabet: int):
-        self.text, self.order = text, suffixes(text)
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=alphabet))])
-        self.matrix = WaveletMatrix(text[self.order - 1], alphabet)
+        self.text = text.astype(np.int32)
+        self.order, self.low, self.high = suffixes(text)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=alphabet))]).astype(np.int32)
+        self.matrix = WaveletMatrix(self.text[self.order - 1], alphabet)
 
     def search(self, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The windows (their starts) that occur more than once, with their intervals of suffixes."""
-        last = self.text[windows + length - 1]
-        low, high = self.starts[last], self.starts[last + 1]
-        for step in range(length - 2, -1, -1):
+        """The windows (their starts) that occur more than once, with their intervals of suffixes.
+
+        The search begins with the interval of the last ``HEAD`` symbols, known from the sorting.
+        """
+        last = windows + length - HEAD
+        low, high = self.low[last], self.high[last]
+        for step in range(length - HEAD - 1, -1, -1):
             going = high - low > 1
             windows, low, high = windows[going], low[going], high[going]
             symbol = self.text[windows + step]
@@ -138,8 +155,13 @@ class Index:
 def _minimizers(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The least 3-gram hash of each window; frequent 3-grams come after all others."""
     grams = gram_hashes(hashes, GRAM)
-    grams = np.where(np.isin(grams, frequent), grams | np.uint64(1 << 63), grams & np.uint64((1 << 63) - 1))
-    return np.lib.stride_tricks.sliding_window_view(grams, LENGTH - GRAM + 1).min(axis=1)
+    least = np.where(among(grams, frequent), grams | np.uint64(1 << 63), grams & np.uint64((1 << 63) - 1))
+    width, reach = LENGTH - GRAM + 1, 1
+    while reach < width:
+        step = min(reach, width - reach)
+        least = np.minimum(least[:-step], least[step:])
+        reach += step
+    return least
 
 
 def _segments(hashes: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,15 +171,16 @@ def _segments(hashes: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.
     return starts, np.append(starts[1:], len(least)) - 1, least[starts]
 
 
-def _document(doc: int, key: int, words: list[bytes], frequent: np.ndarray) -> dict[str, np.ndarray]:
-    """The segments of one document; ``begin`` and ``end`` are bytes of its words joined by a space."""
-    hashes = _hashes.of(words)
+def _document(doc: int, key: int, text: bytes, frequent: np.ndarray) -> dict[str, np.ndarray] | None:
+    """The segments of one document; ``begin`` and ``end`` are bytes of its text."""
+    hashes, begins, ends = text_words(text)
+    if len(hashes) < LENGTH:
+        return None
     starts, lasts, least = _segments(hashes, frequent)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     windows = np.concatenate([[np.uint64(0)], np.cumsum(gram_hashes(hashes, LENGTH))])
     return {
         "docs": np.full(len(starts), doc), "keys": np.full(len(starts), key), "starts": starts, "words": lasts - starts + LENGTH,
-        "least": least, "begin": np.where(starts > 0, ends[starts - 1], 0), "end": ends[lasts + LENGTH - 1] - 1,
+        "least": least, "begin": begins[starts], "end": ends[lasts + LENGTH - 1],
         "same": mix(windows[lasts + 1] - windows[starts] + (lasts - starts).astype(np.uint64)),
     }
 
@@ -171,13 +194,12 @@ def _cut(docs: list[int], keys: list[int], texts: list[bytes], shards: int, freq
     """The segments of some documents by shard, and what these documents decide among themselves."""
     found, joined, total = [], [], 0
     for doc, key, text in sorted(zip(docs, keys, texts, strict=True), key=lambda x: x[0]):
-        words = text.split()
-        if len(words) >= LENGTH:
-            segments = _document(doc, key, words, frequent)
+        segments = _document(doc, key, text, frequent)
+        if segments:
             segments["begin"], segments["end"] = segments["begin"] + total, segments["end"] + total
             found.append(segments)
-            joined.append(b" ".join(words))
-            total += len(joined[-1])
+            joined.append(text)
+            total += len(text)
     if not found:
         return []
     cut = {c: np.concatenate([f[c] for f in found]) for c in found[0]}
@@ -191,6 +213,8 @@ def _cut(docs: list[int], keys: list[int], texts: list[bytes], shards: int, freq
         decided[i] = everything[begin[i] : end[i]] == everything[begin[k] : end[k]]
     cut["sizes"] = cut["end"] - cut["begin"]
     shard = (cut["least"] % np.uint64(1_000_003) % np.uint64(shards)).astype(np.int64)
+    # within a shard these bits tell minimizers apart; two that share them only keep more segments
+    cut["least"] = cut["least"] >> np.uint64(8) & np.uint64(0xFFFFFF)
     order = np.flatnonzero(~decided)
     order = order[np.argsort(shard[order], kind="stable")]
     heads = np.flatnonzero(np.diff(shard[order], prepend=-1))
@@ -275,14 +299,19 @@ def _matched(text: bytes, docs: np.ndarray, keys: np.ndarray, starts: np.ndarray
     return docs[own], keys[own], begin, begin + runs + LENGTH - 1
 
 
-def _frequent(rows: DataFrame) -> np.ndarray:
-    """3-grams that many documents of a bounded sample hold."""
-    few = rows.orderBy(F.xxhash64("doc_id", F.lit(5)), "text").limit(SAMPLE).select(F.substring("text", 1, 4000).alias("t"))
-    texts = [r["t"].encode().split() for r in few.collect()]
-    grams = [np.unique(gram_hashes(_hashes.of(w), GRAM)) for w in texts]
-    values, counts = np.unique(np.concatenate([*grams, np.empty(0, np.uint64)]), return_counts=True)
-    often = counts * FREQUENT >= max(len(texts), 2 * FREQUENT)
-    return np.sort(values[often][np.argsort(-counts[often], kind="stable")][:LISTED])
+def _distinct_grams(batch: pa.RecordBatch) -> dict:
+    grams = [np.unique(gram_hashes(text_words(t)[0], GRAM)) for t in bytes_of(batch.column("text"))]
+    return {"gram": np.concatenate([*grams, np.empty(0, np.uint64)]).view(np.int64)}
+
+
+def _frequent(rows: DataFrame, n_rows: int) -> np.ndarray:
+    """The grams that many documents of a sample of about ``SAMPLE`` hold."""
+    share = min(1.0, SAMPLE / max(n_rows, 1))
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 40))
+    grams = map_batches(rows.where(place < int(share * (1 << 40))).select("text"), _distinct_grams, "gram long")
+    often = grams.groupBy("gram").count().where(F.col("count") * FREQUENT >= max(share * n_rows, 2 * FREQUENT))
+    values = [r["gram"] for r in often.orderBy(F.desc("count"), "gram").limit(LISTED).collect()]
+    return np.sort(np.array(values, np.int64).view(np.uint64))
 
 
 def repeated_passages(docs: DataFrame, text_key: Column) -> DataFrame:
@@ -294,9 +323,9 @@ def repeated_passages(docs: DataFrame, text_key: Column) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc_id"), text_key.alias("text_key"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    size, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     shards = size // SHARD_BYTES + 1
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(rows))
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(rows, n_rows))
     names = [c.split()[0] for c in PACK.split(", ")]
     kinds = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
     types = [kinds[c.split()[1]] for c in PACK.split(", ")]
