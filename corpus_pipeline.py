@@ -10,7 +10,8 @@ from scoreloom.staging import staged
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, or that the network finds in no language, go."""
-    return langid.keep_identified(docs, langid.train_network(docs))
+    network = langid.train_network(docs)
+    return langid.keep_identified(docs, network, langid.least_score(docs, network))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

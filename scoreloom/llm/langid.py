@@ -33,6 +33,8 @@ LANGUAGES, DOCS, CHARS, WORDS = 64, 200, 4000, 6000
 LONGEST = 24
 HIDDEN, EPOCHS, BATCH, RATE = 12, 3, 128, 0.02
 REMEMBERED = 300_000
+#: The share of the labelled documents whose scores count as no language.
+REJECTED = 0.001
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -240,6 +242,11 @@ def _has_letter(text: bytes | None) -> bool:
     return any(map(str.isalpha, (text or b"").decode("utf-8", "replace")))
 
 
+def _scores(sums: np.ndarray, languages: int) -> np.ndarray:
+    """The mean probability of the likeliest language, from the rows of ``Reader.read``."""
+    return np.minimum(1.0, sums[:, :languages].max(axis=1, initial=0) / np.maximum(sums[:, -1], 1))
+
+
 def identify(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: ``(doc_id, lang_pred, score, positions, shares)``.
 
@@ -264,11 +271,11 @@ def identify(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
         n = len(languages)
         letters = [_has_letter(t) for t in texts]
         best = sums[:, :n].argmax(axis=1)
-        means = sums[:, :n].max(axis=1, initial=0) / np.maximum(sums[:, -1], 1)
+        means = _scores(sums, n)
         return {
             "doc_id": batch.column("doc_id"),
             "lang_pred": [languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters, strict=True)],
-            "score": [min(1.0, m) if ok else 0.0 for m, ok in zip(means.tolist(), letters, strict=True)],
+            "score": [m if ok else 0.0 for m, ok in zip(means.tolist(), letters, strict=True)],
             "positions": sums[:, -1].astype(np.int64),
             "shares": [
                 list(zip(languages, map(int, row), strict=True)) if ok else None
@@ -279,25 +286,33 @@ def identify(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
     return map_batches(rows, predict, schema)
 
 
+def least_score(docs: DataFrame, network: ByteNetwork | None) -> float:
+    """The score that all but ``REJECTED`` of the labelled, not held-out documents with a letter reach."""
+    if network is None:
+        return 0.0
+    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    scored = identify(known, network).where(F.col("lang_pred") != UNKNOWN)
+    return scored.agg(F.percentile_approx("score", REJECTED, 100_000)).first()[0] or 0.0
+
+
 def keep_identified(docs: DataFrame, network: ByteNetwork | None, least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of at least ``least``, all columns."""
+    """The rows of ``docs`` whose language is known with a score of at least ``least``, all columns.
+
+    Without a network, which no labelled document was there to train, a letter is enough.
+    """
     names = docs.columns
-    if network is None:
-        return docs.limit(0)
     sent = docs.sparkSession.sparkContext.broadcast(network)
     held: list[Reader] = []
 
     def run(batches):
         for batch in batches:
-            if not held:
+            if not held and sent.value is not None:
                 held.append(Reader(sent.value))
             texts = bytes_of(batch.column("text"))
-            n, keep = len(sent.value.languages), []
-            for at in range(0, len(texts), 512):
-                part = texts[at : at + 512]
-                sums = held[0].read(part)
-                means = sums[:, :n].max(axis=1, initial=0) / np.maximum(sums[:, -1], 1)
-                keep += [bool(m >= least) and _has_letter(t) for m, t in zip(means, part, strict=True)]
+            keep = [_has_letter(t) for t in texts]
+            for at in range(0, len(texts) if held else 0, 512):
+                scores = _scores(held[0].read(texts[at : at + 512]), len(sent.value.languages))
+                keep[at : at + 512] = [k and bool(m >= least) for k, m in zip(keep[at : at + 512], scores, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.select(*names).mapInArrow(run, docs.schema)

@@ -308,6 +308,23 @@ def test_language_of_odd_rows(odd, nothing):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 4
 
 
+def test_language_stage_drops_letter_junk(spark, small, docs):
+    rng = np.random.default_rng(6)
+    letters = list("bcdfghjkmnpqvwxyz0123456789")
+    junk = [(10_000 + i, " ".join("x" + "".join(rng.choice(letters, 7)) for _ in range(60))) for i in range(40)]
+    added = spark.createDataFrame([(i, t, None) for i, t in junk], "doc_id bigint, text string, lang string")
+    rows = docs.select("doc_id", "text", "lang").union(added)
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, rows, small).collect()}
+    clean = {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+    assert clean <= kept and len(kept - clean) <= 2
+
+
+def test_language_stage_without_labels(spark, small, odd):
+    rows = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.identify_language(spark, rows, small)
+    assert kept.columns == rows.columns and kept.count() == rows.count() - 4
+
+
 # --- mix --------------------------------------------------------------------------------------
 
 
