@@ -3,7 +3,8 @@
 A document is contaminated by an item when some window of the document, as many words
 long as the item, has a weighted 5-word shingle similarity of 0.75 or more with it
 (sum of the smaller counts over sum of the larger counts; A-Z lower-cased; an item of
-fewer than five words is one shingle of all its words).
+fewer than five words is one shingle of all its words). A document shorter than the item
+is one window as a whole; with fewer shingles than 0.75 of the item's it cannot be similar.
 
 * *Windows.* Every window that holds at least one shingle of the benchmark is
   fingerprinted; any other window has similarity 0. A window's 128-bit SimHash is the sign
@@ -112,8 +113,8 @@ class Items:
 
     def _windows(self, grams: np.ndarray, hits: np.ndarray, n: int, n_words: int, best: dict) -> None:
         for length, group in self.by_length.items():
-            width = length - n + 1
-            if min(WORDS, length) != n or length > n_words:
+            width = min(length - n + 1, len(grams))
+            if min(WORDS, length) != n or width < SIMILARITY * (length - n + 1):
                 continue
             own = hits[among(grams[hits], group["shingles"])]
             if not len(own):
@@ -125,7 +126,7 @@ class Items:
             for start, end in _joined(runs):
                 for at in range(start, end + 1, WINDOWS):
                     stop = min(end + 1, at + WINDOWS)
-                    self._compare(grams, at, fingerprints(grams[at : stop + width - 1], width), group, length, width, best)
+                    self._compare(grams, at, fingerprints(grams[at : stop + width - 1], width), group, min(length, n_words), width, best)
 
     def _compare(self, grams, at: int, prints: np.ndarray, group: dict, length: int, width: int, best: dict) -> None:
         found = np.zeros((len(prints), len(group["ids"])), bool)

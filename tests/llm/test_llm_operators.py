@@ -232,6 +232,28 @@ def test_decontamination(spark, odd, nothing):
     assert decontaminate.drop_contaminated(odd, benchmark.limit(0)).count() == odd.count()
 
 
+def test_decontamination_of_documents_shorter_than_the_item(spark):
+    rng = np.random.default_rng(8)
+    items = [(k, [f"c{k}_{j}" for j in range(n)]) for k, n in enumerate((3, 6, 20, 40, 55))]
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id bigint, text string")
+    texts = [w[:-1] for _, w in items] + [w[1:] for _, w in items]
+    for _, w in items * 20:
+        gone = set(rng.integers(0, len(w), rng.integers(1, 9)).tolist())
+        texts.append([x for j, x in enumerate(w) if j not in gone])
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    shingles = lambda w, n: collections.Counter(tuple(w[s : s + n]) for s in range(len(w) - n + 1))
+    want = {}
+    for i, w in enumerate(texts):
+        for k, item in items:
+            n = min(5, len(item))
+            if len(w) >= n and (value := decontaminate.similarity(shingles(w, n), shingles(item, n))) >= 0.75:
+                want[i, k] = (0, len(w), value)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["from_word"], r["n_words"], r["similarity"]) for r in decontaminate.contaminated(df, benchmark).collect()}
+    assert got == want and (3, 3) in got and got[3, 3][2] == 35 / 36
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(df, benchmark).collect()} == set(range(len(rows))) - {i for i, _ in want}
+
+
 # --- personal data -------------------------------------------------------------------------
 
 BASE = {
