@@ -422,6 +422,27 @@ def test_scores_of_odd_rows(spark, odd, nothing):
     assert abs(three["score"] - np.log(2 / 6)) < 1e-9 and three["n_backoff"] == 0
 
 
+def test_scores_of_order_three(spark, small, docs):
+    import __spark_entry__
+
+    texts = {r["doc_id"]: words_of(r["text"]) for r in docs.collect()}
+    counts = collections.Counter(tuple(w[k : k + n]) for w in texts.values() for n in (1, 2, 3) for k in range(len(w) - n + 1))
+    total, backed = sum(map(len, texts.values())), 0
+    got = {r["doc_id"]: r for r in __spark_entry__.queries()["op8_lm_score_order3"](spark, small).collect()}
+    assert got.keys() == texts.keys()
+    for i, w in texts.items():
+        score, short = 0.0, 0
+        for k in range(len(w)):
+            n = longest = min(3, k + 1)
+            while n > 1 and counts[tuple(w[k + 1 - n : k + 1])] < 2:
+                n -= 1
+            below = counts[tuple(w[k + 1 - n : k])] if n > 1 else total
+            score += np.log(counts[tuple(w[k + 1 - n : k + 1])] / below) + (longest - n) * np.log(0.4)
+            short, backed = short + (n < longest), backed + (longest - n == 2)
+        assert abs(got[i]["score"] - score) < 1e-4 and got[i]["n_backoff"] == short
+    assert backed > 0
+
+
 def test_scores_do_not_depend_on_blocks(docs, monkeypatch):
     one = {r["doc_id"]: r["score"] for r in lm.score_documents(docs).collect()}
     monkeypatch.setattr(lm, "BLOCK_BYTES", 30_000)
