@@ -8,8 +8,8 @@ wherever it stands: a task computes them once and keeps them, and the cost of a
 little more than cutting it into words.
 
 Training: back-propagation through time in numpy on the driver, on words of a bounded,
-documented sample of labelled documents (``DOCS`` per language, ``CHARS`` characters of each,
-``WORDS`` word draws per language, at most ``LANGUAGES`` languages, the most frequent ones).
+documented sample of labelled documents (``DOCS`` per language, ``WORDS`` word draws per
+language, from whole texts); every language with a labelled, not held-out document is learned.
 The weights have a fixed size and are sent to the executors.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and has no
@@ -19,20 +19,21 @@ out; rows that repeat are predicted alike; further columns are ignored.
 
 from __future__ import annotations
 
-from itertools import chain
+from bisect import insort
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import bytes_of, map_batches
+from scoreloom.llm.common import GOLDEN, bytes_of, map_batches, mix
 
 UNKNOWN = "und"
-LANGUAGES, DOCS, CHARS, WORDS = 64, 200, 4000, 6000
+DOCS, WORDS = 200, 6000
 LONGEST = 24
 HIDDEN, EPOCHS, BATCH, RATE = 12, 3, 128, 0.02
-REMEMBERED = 300_000
+#: Words a task remembers with four languages, and words it reads at once; with more languages fewer, as rows are longer.
+REMEMBERED, AT_ONCE = 300_000, 8192
 #: The share of the labelled documents whose scores count as no language.
 REJECTED = 0.001
 
@@ -163,6 +164,7 @@ class Reader:
 
     def __init__(self, network: ByteNetwork):
         self.network = network
+        self.narrow = max(1.0, len(network.languages) / 4)
         self._clear()
 
     def _clear(self) -> None:
@@ -172,7 +174,7 @@ class Reader:
 
     def read(self, texts: list[bytes | None]) -> np.ndarray:
         """Per text: summed probabilities, labelled positions by language, number of positions."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED / self.narrow:
             self._clear()
         cut = [(t or b"").split() for t in texts]
         new = list({w for words in cut for w in words if w not in self.known})
@@ -198,12 +200,13 @@ class Reader:
                 owners, pieces = by_length.setdefault(len(piece), ([], []))
                 owners.append(i)
                 pieces.append(piece)
+        step = max(1, int(AT_ONCE / self.narrow))
         for length, (owners, pieces) in by_length.items():
-            for at in range(0, len(owners), 8192):
-                part = pieces[at : at + 8192]
+            for at in range(0, len(owners), step):
+                part = pieces[at : at + step]
                 p = self.network.positions(np.frombuffer(b"".join(part), np.uint8).reshape(len(part), length))
                 labels = (p.argmax(axis=2)[:, :, None] == np.arange(n)).sum(axis=1)
-                np.add.at(rows, owners[at : at + 8192], np.concatenate(
+                np.add.at(rows, owners[at : at + step], np.concatenate(
                     [p.sum(axis=1), labels, np.full((len(part), 1), length)], axis=1
                 ))
         return rows.astype(np.float32)
@@ -213,23 +216,57 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def _draw(text: bytes, seed: int, most: int) -> list[bytes]:
+    """At most ``most`` pieces of words from anywhere in a text, by hash of their place."""
+    pieces = [w[a : a + LONGEST] for w in text.split() for a in range(0, len(w), LONGEST)]
+    if len(pieces) <= most:
+        return pieces
+    order = mix(np.arange(len(pieces), dtype=np.uint64) * GOLDEN + np.uint64(seed & 0xFFFFFFFFFFFFFFFF))
+    return [pieces[i] for i in np.sort(np.argpartition(order, most)[:most]).tolist()]
+
+
+def _training_words(known: DataFrame, counts: dict[str, int]) -> dict[str, list[bytes]]:
+    """Per language the drawn pieces of ``DOCS`` documents; one pass whatever the number of languages."""
+    # a first cut by hash leaves about twice the documents needed, and the order decides
+    cuts = [(lang, int(min(1.0, 2 * DOCS / n) * (1 << 20)), -(-WORDS // min(DOCS, n))) for lang, n in counts.items()]
+    cuts = F.broadcast(known.sparkSession.createDataFrame(cuts, "lang string, cut long, most long"))
+    place = F.xxhash64("doc_id", F.lit(3), F.xxhash64("text"))
+    few = known.select("lang", place.alias("p"), "text").join(cuts, "lang").where(F.pmod("p", F.lit(1 << 20)) <= F.col("cut"))
+
+    def draw(batches):
+        best: dict[str, list] = {}
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("lang", "p", "most")]
+            for lang, p, most, text in zip(*columns, bytes_of(batch.column("text")), strict=True):
+                own = best.setdefault(lang, [])
+                if len(own) < DOCS or p < own[-1][0]:
+                    insort(own, (p, b" ".join(_draw(text, p, most))))
+                    del own[DOCS:]
+        for lang, own in best.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(own)), pa.array([p for p, _ in own], pa.int64()), pa.array([w for _, w in own], pa.binary())],
+                names=["lang", "p", "words"],
+            )
+
+    rows = few.mapInArrow(draw, "lang string, p long, words binary").collect()
+    drawn: dict[str, list] = {lang: [] for lang in counts}
+    for r in rows:
+        drawn[r["lang"]].append((r["p"], bytes(r["words"])))
+    return {lang: [w for _, words in sorted(own)[:DOCS] for w in words.split()] for lang, own in drawn.items()}
+
+
 def train_network(docs: DataFrame, hidden: int = HIDDEN) -> ByteNetwork | None:
     """Learn from ``docs(doc_id, text, lang)`` that are not held out and have a language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in counts)
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    languages = sorted(counts)
     if not languages:
         return None
-    place = F.xxhash64("doc_id", F.lit(3))
     words: list[bytes] = []
     labels: list[int] = []
-    # a first cut by hash leaves about four times the documents needed, and the order decides
-    share = {r["lang"]: min(1.0, 4 * DOCS / r["count"]) for r in counts}
+    drawn = _training_words(known, counts)
     for k, lang in enumerate(languages):
-        few = known.where((F.col("lang") == lang) & (F.pmod(place, F.lit(1 << 20)) <= int(share[lang] * (1 << 20))))
-        rows = few.select(place.alias("p"), F.substring("text", 1, CHARS).alias("t")).orderBy("p", "t").limit(DOCS).collect()
-        pieces = [w[a : a + LONGEST] for r in rows for w in r["t"].encode().split() for a in range(0, len(w), LONGEST)]
-        if pieces:
+        if pieces := drawn[lang]:
             rng = np.random.default_rng(k)
             words += [pieces[i] for i in rng.integers(0, len(pieces), WORDS)]
             labels += [k] * WORDS

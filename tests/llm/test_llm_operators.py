@@ -330,6 +330,29 @@ def test_language_of_odd_rows(odd, nothing):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 4
 
 
+def test_language_network_learns_every_language(spark, monkeypatch):
+    """More languages than the 64 once learned, told apart after a shared start of over 4000 characters."""
+    monkeypatch.setattr(langid, "WORDS", 300)
+    start = "gemeinsam " * 450
+    names = [f"l{k:02}" for k in range(66)]
+    own = {g: f"{chr(0x4E00 + 64 * k)}{chr(0x4E00 + 64 * k + 1)}" for k, g in enumerate(names)}
+    rows = [(i, start + " ".join([own[names[i % 66]]] * 900), names[i % 66]) for i in range(66 * 8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    drawn = langid._training_words(df, {g: 8 for g in names})
+    assert all(any(w.decode() == own[g] for w in drawn[g]) for g in names)
+    network = langid.train_network(df)
+    assert network.languages == names
+
+
+def test_language_draw_is_bounded_and_repeats(spark, odd):
+    text = " ".join(f"w{i}" for i in range(5000)).encode() + b" " + b"x" * 100
+    drawn = langid._draw(text, -5, 40)
+    assert len(drawn) == 40 and drawn == langid._draw(text, -5, 40) and max(int(w[1:]) for w in drawn if w[:1] == b"w") > 2500
+    assert langid._draw(b"a " + b"y" * 30, 1, 40) == [b"a", b"y" * 24, b"y" * 6]
+    copies = odd.where("doc_id IS NULL").unionByName(odd.where("doc_id IS NULL")).repartition(5)
+    assert langid._training_words(copies, {"fr": 4}) == langid._training_words(copies.coalesce(1), {"fr": 4})
+
+
 def test_language_stage_drops_letter_junk(spark, small, docs):
     rng = np.random.default_rng(6)
     letters = list("bcdfghjkmnpqvwxyz0123456789")
