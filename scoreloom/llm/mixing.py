@@ -59,10 +59,11 @@ def permuted(x: str, n: str, seed: str, rounds: int = ROUNDS) -> str:
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
-    """``(row, doc_id, source, size)``, written once: the text is read for its words only here."""
+    """``(row, doc_id, source, size, text_hash)``, written once: the text is read for its words only here."""
     return staged(
         docs.select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size")
+            F.monotonically_increasing_id().alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"),
+            F.xxhash64("text").alias("text_hash"),
         ),
         "sized",
     )
@@ -94,13 +95,16 @@ def source_targets(
 
 
 def _placed(sized: DataFrame) -> DataFrame:
-    """``start``: the words of the source before this document, by chunk and then within the chunk."""
+    """``start``: the words of the source before this document, by chunk and then within the chunk.
+
+    ``row`` follows the layout of the input, so it only tells fully equal rows apart.
+    """
     chunks = sized.agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.lit(1)).cast("long")).first()[0]
-    rows = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "row"), F.lit(chunks)))
+    rows = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(chunks)))
     totals = rows.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
     by_chunk = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("source", "chunk", F.coalesce(F.sum("words").over(by_chunk), F.lit(0)).alias("base"))
-    within = Window.partitionBy("source", "chunk").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "chunk").orderBy("doc_id", "text_hash", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     same = rows["source"].eqNullSafe(bases["source"]) & (rows["chunk"] == bases["chunk"])
     return rows.join(bases, same).select("row", rows["source"], "size", (F.col("inner") + F.col("base")).alias("start"))
@@ -177,8 +181,8 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """The mix as text: ``(shard, slot, source, text)``, words of a slot joined by one space."""
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    held = staged(numbered.select(F.col("__row").alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"), "text"), "mix-texts")
-    sized = held.select("row", "doc_id", "source", "size")
+    held = staged(numbered.select(F.col("__row").alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"), "text"), "mix-texts")
+    sized = held.select("row", "doc_id", "source", "size", "text_hash")
     pieces = mix_sources(docs, sized, staged(source_targets(sized), "targets"), **options)
     cut = held.select("row", words.alias("words")).join(pieces, "row")
     cut = cut.select("shard", "slot", "source", "at", F.slice("words", F.col("from_word").cast("int") + 1, F.col("n").cast("int")).alias("w"))

@@ -405,6 +405,13 @@ def test_mix(spark, odd, docs, nothing):
     assert mixing.words_taken(nothing).count() == 0
 
 
+def test_mix_does_not_depend_on_the_layout(odd, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 20)
+    for rows in (odd, docs):
+        taken = [sorted(map(str, mixing.words_taken(x, block=16, shard=64).collect())) for x in (rows.coalesce(1), rows.repartition(7))]
+        assert taken[0] == taken[1]
+
+
 def test_mixed_texts(spark, docs):
     given = {w for r in docs.collect() for w in words_of(r["text"])}
     got = mixing.mixed_texts(docs, block=64).collect()
