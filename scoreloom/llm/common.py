@@ -131,6 +131,20 @@ def bytes_of(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.to_pylist()
 
 
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
+          "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+
+
+def arrow_schema(columns: str) -> pa.Schema:
+    """``"a long, b binary"`` as tasks need it, where no session is at hand."""
+    return pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in columns.split(", "))])
+
+
+def record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def map_batches(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
     """``function(table) -> columns by name`` on the record batches of each partition."""
     if isinstance(schema, str):

@@ -6,7 +6,9 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from scoreloom.llm import chat, decontaminate, exact_dedup, langid, licenses, lm, mixing, near_dedup, pii, substrings
+from scoreloom.llm import (
+    chat, decontaminate, exact_dedup, langid, licenses, lm, mixing, near_dedup, packing, pii, substrings,
+)
 from scoreloom.llm.common import map_batches
 
 QUERIES: dict = {}
@@ -164,3 +166,11 @@ def op3_pii(spark, sf):
     return found.select(
         "doc_id", *counts, F.sha2(pii.span_list(F.col("base")), 256).alias("base_sha256"), every.alias("spans")
     )
+
+
+@query
+def op11_pack_sequences(spark, sf):
+    pieces = packing.pack(table(spark, sf, "documents"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
