@@ -20,7 +20,9 @@ documents of their own; ties in length go by row; an empty table gives no piece;
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Iterator
+from functools import partial
 from pathlib import Path
 
 import numpy as np
@@ -39,12 +41,15 @@ DOCS_PER_GROUP = 1024
 #: Smaller gaps are padded: a cut would leave only shreds.
 LEAST_PIECE = 16
 #: Words whose ids a worker remembers; the memory is emptied beyond that. Longer ones are not kept.
-REMEMBERED, LONGEST_REMEMBERED = 600_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 800_000, 64
+#: Below it, lower case is the same letter by letter wherever a word stands.
+LATIN_END = "\u0250"
 FLUSH_BYTES = 8 << 20
 #: Ids of sequences packed in groups start here; full ones inside documents count up from their task's number.
 PACKED = 1 << 62
 SEQUENCES_PER_GROUP = 1 << 20
 
+_normal = partial(unicodedata.is_normalized, "NFC")
 TOKENS = "row long, doc_id long, doc_tokens long, first_sequence long, whole binary, rest binary"
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -57,12 +62,23 @@ def load_tokenizer(vocabulary: str = VOCABULARY):
     return Tokenizer.from_file(vocabulary if Path(vocabulary).is_absolute() else public_tokenizers.path(vocabulary))
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter each byte is written as in byte-level vocabularies: itself if it can be seen, else one from U+0100 on."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b != 173]
+    hidden = [b for b in range(256) if b not in set(seen)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class WordIds(dict):
-    """Word (UTF-8) -> its token ids as little-endian numbers, remembered for a bounded number of words."""
+    """Word (UTF-8) -> its token ids as little-endian numbers, remembered for a bounded number of words.
+
+    A word of letters in normal form and lower case is one token run for the tokenizer's patterns, so its ids come
+    from the tokenizer's model alone; any other word takes the whole way.
+    """
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.letters = tokenizer, byte_letters()
         self.kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
     def __missing__(self, word: bytes) -> bytes:
@@ -76,22 +92,36 @@ class WordIds(dict):
     def _ids(self, word: bytes) -> bytes:
         text = word.decode()
         if "<|" not in text:  # else it may hold a special token, which is matched as written
-            if word.isascii() and text != text.lower():
-                return self[word.lower()]
             core = text.rstrip(".,;:!?")
             if core and core != text and core[-1].isalpha():  # marks behind a letter are tokens of their own
                 return self[core.encode()] + self[text[len(core) :].encode()]
+            lower = text.lower()
+            if lower != text and max(text) < LATIN_END and (word.isascii() or lower.isalpha() and _normal(text)):
+                return self[lower.encode()]
+            if lower == text and text.isalpha() and _normal(text):
+                letters = word.decode("latin-1").translate(self.letters)
+                return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], self.kind).tobytes()
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def of(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))
 
 
+_words: dict[str, WordIds] = {}
+
+
+def word_ids(vocabulary: str) -> WordIds:
+    """One memory per worker process: the tasks it runs one after the other share it."""
+    if vocabulary not in _words:
+        _words[vocabulary] = WordIds(load_tokenizer(vocabulary))
+    return _words[vocabulary]
+
+
 def tokenized(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, size: int = SEQUENCE) -> DataFrame:
     """The ids of every document, written once: full sequences, and the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(load_tokenizer(vocabulary))
+        words = word_ids(vocabulary)
         end, width = np.array([end_id], words.kind).tobytes(), words.kind.itemsize
         schema = arrow_schema(TOKENS)
         row = sequence = TaskContext.get().partitionId() << 33
