@@ -132,7 +132,7 @@ def bytes_of(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
-          "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+          "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
 
 
 def arrow_schema(columns: str) -> pa.Schema:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
 from scoreloom.llm import (
-    chat, decontaminate, exact_dedup, langid, licenses, lm, mixing, near_dedup, packing, pii, substrings,
+    chat, decontaminate, exact_dedup, langid, licenses, lm, mixing, near_dedup, packing, pii, repair,
+    substrings,
 )
 from scoreloom.llm.common import map_batches
 
@@ -174,3 +176,82 @@ def op11_pack_sequences(spark, sf):
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query
+def op12_repair_structure(spark, sf):
+    given = table(spark, sf, "conversations")
+    found = repair.repair(repair.damaged(given))
+    line = F.struct("first_pos", "place", F.concat_ws(":", "role", "text").alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(line)), lambda r: r["line"])
+    texts = repair.repaired_turns(found).groupBy("conv_id").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("sha"))
+    ids = given.select(F.col("conv_id").cast("long")).distinct()
+    for right in (found.report, texts):
+        named = right.withColumnRenamed("conv_id", "id")
+        ids = ids.join(named, F.col("conv_id").eqNullSafe(F.col("id")), "left").drop("id")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    empty = hashlib.sha256(b"").hexdigest()
+    return ids.select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha", F.lit(empty)).alias("repaired_sha256"),
+    )
+
+
+#: A path is (cost in nine digits, letters): the least string is the cheapest path, and of those the first by letters.
+#: The walk goes from the last row to the first, as letters put in front keep the order of two paths.
+ORACLES["op12_repair_structure"] = r"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+             string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+             lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+             lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END),
+             4294967295) % 20 AS kind
+  FROM conversations),
+h AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(range(0, CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+             count(*) OVER (PARTITION BY conv_id) AS n, left(role, 1) AS r,
+             right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM h),
+d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+             lead(r) OVER (PARTITION BY conv_id ORDER BY i) AS next_r FROM o),
+f AS (SELECT conv_id, i, n, turn, role, text, r, next_r, last = '' AS blank, last <> '' AND again AS dup,
+             last <> '' AND NOT again AND last NOT IN ('.', '!', '?') AS cut,
+             CASE WHEN last = '' OR again THEN 999 WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS more FROM d),
+w AS (  -- e, s, u, a: the best way on from before row i, after nothing, a system, a user or an assistant turn
+  SELECT conv_id, n + 1 AS i, '000000000' AS e, '000000006II' AS s, '000000003I' AS u, '000000000' AS a
+  FROM f WHERE i = n
+  UNION ALL
+  SELECT conv_id, i, least(e1, add_front(3, 'I', u2)), least(s1, add_front(3, 'I', u2)), u2, least(a1, add_front(3, 'I', u1))
+  FROM (SELECT *, least(u1, add_front(3, 'I', a1)) AS u2 FROM (
+    SELECT f.conv_id, f.i,
+      least(add_front(4, 'D', w.e), add_front(more + 3, 'R', w.u),
+            CASE r WHEN 's' THEN add_front(more, 'K', w.s) WHEN 'u' THEN add_front(more, 'K', w.u) ELSE '9' END) AS e1,
+      least(add_front(4, 'D', w.s), add_front(more + 3, 'R', w.u), CASE r WHEN 'u' THEN add_front(more, 'K', w.u) ELSE '9' END) AS s1,
+      least(add_front(4, 'D', w.u), add_front(more + 3, 'R', w.a), CASE r WHEN 'a' THEN add_front(more, 'K', w.a) ELSE '9' END) AS u1,
+      least(add_front(4, 'D', w.a), add_front(more + 3, 'R', w.u), CASE r WHEN 'u' THEN add_front(more, 'K', w.u) ELSE '9' END) AS a1
+    FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i - 1))),
+b AS (SELECT conv_id, left(e, 9)::BIGINT AS cost, substr(e, 10) AS audit FROM w WHERE i = 1),
+l AS (SELECT conv_id, unnest(string_split(audit, '')) AS edit, unnest(range(1, length(audit) + 1)) AS j FROM b WHERE audit <> ''),
+m AS (SELECT *, CASE WHEN edit <> 'I' THEN count(*) FILTER (WHERE edit <> 'I') OVER (PARTITION BY conv_id ORDER BY j) END AS i FROM l),
+t AS (SELECT m.conv_id, j, edit, role, text, row_number() OVER (PARTITION BY m.conv_id ORDER BY j)
+             + CASE WHEN first_value(left(role, 1)) OVER (PARTITION BY m.conv_id ORDER BY j) = 's'
+                     AND first_value(edit) OVER (PARTITION BY m.conv_id ORDER BY j) = 'K' THEN 1 ELSE 0 END AS nth
+      FROM m LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM m.conv_id AND f.i = m.i WHERE edit <> 'D'),
+x AS (SELECT conv_id, sha256(string_agg(CASE edit WHEN 'K' THEN role ELSE CASE nth % 2 WHEN 1 THEN 'user' ELSE 'assistant' END END
+             || ':' || CASE edit WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS sha FROM t GROUP BY conv_id),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+             count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate, count(*) FILTER (WHERE cut) AS truncated,
+             count(*) FILTER (WHERE next_r IS NOT NULL AND r || next_r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+       coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+ORACLES["op12_repair_structure"] = re.sub(
+    r"add_front\(([^,]+), ('[A-Z]'), ([\w.]+)\)",
+    r"(lpad(CAST(left(\3, 9)::BIGINT + \1 AS VARCHAR), 9, '0') || \2 || substr(\3, 10))",
+    ORACLES["op12_repair_structure"],
+)
