@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm import (
     chat, decontaminate, exact_dedup, langid, licenses, lm, mixing, near_dedup, packing, pii, repair,
-    substrings,
+    search, substrings,
 )
 from scoreloom.llm.common import map_batches
 
@@ -255,3 +255,27 @@ ORACLES["op12_repair_structure"] = re.sub(
     r"(lpad(CAST(left(\3, 9)::BIGINT + \1 AS VARCHAR), 9, '0') || \2 || substr(\3, 10))",
     ORACLES["op12_repair_structure"],
 )
+
+
+@query
+def op13_search_documents(spark, sf):
+    found = search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+ORACLES["op13_search_documents"] = r"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+c AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY doc_id, t),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM c GROUP BY doc_id),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+m AS (SELECT doc_id, 75 + (25 * n * docs) // terms AS m FROM n, s),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM c, s GROUP BY t, docs),
+q AS (SELECT item_id, t, count(*) AS times FROM i GROUP BY item_id, t),
+r AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM q JOIN c USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 20
+"""
