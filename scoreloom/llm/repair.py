@@ -45,7 +45,7 @@ LEGAL = ("su", "ua", "au")
 END = [0, -1, -1, 0]
 GOOD, CUT_OFF, GOES = range(3)
 LONGEST_RUN = 128
-BLOCK_BITS = 14
+BLOCK_BITS = 12
 BLANKS = " \t\n\x0b\x0c\r"
 
 RUN = (
@@ -274,7 +274,9 @@ def repair(rows: DataFrame) -> Repair:
     blocks = faulty.select(
         F.shiftright("pos", BLOCK_BITS).alias("block"), "conv", "pos", "initial", code.alias("fault")
     )
-    runs = staged(blocks.groupBy("block").applyInArrow(_runs, RUN), "runs")
+    # a number of its own: blocks are small in bytes for the work they give, so merging them would leave cores idle
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = staged(blocks.repartition(tasks, "block").groupBy("block").applyInArrow(_runs, RUN), "runs")
     parts = runs.where("open")
     key = ["conv", "first_pos"]
     ends = parts.select(*key, "head", "tail", "prices").groupBy("conv").applyInArrow(_fold_back, ENDS)
