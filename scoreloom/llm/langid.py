@@ -33,15 +33,27 @@ DOCS, WORDS = 200, 6000
 LONGEST = 24
 HIDDEN, EPOCHS, BATCH, RATE = 12, 3, 128, 0.02
 #: Words a task remembers with four languages, and words it reads at once; with more languages fewer, as rows are longer.
-REMEMBERED, AT_ONCE = 300_000, 8192
-#: The share of the labelled documents whose scores count as no language.
-REJECTED = 0.001
+REMEMBERED, AT_ONCE = 300_000, 1024
+#: A score below that of this share of the labelled documents, and by a margin, counts as no language. The margin is
+#: a part of the way from the median down to that score: in a small corpus no labelled document falls.
+REJECTED, MARGIN = 0.001, 0.1
+#: Scores are rounded, as sums differ in the last bits between machines.
+DECIMALS = 6
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + np.float32(0.5)
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A matrix product rounded from double precision.
+
+    How a library adds up the terms of a row depends on how many rows there are. In single precision that shows
+    in the last bits of a word's row, and a word would score by the company it is read in.
+    """
+    return (a.astype(np.float64) @ b.astype(np.float64)).astype(np.float32)
+
+
 class Direction:
     """A gated recurrent unit read in one direction; gates are ordered update, reset, candidate."""
 
@@ -57,7 +69,7 @@ class Direction:
         h, k = np.zeros((n, self.h), np.float32), self.h
         out = np.empty((n, length, k), np.float32)
         for t in range(length):
-            given, own = self.byte[x[:, t]] + self.bias, h @ self.state
+            given, own = self.byte[x[:, t]] + self.bias, _product(h, self.state)
             gates = _sigmoid(given[:, : 2 * k] + own[:, : 2 * k])
             z, r = gates[:, :k], gates[:, k:]
             candidate = np.tanh(given[:, 2 * k :] + r * own[:, 2 * k :])
@@ -103,7 +115,7 @@ class ByteNetwork:
     def positions(self, x: np.ndarray) -> np.ndarray:
         """Probabilities (n, length, languages) for words of one length."""
         states = np.concatenate([self.ahead.forward(x), self.back.forward(x[:, ::-1])[:, ::-1]], axis=2)
-        return self._softmax(states @ self.out + self.out_bias)
+        return self._softmax(_product(states, self.out) + self.out_bias)
 
     @staticmethod
     def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -280,8 +292,9 @@ def _has_letter(text: bytes | None) -> bool:
 
 
 def _scores(sums: np.ndarray, languages: int) -> np.ndarray:
-    """The mean probability of the likeliest language, from the rows of ``Reader.read``."""
-    return np.minimum(1.0, sums[:, :languages].max(axis=1, initial=0) / np.maximum(sums[:, -1], 1))
+    """The mean probability of the likeliest language to ``DECIMALS``, from the rows of ``Reader.read``."""
+    means = sums[:, :languages].max(axis=1, initial=0) / np.maximum(sums[:, -1], 1)
+    return np.round(np.minimum(1.0, means), DECIMALS)
 
 
 def identify(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
@@ -324,12 +337,13 @@ def identify(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
 
 
 def least_score(docs: DataFrame, network: ByteNetwork | None) -> float:
-    """The score that all but ``REJECTED`` of the labelled, not held-out documents with a letter reach."""
+    """A margin below the score that all but ``REJECTED`` of the labelled, not held-out documents with a letter reach."""
     if network is None:
         return 0.0
     known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     scored = identify(known, network).where(F.col("lang_pred") != UNKNOWN)
-    return scored.agg(F.percentile_approx("score", REJECTED, 100_000)).first()[0] or 0.0
+    found = scored.agg(F.percentile_approx("score", [REJECTED, 0.5], 100_000)).first()[0]
+    return found[0] - MARGIN * (found[1] - found[0]) if found else 0.0
 
 
 def keep_identified(docs: DataFrame, network: ByteNetwork | None, least: float = 0.0) -> DataFrame:

@@ -353,6 +353,23 @@ def test_language_draw_is_bounded_and_repeats(spark, odd):
     assert langid._training_words(copies, {"fr": 4}) == langid._training_words(copies.coalesce(1), {"fr": 4})
 
 
+def test_language_scores_do_not_depend_on_company(spark, docs):
+    """Bit for bit the same alone, in another order, in other batches, and in a plain forward pass of the network."""
+    network = langid.train_network(docs)
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    want = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, network).collect()}
+    for other in (docs.repartition(7), docs.orderBy(F.col("doc_id").desc()).coalesce(1), docs.where("doc_id % 3 = 1")):
+        got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(other, network).collect()}
+        assert got == {i: want[i] for i in got}
+    for doc_id, text in rows[::5]:
+        reader = langid.Reader(network)
+        alone = langid._scores(reader.read([(text or "").encode()]), len(network.languages))[0]
+        pieces = [w[a : a + langid.LONGEST] for w in words_of(text) for a in range(0, len(w), langid.LONGEST)]
+        sums = sum((network.positions(np.frombuffer(p, np.uint8)[None])[0].sum(axis=0) for p in pieces), np.zeros(1))
+        plain = sums.max() / max(1, sum(map(len, pieces)))
+        assert want[doc_id][1] == (alone if want[doc_id][0] != langid.UNKNOWN else 0.0) and abs(plain - alone) < 1e-5
+
+
 def test_language_stage_drops_letter_junk(spark, small, docs):
     rng = np.random.default_rng(6)
     letters = list("bcdfghjkmnpqvwxyz0123456789")
