@@ -7,7 +7,8 @@ are linked when ``100 * |both| >= 75 * |either|``, counted on the full sets.
    permutation of the slots; a slot keeps its least value. Values of later rounds are
    larger, so a document ends as soon as all its slots are filled: about two rounds for
    500 shingles in place of one per slot.
-2. *Classes.* Documents with equal sets become one class, which its smallest id stands for.
+2. *Classes.* Documents with equal sets become one class with a number of its own; a row with its smallest id
+   lends the text. Ids only name the groups at the end, so rows that repeat an id never stand for each other.
 3. *Bands.* 42 bands of 3 slots: a pair at similarity 0.75 misses all with a chance of
    1e-10. Buckets keep their smallest and largest class.
 4. *First links.* Every class is verified against the extreme it shares most bands with.
@@ -20,7 +21,9 @@ are linked when ``100 * |both| >= 75 * |either|``, counted on the full sets.
 
 Defined cases: no words or a null text is the empty set, linked with nothing; fewer than
 five words are one shingle; a null ``doc_id`` belongs to no group and stays; rows that
-repeat a ``doc_id`` are judged by their own text; empty tables give empty results.
+repeat a ``doc_id`` are judged by their own text, so two groups may bear one id; of a group's
+rows with its smallest id, ``near_duplicates`` keeps all and ``drop_near_duplicates`` those with
+one of the texts; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -43,6 +46,7 @@ BANDS, ROWS = 42, 3
 SLOTS = BANDS * ROWS
 FLOOR = 0.55
 TILE = 256
+SALTS = 32
 #: Shingles signed at once.
 CHUNK = 400_000
 _EMPTY = np.uint64(2**64 - 1)
@@ -111,6 +115,7 @@ def _signed(batch: pa.RecordBatch) -> dict:
         at = end
     return {
         "doc_id": batch.column("doc_id"),
+        "raw": batch.column("raw"),
         "n_shingles": [len(s) for s in sets],
         "set_id": [set_digest(s) for s in sets],
         "bands": bands,
@@ -119,9 +124,9 @@ def _signed(batch: pa.RecordBatch) -> dict:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, set_id, bands, sketch)`` per row of ``docs(doc_id, text)``."""
-    schema = "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch binary"
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), _signed, schema)
+    """``(doc_id, raw, n_shingles, set_id, bands, sketch)`` per row of ``docs(doc_id, text)``; ``raw`` is the text's hash."""
+    schema = "doc_id long, raw long, n_shingles long, set_id binary, bands array<long>, sketch binary"
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("raw")), _signed, schema)
 
 
 class _Sets(OrderedDict):
@@ -160,13 +165,6 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), _linked, "a long, b long")
 
 
-def _own_text(batch: pa.RecordBatch) -> dict:
-    """Of rows that repeat an id, only the text whose set the class stands for."""
-    want = batch.column("set_id").to_pylist()
-    keep = [i for i, t in enumerate(bytes_of(batch.column("text"))) if set_digest(text_set(t)) == want[i]]
-    return {"id": batch.column("id").take(pa.array(keep, pa.int64())), "text": batch.column("text").take(pa.array(keep, pa.int64()))}
-
-
 class _Tile:
     """A bounded part of a group: classes outside its component, and classes they have to meet."""
 
@@ -219,6 +217,13 @@ def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
 
+def _salted(classes: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Join ``classes`` to the one row of each key in ``facts``, the classes of a key spread over ``SALTS`` tasks."""
+    spread = classes.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    copies = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return spread.join(copies, [key, "salt"]).drop("salt")
+
+
 def remaining_links(members: DataFrame, labels: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
     """Links ``(a, b)`` across the components that share buckets.
 
@@ -237,10 +242,11 @@ def remaining_links(members: DataFrame, labels: DataFrame, signed: DataFrame, te
     joined = staged(rows.join(mixed, "key").where("comp <> main").select("main", "rep", "comp").distinct(), "stragglers")
     few = joined.groupBy("main").agg(F.count(F.lit(1)).alias("few"))
     crowd = rows.select("rep", "comp").distinct()
-    own = crowd.join(few, crowd["comp"] == few["main"]).select("main", "rep", "comp", F.lit(False).alias("outside"))
+    crowd = crowd.withColumn("main", F.col("comp"))
+    own = _salted(crowd, few, "main").select("main", "rep", "comp", F.lit(False).alias("outside"))
     everyone = own.unionByName(joined.withColumn("outside", F.lit(True)))
     groups = everyone.groupBy("main").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("outside").cast("long")).alias("few"))
-    everyone = everyone.join(groups, "main")
+    everyone = _salted(everyone, groups, "main")
     across, down = F.ceil(F.col("all") / TILE).cast("long"), F.ceil(F.col("few") / TILE).cast("long")
     place = F.xxhash64("rep")
     once = everyone.select(
@@ -257,22 +263,23 @@ def remaining_links(members: DataFrame, labels: DataFrame, signed: DataFrame, te
     return tiles.mapInArrow(_tile_links, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: ``(doc_id, n_shingles, component_id, kept)``."""
+def _judged(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: ``(doc_id, raw, n_shingles, root, component_id, kept)``; ``root`` numbers the group."""
     signed = staged(signatures(docs), "signatures")
     named = signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
-    classes = staged(named.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
-    own = (named["set_id"] == classes["set_id"]) & (named["doc_id"] == classes["rep"])
-    reps = named.join(classes, own).select("rep", named["set_id"], "bands", "sketch").dropDuplicates(["rep", "set_id"])
+    classes = named.groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    classes = staged(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    own = (named["set_id"] == classes["set_id"]) & (named["doc_id"] == classes["least"])
+    reps = named.join(classes, own).select("rep", "least", "raw", "bands", "sketch").dropDuplicates(["rep"])
     banded = reps.select("rep", F.explode("bands").alias("key"))
     ends = banded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     members = staged(banded.join(ends, "key"), "bucket-members")
 
     crowded = members.select("rep").distinct()
     signed_reps = reps.join(crowded, "rep", "left_semi")
-    wanted = signed_reps.select(F.col("rep").alias("id"), "set_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id")
-    texts = staged(map_batches(texts.select("id", "set_id", "text"), _own_text, "id long, text string"), "candidate-texts")
+    texts = staged(_texts(docs, signed_reps), "candidate-texts")
+    if not texts.groupBy("id").count().where("count > 1").isEmpty():  # equal rows with one id
+        texts = staged(texts.dropDuplicates(["id"]), "candidate-texts")
 
     to_end = members.where("rep > lo").groupBy("rep", F.col("lo").alias("end")).agg(F.count(F.lit(1)).alias("n"))
     to_end = to_end.withColumn("low", F.lit(True)).unionByName(
@@ -283,16 +290,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = staged(verified(pairs, texts), "first-links")
 
     more = remaining_links(members, components(first), signed_reps, texts)
-    roots = components(first.union(staged(more, "more-links")))
-    rows = signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
-    rows = rows.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    group = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
-    return rows.select("doc_id", "n_shingles", group.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    roots = components(first.union(staged(more, "more-links"))).withColumnRenamed("node", "rep")
+    roots = roots.union(roots.select("root", "root").distinct())
+    ids = roots.join(classes, "rep").groupBy("root").agg(F.min("least").alias("label"))
+    known = classes.join(roots.join(ids, "root"), "rep", "left").select(
+        "set_id", F.coalesce("root", "rep").alias("root"), F.coalesce("label", "least").alias("label")
     )
+    rows = signed.select("doc_id", "raw", "n_shingles", "set_id").join(known, "set_id", "left")
+    group = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return rows.select("doc_id", "raw", "n_shingles", "root", group.alias("component_id")).withColumn("kept", kept)
+
+
+def _texts(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """``(id, text)``: a text of each class."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("least"), F.xxhash64("text").alias("raw"), "text")
+    return rows.join(reps.select(F.col("rep").alias("id"), "least", "raw"), ["least", "raw"]).select("id", "text")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: ``(doc_id, n_shingles, component_id, kept)``."""
+    return _judged(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: the smallest id of each group."""
-    dropped = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay: one text of each group, with the group's smallest id."""
+    judged = staged(_judged(docs), "judged")
+    firsts = judged.where("kept AND root IS NOT NULL AND doc_id IS NOT NULL").groupBy("root")
+    several = firsts.agg(F.min("raw").alias("first"), F.max("raw").alias("last")).where("first < last")
+    others = judged.where("kept AND doc_id IS NOT NULL").join(several, "root").where("raw <> first")
+    gone = judged.where("NOT kept").select("doc_id", "raw").union(others.select("doc_id", "raw")).distinct()
+    gone = gone.withColumnsRenamed({"doc_id": "gone_id", "raw": "gone_raw"})
+    same = (docs["doc_id"] == F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_raw"))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)

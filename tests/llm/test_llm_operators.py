@@ -143,6 +143,61 @@ def test_near_copies_of_odd_rows(odd, nothing):
     assert gone.columns == nothing.columns and gone.count() == 0
 
 
+def brute_rows(rows):
+    """Per row (id, text): (id, size of its set, smallest id of its group, kept), each row a node of its own."""
+    sets = []
+    for _, t in rows:
+        w = words_of("".join(c.lower() if c.isascii() else c for c in t or ""))
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
+    root = {k: k for k in range(len(rows))}
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and None not in (rows[a][0], rows[b][0]) and 100 * both >= 75 * len(sets[a] | sets[b]):
+                root[find(root, a)] = find(root, b)
+    groups = collections.defaultdict(list)
+    for k in root:
+        groups[find(root, k)].append(k)
+    out = []
+    for own in groups.values():
+        label = min((rows[k][0] for k in own if rows[k][0] is not None), default=None)
+        out += [(rows[k][0], len(sets[k]), label, rows[k][0] == label) for k in own]
+    return sorted(out, key=repr), groups
+
+
+P, Q = PASSAGE, " ".join(f"q{i}" for i in range(40))
+REPEATED = [
+    [(8, P), (9, f"start {P} stop"), (9, "another text of row nine")],
+    [(8, P), (9, f"start {P} stop"), (9, Q), (7, f"{Q} end")],
+    [(5, P), (5, f"{P} more"), (5, f"{P} more"), (5, "alone here"), (6, f"{P} much"), (None, P), (3, None), (3, "")],
+]
+
+
+@pytest.mark.parametrize("case", range(len(REPEATED)))
+def test_near_copies_with_repeated_ids(spark, case):
+    """Every row is judged by its own text, in any order of the rows."""
+    for rows in (REPEATED[case], REPEATED[case][::-1], sorted(REPEATED[case], key=repr)):
+        df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, rep string, raw long").coalesce(1)
+        want, groups = brute_rows(rows)
+        assert sorted(map(tuple, near_dedup.near_duplicates(df).collect()), key=repr) == want
+        kept = near_dedup.drop_near_duplicates(df)
+        assert kept.columns == df.columns
+        stay = collections.Counter((r["doc_id"], r["text"]) for r in kept.collect())
+        for own in groups.values():  # equal rows stay together
+            some = {rows[k] for k in own}
+            label = min((i for i, _ in some if i is not None), default=None)
+            found = [r for r in some if stay[r]]
+            if any(words_of(t) for _, t in some):
+                assert len(found) == 1 and found[0][0] == label or label is None
+            else:
+                assert len(found) == len(some)
+
+
+def test_near_copies_equal_brute_force_on_odd_rows(odd):
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    assert sorted(map(tuple, near_dedup.near_duplicates(odd).collect()), key=repr) == brute_rows(rows)[0]
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(1)
     for n, share in ((3, 2), (60, 30), (900, 700)):
