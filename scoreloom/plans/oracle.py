@@ -9,6 +9,7 @@ from __future__ import annotations
 from scoreloom import constants as K
 from scoreloom.config import DEFAULT, RewardConfig
 from scoreloom.functions.text import WHITESPACE
+from scoreloom.sources.derived import FIRST_SECOND
 from scoreloom.plans.queries import FROM_MAPPING, LITERAL, PAGE_TAGS, SESSION_GAP_MS, SWEEP, TEXT_CAP, TIGHT_CLAMP
 
 ORDER = tuple(K.DEFAULT_WEIGHTS)
@@ -230,6 +231,10 @@ def contribution() -> str:
     return f"{full()} " + " UNION ALL ".join(parts)
 
 
+#: Completions with their second, and the second that the watermark of ten minutes ends at.
+TIMED = f"""c AS (SELECT *, CASE WHEN comp_id < 0 THEN -1 - comp_id ELSE comp_id END AS d FROM rw),
+ e AS (SELECT source, reward, {FIRST_SECOND} + d * 30 + d * 37 % 420 + CASE WHEN comp_id < 0 THEN 11 ELSE 0 END AS s FROM c),
+ timed AS (SELECT *, max(s) OVER () - 600 AS passed FROM e)"""
 ADVANTAGE = f"""{full()} SELECT comp_id, prompt_id, {r6('reward')} AS reward,
  round(CASE WHEN count(*) OVER w > 1 THEN (reward - avg(reward) OVER w) / (stddev_samp(reward) OVER w + {d(1e-4)})
   ELSE 0 END, 4) + CAST(0 AS DOUBLE) AS advantage FROM rw WINDOW w AS (PARTITION BY prompt_id)"""
@@ -387,18 +392,19 @@ ORACLES: dict[str, str] = {
   {capped('p', 'tail')} AS prompt, {capped('c', 'head')} AS completion FROM lc""",
     "truncation_report": broken(),
     "stream_scores": f"{full()} SELECT comp_id, {r6('reward')} AS reward FROM rw",
-    "stream_reward_windows": f"""{full()} SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS window_start,
- {r6('avg(reward)')} AS mean_reward, count(*) AS n_rows FROM rw JOIN events ON event_id = comp_id GROUP BY 1""",
-    "stream_sliding_windows": f"""{full()} SELECT CAST(floor(epoch(ts) / 1200) * 1200 AS BIGINT) - k AS window_start,
- {r6('avg(reward)')} AS mean_reward, count(*) AS n_rows
- FROM rw JOIN events ON event_id = comp_id, (VALUES (0), (1200), (2400)) w(k) GROUP BY 1""",
+    "stream_reward_windows": f"""{full()}, {TIMED}
+SELECT CAST(floor(s / 3600) * 3600 AS BIGINT) AS window_start, {r6('avg(reward)')} AS mean_reward, count(*) AS n_rows
+FROM timed GROUP BY 1 HAVING window_start + 3600 <= any_value(passed)""",
+    "stream_sliding_windows": f"""{full()}, {TIMED}
+SELECT CAST(floor(s / 1200) * 1200 AS BIGINT) - k AS window_start, {r6('avg(reward)')} AS mean_reward, count(*) AS n_rows
+FROM timed, (VALUES (0), (1200), (2400)) w(k) GROUP BY 1 HAVING window_start + 3600 <= any_value(passed)""",
     "stream_group_advantage": ADVANTAGE,
-    "stream_session_windows": f"""{full()}, e AS (SELECT source, ts, reward FROM rw JOIN events ON event_id = comp_id),
- g AS (SELECT *, CASE WHEN epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY source ORDER BY ts) < {SESSION_GAP_MS}
-   THEN 0 ELSE 1 END AS opens FROM e),
- s AS (SELECT *, sum(opens) OVER (PARTITION BY source ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
- SELECT CAST(floor(epoch(min(ts))) AS BIGINT) AS window_start, source, {r6('avg(reward)')} AS mean_reward,
-  count(*) AS n_rows FROM s GROUP BY source, session""",
+    "stream_session_windows": f"""{full()}, {TIMED},
+ g AS (SELECT *, CASE WHEN (s - lag(s) OVER (PARTITION BY source ORDER BY s)) * 1000 < {SESSION_GAP_MS}
+   THEN 0 ELSE 1 END AS opens FROM timed),
+ o AS (SELECT *, sum(opens) OVER (PARTITION BY source ORDER BY s ROWS UNBOUNDED PRECEDING) AS session FROM g)
+ SELECT CAST(min(s) AS BIGINT) AS window_start, source, {r6('avg(reward)')} AS mean_reward, count(*) AS n_rows
+ FROM o GROUP BY source, session HAVING max(s) * 1000 + {SESSION_GAP_MS} <= any_value(passed) * 1000""",
     "reward_page_tags": f"""WITH pg AS (SELECT page_id, coalesce(html, '') AS completion FROM pages),
  {measured(PAGE_TAGS, 'pg', 'title', 'article')}, {scored(PAGE_TAGS)}
  SELECT page_id, {r6('r_think_answer_tags')} AS tag_score, {r6('reward')} AS reward FROM rw""",

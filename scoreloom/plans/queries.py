@@ -490,9 +490,9 @@ def truncation_report(spark, sf):
 # --- streams ------------------------------------------------------------------------
 
 
-def _completion_stream(spark: SparkSession, sf: str) -> DataFrame:
+def _completion_stream(spark: SparkSession, sf: str, files: int | None = None) -> DataFrame:
     schema = derived.table(spark, sf, "documents").schema
-    return derived.completions_of(jobs.read_stream(spark, f"{sf}/documents.parquet", schema))
+    return derived.completions_of(jobs.read_stream(spark, f"{sf}/documents.parquet", schema, files_per_batch=files))
 
 
 @query
@@ -502,16 +502,13 @@ def stream_scores(spark, sf):
 
 
 def _stream_windows(spark: SparkSession, sf: str, **window) -> DataFrame:
-    events = derived.table(spark, sf, "events").select(
-        F.col("event_id").alias("comp_id"), jobs.utc_instant(F.col("ts")).alias("ts")
-    )
-    stream = jobs.score_stream(_completion_stream(spark, sf)).select("comp_id", "reward").join(events, "comp_id")
-    table = jobs.drained(
-        jobs.reward_windows(stream, **window), "stream-windows",
-        lambda s, path, state: jobs.per_batch_to(s, path, state, mode="complete"),
-    )
+    """The windows that the watermark has passed when all files are read, one file per micro-batch."""
+    stream = jobs.score_stream(derived.timed(_completion_stream(spark, sf, files=1)))
+    narrow = stream.select("ts", "source", "reward")
+    table = jobs.drained(jobs.reward_windows(narrow, **window), "stream-windows", jobs.append_to)
+    by = window.get("by", ())
     return table.select(
-        F.unix_timestamp("window_start").alias("window_start"), r6("mean_reward", "mean_reward"), "n_rows"
+        F.unix_timestamp("window_start").alias("window_start"), *by, r6("mean_reward", "mean_reward"), "n_rows"
     )
 
 
@@ -527,17 +524,7 @@ def stream_sliding_windows(spark, sf):
 
 @query
 def stream_session_windows(spark, sf):
-    events = derived.table(spark, sf, "events").select(
-        F.col("event_id").alias("comp_id"), jobs.utc_instant(F.col("ts")).alias("ts")
-    )
-    stream = jobs.score_stream(_completion_stream(spark, sf)).select("comp_id", "source", "reward").join(events, "comp_id")
-    table = jobs.drained(
-        jobs.reward_windows(stream, session_gap=f"{SESSION_GAP_MS} milliseconds", by=("source",)), "stream-sessions",
-        lambda s, path, state: jobs.per_batch_to(s, path, state, mode="complete"),
-    )
-    return table.select(
-        F.unix_timestamp("window_start").alias("window_start"), "source", r6("mean_reward", "mean_reward"), "n_rows"
-    )
+    return _stream_windows(spark, sf, session_gap=f"{SESSION_GAP_MS} milliseconds", by=("source",))
 
 
 @query

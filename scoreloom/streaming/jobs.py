@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scoreloom.config import DEFAULT, RewardConfig
 from scoreloom.functions.signals import BUILT_IN, SignalRegistry
-from scoreloom.operators.groups import group_advantage
+from scoreloom.operators.lookup import HOT_SHARE, join_keyed
 from scoreloom.operators.scoring import score_completions
 from scoreloom.staging import fresh_path
 
+#: States that the completions of a prompt are dealt over.
+PROMPT_PARTS = 8
+STATISTICS = "n long, mean double, squares double"
+RUNNING = f"comp_id long, prompt_id long, reward double, part int, {STATISTICS}"
+
 
 def read_stream(
     spark: SparkSession,
@@ -61,7 +68,8 @@ def reward_windows(
 
     Tumbling windows by default, sliding ones with ``slide``, sessions with
     ``session_gap``. Sessions belong to something, say a training run, so they
-    need the columns to group ``by``. Rows later than the watermark are dropped.
+    need the columns to group ``by``. Rows later than the watermark are dropped. In append mode a
+    window is written once, when the watermark has passed its end, and its state is then given up.
     """
     if slide is not None and session_gap is not None:
         raise ValueError("a window either slides or follows sessions")
@@ -89,15 +97,17 @@ def _finish(query) -> None:
         raise failure
 
 
-def append_to(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Write everything available to a parquet table, each row exactly once."""
-    _finish(
+def append_to(stream: DataFrame, path: str, checkpoint: str):
+    """Write everything available to a parquet table, each row exactly once; the ended query."""
+    query = (
         stream.writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
         .start(path)
     )
+    _finish(query)
+    return query
 
 
 def per_batch_to(
@@ -123,35 +133,62 @@ def per_batch_to(
     )
 
 
-def stream_advantage(scored: DataFrame, path: str, checkpoint: str, eps: float = 1e-4) -> None:
-    """Group-relative advantage, whatever micro-batches the completions of a prompt come in.
+def _running_statistics(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Arriving rewards of one part of a prompt with count, mean and squared deviations of all so far."""
+    n, mean, squares = state.get if state.exists else (0, 0.0, 0.0)
+    for rows in batches:
+        rewards = rows["reward"].to_numpy(float)
+        if len(rewards):
+            own, both = rewards.mean(), n + len(rewards)
+            squares += ((rewards - own) ** 2).sum() + (own - mean) ** 2 * n * len(rewards) / both
+            mean += (own - mean) * len(rewards) / both
+            n = both
+        yield rows.assign(n=n, mean=mean, squares=squares)
+    state.update((n, float(mean), float(squares)))
 
-    Each micro-batch keeps its rows and writes anew the prompts it touches, from all their
-    rows so far; ``latest_advantages`` reads the last word on each prompt.
-    """
-    rows = f"{path}-rows"
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        own = f"{rows}/batch_no={number}"
-        batch.write.mode("overwrite").parquet(own)
-        touched = spark.read.parquet(own).select("prompt_id").distinct()
-        known = spark.read.option("basePath", rows).parquet(rows).where(F.col("batch_no") <= number).drop("batch_no")
-        out = group_advantage(known.join(touched, "prompt_id", "left_semi"), eps=eps)
-        out.write.mode("overwrite").parquet(f"{path}/batch_no={number}")
+def stream_advantage(scored: DataFrame, path: str, checkpoint: str, parts: int = PROMPT_PARTS):
+    """Rewards of a stream with the statistics of their prompts, from which ``latest_advantages`` reads advantages.
 
-    _finish(
-        scored.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    The state store holds three numbers per part of a prompt, and a micro-batch reads and writes its own rows and
+    the state of the prompts it touches, however many came before. A prompt's completions are dealt over ``parts``
+    states by id, so that no task gets all rows of a hot one.
+    """
+    part = F.pmod(F.xxhash64("comp_id"), F.lit(parts)).cast("int")
+    keyed = scored.select("comp_id", "prompt_id", "reward", part.alias("part"))
+    rows = keyed.groupBy("prompt_id", "part").applyInPandasWithState(
+        _running_statistics, RUNNING, STATISTICS, "append", GroupStateTimeout.NoTimeout
     )
-
-
-def latest_advantages(table: DataFrame) -> DataFrame:
-    """Of the written advantages, those of each prompt's last micro-batch."""
-    last = table.groupBy("prompt_id").agg(F.max("batch_no").alias("batch_no"))
-    return table.join(last, ["prompt_id", "batch_no"], "left_semi").drop("batch_no")
-
-
-def drained(stream: DataFrame, label: str, write: Callable[[DataFrame, str, str], None]) -> DataFrame:
+    return append_to(rows, path, checkpoint)
+
+
+def _merged(a: Column, b: Column) -> Column:
+    """The statistics of two disjoint sets of rewards together."""
+    n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+    share = b["n"] / F.greatest(n, F.lit(1))
+    return F.struct(
+        n.alias("n"), (a["mean"] + apart * share).alias("mean"),
+        (a["squares"] + b["squares"] + apart * apart * a["n"] * share).alias("squares"),
+    )
+
+
+def latest_advantages(table: DataFrame, eps: float = 1e-4, share: float = HOT_SHARE) -> DataFrame:
+    """``(comp_id, prompt_id, reward, advantage)`` of what ``stream_advantage`` wrote, given all rows so far."""
+    last = table.groupBy("prompt_id", "part").agg(F.max(F.struct("n", "mean", "squares")).alias("s"))
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+    parts = F.array_sort(F.collect_list(F.struct("part", "s")))  # one per part of the prompt
+    whole = last.groupBy("prompt_id").agg(F.aggregate(parts, none, lambda s, p: _merged(s, p["s"])).alias("s"))
+    stats = whole.select(
+        "prompt_id", F.col("s.n").alias("group_rows"), F.col("s.mean").alias("group_mean"),
+        F.sqrt(F.col("s.squares") / F.greatest(F.col("s.n") - 1, F.lit(1))).alias("group_sd"),
+    )
+    joined = join_keyed(table.select("comp_id", "prompt_id", "reward"), stats, "prompt_id", "group_rows", share)
+    relative = (F.col("reward") - F.col("group_mean")) / (F.col("group_sd") + F.lit(float(eps)))
+    advantage = F.when(F.col("group_rows") > 1, relative).otherwise(F.lit(0.0))
+    return joined.select("comp_id", "prompt_id", "reward", advantage.alias("advantage"))
+
+
+def drained(stream: DataFrame, label: str, write: Callable[[DataFrame, str, str], object]) -> DataFrame:
     """Run a stream over all that is available and return the table it wrote."""
     spark = stream.sparkSession
     path, checkpoint = fresh_path(spark, label), fresh_path(spark, f"{label}-state")

@@ -56,17 +56,49 @@ def test_windows_are_one_kind(spark, folder):
         jobs.reward_windows(spark.read.parquet(folder).withColumn("reward", F.lit(0.0)), session_gap="1 hour")
 
 
-def test_late_rows_are_dropped(spark, tmp_path):
-    path = str(tmp_path / "late")
-    hours = [0, 5, 6, 0, 9]  # the fourth file brings a row of an hour the watermark has passed
-    for i, hour in enumerate(hours):
-        row = (i, i, "نص", START + dt.timedelta(hours=hour, minutes=5))
-        spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(path)
-    stream = jobs.reward_windows(jobs.score_stream(stream_of(spark, path)))
-    out = jobs.drained(stream, "late", jobs.append_to)
-    got = {r["window_start"].hour: r["n_rows"] for r in out.collect()}
-    # the last window stays open, the others were closed once and for all
-    assert got == {0: 1, 5: 1, 6: 1}
+def write_hours(spark, path, hours):
+    """A file per item, a row per hour in it."""
+    for i, some in enumerate(hours):
+        rows = [(100 * i + k, i, "نص", START + dt.timedelta(hours=h, minutes=5)) for k, h in enumerate(some)]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+
+
+@pytest.mark.parametrize("window", [{}, {"slide": "20 minutes"}, {"session_gap": "30 minutes", "by": ("kind",)}])
+def test_closed_windows_equal_batch_and_late_files_change_nothing(spark, tmp_path, window):
+    """The fourth file brings rows of hours that the watermark has passed, beside one on time."""
+    kept, late = [[0, 1], [5], [6, 7], [9]], [[0, 1], [5], [6, 7], [0, 2, 9]]
+    found = []
+    for name, hours in (("kept", kept), ("late", late)):
+        path = str(tmp_path / name)
+        write_hours(spark, path, hours)
+        scored = jobs.score_stream(stream_of(spark, path)).withColumn("kind", F.lit("k"))
+        out = jobs.drained(jobs.reward_windows(scored, **window), name, jobs.append_to)
+        found.append(rows(out.select("window_start", "window_end", "n_rows")))
+    batch = score_completions(spark.read.parquet(str(tmp_path / "kept"))).withColumn("kind", F.lit("k"))
+    passed = F.lit(START + dt.timedelta(hours=9, minutes=-5)).cast("timestamp")
+    closed = jobs.reward_windows(batch, **window).where(F.col("window_end") <= passed)
+    assert found[0] == found[1] == rows(closed.select("window_start", "window_end", "n_rows"))
+
+
+def test_window_state_stays_bounded(spark, tmp_path):
+    path = str(tmp_path / "many")
+    write_hours(spark, path, [[2 * i, 2 * i + 1] for i in range(10)])
+    query = jobs.append_to(
+        jobs.reward_windows(jobs.score_stream(stream_of(spark, path))), fresh_path(spark, "many"), fresh_path(spark, "many-state")
+    )
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert len(held) >= 10 and max(held) <= 4
+
+
+def test_every_completion_is_in_one_window(spark, small):
+    """The closed tumbling windows and the rows that came after them are all completions."""
+    from scoreloom.plans.queries import QUERIES
+    from scoreloom.sources import derived
+
+    closed = QUERIES["stream_reward_windows"](spark, small).collect()
+    rows_of = derived.timed(derived.completions(spark, small))
+    later = rows_of.where(F.unix_timestamp("ts") >= max(r["window_start"] for r in closed) + 3600).count()
+    assert sum(r["n_rows"] for r in closed) + later == rows_of.count()
 
 
 @pytest.mark.parametrize("files", [1, 3])
@@ -92,6 +124,35 @@ def test_advantage_of_a_prompt_in_two_files(spark, tmp_path, files):
     assert rows(out.select(columns)) == rows(batch.select(columns))
 
 
+def test_advantage_of_a_hot_prompt_and_no_prompt(spark, tmp_path):
+    """A prompt split over three files and many states, a null prompt, lone completions."""
+    path = str(tmp_path / "hot")
+    made = [(i, 7 if i % 3 == 0 else None if i % 3 == 1 else i, "نص " * (i % 11)) for i in range(90)]
+    for k in range(3):
+        df = spark.createDataFrame(made[30 * k : 30 * k + 30], "comp_id bigint, prompt_id bigint, completion string")
+        df.coalesce(1).write.mode("append").parquet(path)
+    score = lambda df: score_completions(df).select("comp_id", "prompt_id", "reward")
+    columns = ["comp_id", "prompt_id", F.round("advantage", 9).alias("advantage")]
+    batch = group_advantage(score(spark.read.parquet(path))).select(columns)
+    stream = jobs.read_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+    out = jobs.latest_advantages(jobs.drained(score(stream), "hot", jobs.stream_advantage))
+    assert rows(out.select(columns)) == rows(batch)
+
+
+def test_a_batch_reads_and_writes_its_own_rows(spark, tmp_path):
+    path, n = str(tmp_path / "each"), 6
+    for k in range(n):
+        made = [(100 * k + i, 10 * k + i % 5, "نص") for i in range(20)]
+        df = spark.createDataFrame(made, "comp_id bigint, prompt_id bigint, completion string")
+        df.coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.read_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+    scored = jobs.score_stream(stream).select("comp_id", "prompt_id", "reward")
+    query = jobs.stream_advantage(scored, fresh_path(spark, "each"), fresh_path(spark, "each-state"))
+    batches = [p for p in query.recentProgress if p["numInputRows"]]
+    assert [p["numInputRows"] for p in batches] == [20] * n
+    assert all(p["stateOperators"][0]["numRowsUpdated"] <= 5 * jobs.PROMPT_PARTS for p in batches)
+
+
 def test_rerun_adds_nothing(spark, folder):
     path, state = fresh_path(spark, "rerun"), fresh_path(spark, "rerun-state")
     for _ in range(2):
