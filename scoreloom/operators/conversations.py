@@ -6,54 +6,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions.templates import CHATML, Template, as_template
-from scoreloom.operators.numbering import RANGE, ROWS_PER_RANGE, cut_ranges
 
-# a conversation of at most this many turns may be sorted in one task
-MAX_TURNS_PER_TASK = 100_000
+# turns of a conversation that are put in order together
+TURNS_PER_TASK = 1000
 
 
-def longest(df: DataFrame, key: str) -> int:
-    row = df.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()
-    return row[0] or 0
-
-
-def turn_pairs(
-    df: DataFrame,
-    max_turns: int = MAX_TURNS_PER_TASK,
-    rows_per_range: int = ROWS_PER_RANGE,
-) -> DataFrame:
+def turn_pairs(df: DataFrame, turns_per_task: int = TURNS_PER_TASK) -> DataFrame:
     """Each user turn with the assistant turn right behind it.
 
-    Conversations are windowed whole when the longest one was found to fit a
-    task. If one is longer, the table is cut into ranges of (conv_id, turn), so
-    that a long conversation spreads over several tasks, and the first turn of a
-    range is also shown to the range before it.
+    A conversation is cut at multiples of ``turns_per_task`` in its turn numbers, so that a long one
+    spreads over many tasks. Of conversations in several parts, the last turn of each part then
+    meets the first of the next. Equal turns go by role, then text.
     """
-    next_turn = {
-        "next_conv": F.lead("conv_id"),
-        "next_role": F.lead("role"),
-        "next_text": F.lead("text"),
-    }
-    if longest(df, "conv_id") <= max_turns:
-        window = Window.partitionBy("conv_id").orderBy("turn")
-        paired = df.withColumns({n: c.over(window) for n, c in next_turn.items()})
-    else:
-        ranges = cut_ranges(df, ["conv_id", "turn"], rows_per_range=rows_per_range)
-        own = df.withColumn("own", ranges.number())
-        copies = F.when(
-            ranges.is_cut(F.col("own")), F.array(F.col("own"), F.col("own") - 1)
-        ).otherwise(F.array(F.col("own")))
-        # outer: the list is never empty, and testing it would look up the range again
-        spread = own.withColumn(RANGE, F.explode_outer(copies))
-        window = Window.partitionBy(RANGE).orderBy("conv_id", "turn")
-        paired = spread.withColumns({n: c.over(window) for n, c in next_turn.items()}).where(
-            F.col("own") == F.col(RANGE)
-        )
-    return paired.where(
-        (F.col("role") == "user")
-        & (F.col("next_role") == "assistant")
-        & (F.col("next_conv") == F.col("conv_id"))
-    ).select("conv_id", "turn", F.col("text").alias("user_text"), F.col("next_text").alias("assistant_text"))
+    parts = df.select("conv_id", "turn", "role", "text", F.expr(f"turn div {turns_per_task}").alias("part"))
+    window = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text")
+    follower = F.lead(F.struct("role", "text")).over(window).alias("next")
+    columns = ["conv_id", "turn", "role", "text", "next"]
+    inside = parts.select(*columns[:-1], follower)
+
+    several = parts.select("conv_id", "part").distinct().groupBy("conv_id").count().where("count > 1")
+    turn = F.struct("turn", "role", "text")
+    edges = parts.join(several.select("conv_id"), "conv_id", "left_semi").groupBy("conv_id", "part").agg(
+        F.min(turn).alias("head"), F.max(turn).alias("tail")
+    )
+    after = F.lead("head").over(Window.partitionBy("conv_id").orderBy("part"))
+    across = edges.select("conv_id", "tail.*", F.struct(after["role"].alias("role"), after["text"].alias("text")).alias("next"))
+    return (
+        inside.unionByName(across)
+        .where("conv_id IS NOT NULL AND role = 'user' AND next.role = 'assistant'")
+        .select("conv_id", "turn", F.col("text").alias("user_text"), F.col("next.text").alias("assistant_text"))
+    )
 
 
 def conversation_messages(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from scoreloom.functions import sqltext as sql
 from scoreloom.functions import text as T
 from scoreloom.functions.signals import BUILT_IN, SignalRegistry, clamp, measure, script_count
 from scoreloom.operators.lookup import HOT_SHARE, join_groups, join_keyed
-from scoreloom.operators.numbering import RANGE, ROWS_PER_RANGE, number_blocks
+from scoreloom.operators.numbering import number_blocks
 from scoreloom.operators.quantiles import quantiles
 from scoreloom.staging import staged
 
@@ -31,13 +31,13 @@ def reward_by_step(
     scored: DataFrame,
     order_by: str = "comp_id",
     step_rows: int = K.STEP_ROWS,
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Reward statistics of every ``step_rows`` consecutive completions."""
     stepped = number_blocks(
         scored.select(order_by, "reward"), [order_by], step_rows, "step", rows_per_range
     )
-    return stepped.groupBy(RANGE, "step").agg(*_reward_stats()).drop(RANGE)
+    return stepped.groupBy("step").agg(*_reward_stats())
 
 
 def group_advantage(

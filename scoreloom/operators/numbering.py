@@ -1,148 +1,77 @@
 """Global row numbers without a global window.
 
-A window over a whole table runs in one task. Here the table is cut into ranges
-of the sort key, every range is numbered by itself, and the sizes of the ranges
-before it are added. The cut points are plain literals, so the range of a row is
-a pure function of its key: a lost task recomputes to the same numbers and
-nothing has to be pinned.
+A window over a whole table runs in one task. Here a range exchange puts the rows in order over many
+tasks, each task counts its own, and the ordered table is written once, so a lost executor cannot
+change what was counted. The rows ahead of each range are prefix sums in two levels: within hundreds
+of ranges, and over their sums. They are a small table that rows look up by their range; nothing of
+it is in the plan or on the driver, whatever the number of ranges.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from scoreloom.operators.lookup import BROADCAST_ROWS
+from scoreloom.staging import staged
 
 RANGE = "range_no"
-ROWS_PER_RANGE = 50_000
-#: Small tables are cut as well, so that there is one way through.
-LEAST_RANGES = 4
-#: Cut points travel as text that the engine itself writes and reads, for any orderable type.
-EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+PLACE = "range_place"
+#: Ranges whose sizes are summed together in the first level.
+RANGES_PER_SUM = 1024
+#: A written place is the number of the task shifted by this, and the row's number in the task.
+TASK_BITS = 33
+
+
+def in_ranges(df: DataFrame, keys: Sequence[str], rows_per_range: int | None = None) -> DataFrame:
+    """``df`` dealt to tasks by ranges of the keys, of about ``rows_per_range`` rows if given."""
+    if rows_per_range is None:
+        return df.repartitionByRange(*keys)
+    return df.repartitionByRange(max(1, math.ceil(df.count() / rows_per_range)), *keys)
 
 
-@dataclass(frozen=True)
-class Ranges:
-    """Cut points of a key and how many rows lie before each range.
+def in_order(df: DataFrame, keys: Sequence[str], rows_per_range: int | None = None) -> DataFrame:
+    """``df`` in the order of its keys, written once, with a ``PLACE`` that counts up, and the ``RANGE`` it is in.
 
-    ``cuts[i]`` is the first key of range ``i + 1``; ``before[i]`` counts the
-    rows in the ranges ahead of range ``i``.
+    ``keys`` must be unique in total; nulls come first.
     """
+    ordered = in_ranges(df, keys, rows_per_range).sortWithinPartitions(*keys)
+    placed = staged(ordered.withColumn(PLACE, F.monotonically_increasing_id()), "in-order")
+    return placed.withColumn(RANGE, F.shiftright(PLACE, TASK_BITS).cast("int"))
+
+
+def rows_ahead(placed: DataFrame) -> DataFrame:
+    """``(RANGE, ahead)``, written once: how many rows the ranges before hold."""
+    sizes = placed.groupBy(RANGE).agg(F.count("*").alias("rows")).withColumn("sum_no", F.expr(f"{RANGE} div {RANGES_PER_SUM}"))
+    own = F.array_sort(F.collect_list(F.struct(RANGE, "rows"))).alias("own")
+    sums = sizes.groupBy("sum_no").agg(own, F.sum("rows").alias("rows"))
+    # one row per thousand ranges
+    before = Window.orderBy("sum_no").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("own", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    each = sums.select("own", "before", F.posexplode("own").alias("place", "range"))
+    inside = F.aggregate(F.slice("own", 1, F.col("place")), F.lit(0).cast("long"), lambda n, r: n + r["rows"])
+    return staged(each.select(F.col(f"range.{RANGE}").alias(RANGE), (F.col("before") + inside).alias("ahead")), "ahead")
 
-    keys: tuple[str, ...]
-    types: tuple[T.DataType, ...]
-    cuts: tuple[str, ...]
-    before: tuple[int, ...]
-
-    def _key(self) -> Column:
-        return F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(self.keys)))
-
-    def _cut_literal(self) -> Column:
-        fields = ",".join(f"k{i}:{t.simpleString()}" for i, t in enumerate(self.types))
-        return F.from_json(F.lit(f"[{','.join(self.cuts)}]"), f"array<struct<{fields}>>", EXACT)
-
-    def number(self) -> Column:
-        """Range of the row: a binary search over the cut points."""
-        if not self.cuts:
-            return F.lit(0)
-        cuts, key = self._cut_literal(), self._key()
-        steps = [1 << p for p in reversed(range(len(self.cuts).bit_length()))]
-        return F.aggregate(
-            F.lit(steps),
-            F.lit(0),
-            lambda at, step: F.when(F.get(cuts, at + step - 1) <= key, at + step).otherwise(at),
-        )
-
-    def rows_before(self, range_no: Column) -> Column:
-        if len(self.before) == 1:
-            return F.lit(0).cast("bigint")
-        offsets = F.from_json(F.lit(str(list(self.before))), "array<bigint>")
-        return F.get(offsets, range_no)
-
-    def is_cut(self, range_no: Column) -> Column:
-        """Is the row the first one of its range?"""
-        if not self.cuts:
-            return F.lit(False)
-        return F.coalesce(F.get(self._cut_literal(), range_no - 1) == self._key(), F.lit(False))
-
-
-def cut_ranges(
+
+def number_rows(
     df: DataFrame,
     keys: Sequence[str],
-    unit: int = 1,
-    rows_per_range: int = ROWS_PER_RANGE,
-) -> Ranges:
-    """Find cut points for ranges of about ``rows_per_range`` rows.
-
-    ``keys`` must be unique in total; nulls come first. With ``unit > 1`` every
-    range starts at a multiple of ``unit``, so blocks of that many consecutive
-    rows never straddle two ranges. Only the key columns are read.
-    """
-    narrow = df.select(*keys)
-    types = tuple(f.dataType for f in narrow.schema.fields)
-    keys = tuple(keys)
-    total = narrow.count()
-    parts = max(math.ceil(total / rows_per_range), min(LEAST_RANGES, total))
-    if parts <= 1:
-        return Ranges(keys, types, (), (0,))
-    found = (
-        narrow.repartitionByRange(parts, *keys)
-        .withColumn("part", F.spark_partition_id())
-        .groupBy("part")
-        .agg(F.min(F.struct(*keys)).alias("low"), F.count("*").alias("rows"))
-        .orderBy("low")
-        .select(_written(F.struct(*(F.col(f"low.`{k}`").alias(f"k{i}") for i, k in enumerate(keys)))).alias("low"), "rows")
-        .collect()  # one row per range
-    )
-    cuts = tuple(row["low"] for row in found[1:])
-    before = [0]
-    for row in found[:-1]:
-        before.append(before[-1] + row["rows"])
-    ranges = Ranges(keys, types, cuts, tuple(before))
-    return ranges if unit == 1 else _aligned(narrow, ranges, unit, total)
-
-
-def _aligned(narrow: DataFrame, ranges: Ranges, unit: int, total: int) -> Ranges:
-    """Move every cut point up to the next multiple of ``unit``."""
-    starts = sorted({math.ceil(b / unit) * unit for b in ranges.before[1:]} - {0})
-    starts = [s for s in starts if s < total]
-    if not starts:
-        return Ranges(ranges.keys, ranges.types, (), (0,))
-    wanted = [0] * len(ranges.before)
-    at = 0
-    for start in starts:
-        while at + 1 < len(ranges.before) and ranges.before[at + 1] <= start:
-            at += 1
-        wanted[at] = start - ranges.before[at] + 1
-    place = F.from_json(F.lit(str(wanted)), "array<int>")
-    # only the first ``unit`` keys of a range can be a new cut point: the rank
-    # limit drops the others before the exchange
-    rank = F.row_number().over(Window.partitionBy(RANGE).orderBy(*ranges.keys))
-    found = (
-        narrow.withColumn(RANGE, ranges.number())
-        .withColumn("rank", rank)
-        .where(F.col("rank") <= unit)
-        .where(F.col("rank") == F.get(place, F.col(RANGE)))
-        .orderBy(*ranges.keys)
-        .select(_written(ranges._key()).alias("cut"))
-        .collect()  # one row per range
-    )
-    return Ranges(ranges.keys, ranges.types, tuple(row["cut"] for row in found), (0, *starts))
-
-
-def _written(key: Column) -> Column:
-    return F.to_json(key, EXACT)
-
-
-def number_rows(df: DataFrame, ranges: Ranges, name: str = "row_no", first: int = 1) -> DataFrame:
-    """Add the range and the global row number. One exchange, on the range."""
-    ranged = df.withColumn(RANGE, ranges.number())
-    local = F.row_number().over(Window.partitionBy(RANGE).orderBy(*ranges.keys))
-    return ranged.withColumn(name, local + ranges.rows_before(F.col(RANGE)) + F.lit(first - 1))
+    name: str = "row_no",
+    first: int = 1,
+    rows_per_range: int | None = None,
+) -> DataFrame:
+    """Add the row number in the order of ``keys``, which must be unique in total; nulls come first."""
+    placed = in_order(df, keys, rows_per_range)
+    ahead = rows_ahead(placed)
+    # there are no more ranges than tasks; they are of about one size, so beyond a broadcast no join task is hot
+    tasks = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    few = rows_per_range is None and int(tasks) <= BROADCAST_ROWS or ahead.count() <= BROADCAST_ROWS
+    joined = placed.join(F.broadcast(ahead) if few else ahead, RANGE)
+    within = F.col(PLACE).bitwiseAND(F.lit((1 << TASK_BITS) - 1))
+    return joined.withColumn(name, F.col("ahead") + within + F.lit(first)).drop("ahead", PLACE, RANGE)
 
 
 def number_blocks(
@@ -150,15 +79,10 @@ def number_blocks(
     keys: Sequence[str],
     size: int,
     name: str = "block_no",
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
-    """Number blocks of ``size`` consecutive rows, from 0.
-
-    Blocks lie within one range, so grouping or windowing by ``(range_no, name)``
-    afterwards needs no further exchange.
-    """
+    """Number blocks of ``size`` consecutive rows, from 0."""
     if size < 1:
         raise ValueError("block size must be positive")
-    ranges = cut_ranges(df, keys, size, rows_per_range)
-    numbered = number_rows(df, ranges, "row_no", first=0)
+    numbered = number_rows(df, keys, "row_no", first=0, rows_per_range=rows_per_range)
     return numbered.withColumn(name, F.expr(f"row_no div {size}"))

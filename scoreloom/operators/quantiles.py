@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.operators.lookup import join_groups
-from scoreloom.operators.numbering import ROWS_PER_RANGE, cut_ranges
+from scoreloom.operators.numbering import in_ranges
+from scoreloom.staging import staged
 
 
 def quantiles(
@@ -25,18 +26,17 @@ def quantiles(
     rows: str,
     at: Sequence[float],
     names: Sequence[str],
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Quantiles of ``value`` where each row of ``counts`` stands for ``rows`` rows.
 
-    ``counts`` holds each value of a group once. It is read several times and
-    should be a stored table.
+    ``counts`` holds each value of a group once. It is read once.
     """
     if any(math.isnan(q) or not 0 <= q <= 1 for q in at):
         raise ValueError(f"not quantiles: {at}")
     group = list(group)
-    ranges = cut_ranges(counts, [*group, value], rows_per_range=rows_per_range)
-    binned = counts.select(*group, value, rows, ranges.number().alias("bin_no"))
+    narrow = in_ranges(counts.select(*group, value, rows), [*group, value], rows_per_range)
+    binned = staged(narrow.withColumn("bin_no", F.spark_partition_id()), "bins")
 
     # one row per group and range from here on
     whole = Window.partitionBy(*group)

@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 from scoreloom import constants as K
 from scoreloom.functions import text as T
 from scoreloom.operators.lookup import left_lookup
-from scoreloom.operators.numbering import (
-    RANGE, ROWS_PER_RANGE, cut_ranges, number_blocks, number_rows,
-)
+from scoreloom.operators.numbering import number_blocks, number_rows
 from scoreloom.staging import staged
 
 SPECIALS = (K.END_OF_TEXT, K.TURN_START, K.TURN_END)
@@ -22,7 +20,7 @@ def build_vocab(
     df: DataFrame,
     text: str,
     specials: Sequence[str] = SPECIALS,
-    rows_per_range: int = 10 * ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Vocabulary of white-space tokens: ``token_id, piece, is_special``.
 
@@ -30,14 +28,9 @@ def build_vocab(
     """
     if not specials:
         raise ValueError("at least one special token is needed, it marks padding")
-    pieces = staged(
-        df.select(F.explode_outer(T.words_of(F.col(text))).alias("piece"))
-        .where(~F.col("piece").isin(*specials))
-        .distinct(),
-        "vocab-pieces",
-    )
-    ranges = cut_ranges(pieces, ["piece"], rows_per_range=rows_per_range)
-    numbered = number_rows(pieces, ranges, "token_id", first=len(specials))
+    words = df.select(F.explode_outer(T.words_of(F.col(text))).alias("piece"))
+    pieces = words.where(~F.col("piece").isin(*specials)).distinct()
+    numbered = number_rows(pieces, ["piece"], "token_id", len(specials), rows_per_range)
     fixed = df.sparkSession.createDataFrame(
         [(i, piece, True) for i, piece in enumerate(specials)],
         "token_id bigint, piece string, is_special boolean",
@@ -103,22 +96,20 @@ def pad_batches(
     key: str = "ex_id",
     by_length: bool = False,
     label_pad: int = K.LABEL_PAD,
-    rows_per_range: int = ROWS_PER_RANGE // 5,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Batches of consecutive rows, padded to the longest row of the batch.
 
     ``by_length`` orders rows by length before batching, so a batch holds rows
     of about one length. Ids are padded with ``pad_id``, masks with 0 and labels
-    with ``label_pad``. Rows are exchanged once: batches never straddle a range.
-    Their keys are read ahead to cut the ranges, so ``rows`` should be a stored
-    table.
+    with ``label_pad``. Batches are made of keys and lengths alone, so the ids are
+    exchanged once, to meet them; ``rows`` is read twice and should be a stored table.
     """
-    sized = rows.withColumn("n_tokens", F.size("input_ids"))
+    sizes = rows.select(key, F.size("input_ids").alias("n_tokens"))
     keys = ["n_tokens", key] if by_length else [key]
-    blocks = number_blocks(sized, keys, batch_size, "batch_id", rows_per_range)
-    batch = Window.partitionBy(RANGE, "batch_id")
-    longest = blocks.withColumn("batch_length", F.max("n_tokens").over(batch))
-    return longest.select(
+    blocks = number_blocks(sizes, keys, batch_size, "batch_id", rows_per_range)
+    longest = F.max("n_tokens").over(Window.partitionBy("batch_id")).alias("batch_length")
+    return rows.join(blocks.select(key, "batch_id", "n_tokens", longest), key).select(
         key, "batch_id", "n_tokens",
         _padded("input_ids", pad_id), _padded("attention_mask", 0), _padded("labels", label_pad),
     )
@@ -128,7 +119,7 @@ def padding_waste(
     sizes: DataFrame,
     batch_size: int = K.COLLATE_ROWS,
     key: str = "ex_id",
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Padding cells as a share of all cells, with and without ordering by length.
 
@@ -139,7 +130,7 @@ def padding_waste(
     for by_length in (False, True):
         keys = ["n_tokens", key] if by_length else [key]
         blocks = number_blocks(sizes, keys, batch_size, "batch_id", rows_per_range)
-        batches = blocks.groupBy(RANGE, "batch_id").agg(
+        batches = blocks.groupBy("batch_id").agg(
             F.max("n_tokens").alias("longest"), F.count("*").alias("rows"), F.sum("n_tokens").alias("used")
         )
         part = batches.agg(

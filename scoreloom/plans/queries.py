@@ -14,7 +14,7 @@ from scoreloom.functions import text as T
 from scoreloom.functions.signals import BUILT_IN, measure
 from scoreloom.functions.templates import CHATML, PLAIN
 from scoreloom.operators import alignment, conversations, groups, prepare, sequences
-from scoreloom.operators.numbering import RANGE, cut_ranges, number_rows
+from scoreloom.operators.numbering import number_rows
 from scoreloom.operators.scoring import component_log, export_rewards, score_completions
 from scoreloom.sources import derived, tables
 from scoreloom.staging import fresh_path, staged
@@ -280,8 +280,7 @@ def reward_components_long(spark, sf):
 
 
 def _positions(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    ranges = cut_ranges(df, keys)
-    return number_rows(df, ranges, name, first=0).drop(RANGE)
+    return number_rows(df, keys, name, first=0)
 
 
 @query

@@ -185,14 +185,18 @@ def test_turn_pairs(spark):
     assert got == [(1, 1, "u1", "a1"), (1, 5, "u2", "a2")]
 
 
-@pytest.mark.parametrize("rows_per_range", [1, 2, 7, 50, 1000])
-def test_long_conversations_are_spread(spark, rows_per_range):
-    values = [(7, 3 * t, ("user", "assistant", "user", "system")[t % 4], f"x{t}") for t in range(200)]
+@pytest.mark.parametrize("turns_per_task", [1, 2, 7, 50, 10_000])
+def test_long_conversations_are_spread(spark, turns_per_task):
+    """A third of all rows and more in one conversation, with gaps in its turns and turns below 0."""
+    values = [(7, 3 * t - 90, ("user", "assistant", "user", "system")[t % 4], f"x{t}") for t in range(200)]
     values += [(c, t, ("user", "assistant")[t % 2], f"{c}.{t}") for c in range(20) if c != 7 for t in range(c % 5)]
     df = turns(spark, *values).repartition(3)
-    whole = sorted(tuple(r) for r in conversations.turn_pairs(df).collect())
-    split = conversations.turn_pairs(df, max_turns=10, rows_per_range=rows_per_range)
-    assert sorted(tuple(r) for r in split.collect()) == whole
+    found = conversations.turn_pairs(df, turns_per_task)
+    want = []
+    for conv in {v[0] for v in values}:
+        own = sorted(v for v in values if v[0] == conv)
+        want += [(conv, a[1], a[3], b[3]) for a, b in zip(own, own[1:]) if (a[2], b[2]) == ("user", "assistant")]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
 
 
 def test_conversation_text(spark):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scoreloom import staging
 from scoreloom.operators.lookup import hot_keys, join_keyed, left_lookup
-from scoreloom.operators.numbering import RANGE, cut_ranges, number_blocks, number_rows
+from scoreloom.operators.numbering import in_order, number_blocks, number_rows, rows_ahead
 from scoreloom.operators.quantiles import quantiles
 
 
@@ -35,44 +35,60 @@ def test_row_numbers_equal_the_global_order(spark, rows_per_range, kind):
         # two thirds of the rows share the first part of the key
         values = [(7 if i % 3 else i % 5, i) for i in range(150)]
         df, keys = keyed(spark, values, "a int, k bigint"), ["a", "k"]
-    ranges = cut_ranges(df, keys, rows_per_range=rows_per_range)
-    got = number_rows(df, ranges, "n", first=5)
+    got = number_rows(df, keys, "n", first=5, rows_per_range=rows_per_range)
+    assert got.columns == [*df.columns, "n"]
     expected = df.withColumn("n", F.row_number().over(Window.orderBy(*keys)) + 4)
-    assert sorted(map(tuple, got.drop(RANGE).collect())) == sorted(map(tuple, expected.collect()))
-    sizes = [r["count"] for r in got.groupBy(RANGE).count().collect()]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
     if rows_per_range == 10:
+        sizes = [r["count"] for r in in_order(df, keys, rows_per_range).groupBy("range_no").count().collect()]
         assert len(sizes) > 5 and max(sizes) <= 60
 
 
 @pytest.mark.parametrize("unit", [1, 2, 7, 16, 256])
-@pytest.mark.parametrize("rows_per_range", [3, 20, 1000])
-def test_blocks_never_straddle_ranges(spark, unit, rows_per_range):
+@pytest.mark.parametrize("rows_per_range", [3, 20, None])
+def test_blocks_of_consecutive_rows(spark, unit, rows_per_range):
     df = keyed(spark, [(i * i,) for i in range(233)], "k bigint")
-    out = number_blocks(df, ["k"], unit, "b", rows_per_range)
-    rows = sorted((r["k"], r["b"], r[RANGE]) for r in out.collect())
-    assert [b for _, b, _ in rows] == [i // unit for i in range(233)]
-    by_block = {}
-    for _, block, range_no in rows:
-        by_block.setdefault(block, set()).add(range_no)
-    assert all(len(found) == 1 for found in by_block.values())
-
-
-def test_blocks_need_one_exchange(spark):
-    df = keyed(spark, [(i,) for i in range(300)], "k bigint")
-    ranges = cut_ranges(df, ["k"], 4, rows_per_range=40)
-    assert len(ranges.cuts) > 3
-    numbered = number_rows(spark.range(300).withColumnRenamed("id", "k"), ranges, "row_no", 0)
-    blocks = numbered.withColumn("b", F.expr("row_no div 4"))
-    grouped = blocks.groupBy(RANGE, "b").agg(F.max("k"))
-    assert plan_of(grouped).count("Exchange ") == 1
-    windowed = blocks.withColumn("m", F.max("k").over(Window.partitionBy(RANGE, "b")))
-    assert plan_of(windowed).count("Exchange ") == 1
-
-
-def test_empty_table_has_one_range(spark):
+    rows = sorted((r["k"], r["b"]) for r in number_blocks(df, ["k"], unit, "b", rows_per_range).collect())
+    assert [b for _, b in rows] == [i // unit for i in range(233)]
+
+
+def test_rows_ahead_in_two_levels(spark):
+    """More ranges than are summed together, some of them empty."""
+    sizes = [(i * 7919) % 5 for i in range(3000)]
+    placed = spark.range(sum(sizes)).select(
+        F.get(F.lit([r for r, n in enumerate(sizes) for _ in range(n)]), F.col("id").cast("int")).alias("range_no")
+    )
+    got = {r["range_no"]: r["ahead"] for r in rows_ahead(placed).collect()}
+    assert got == {r: sum(sizes[:r]) for r, n in enumerate(sizes) if n}
+
+
+def test_the_plan_does_not_grow_with_the_ranges(spark):
+    """Nothing of the ranges is in the plan, and a result takes few jobs."""
+    from scoreloom.operators import groups, sequences
+
+    steps = spark.range(12_000).select(F.col("id").alias("comp_id"), (F.col("id") % 7).cast("double").alias("reward"))
+    ids = F.sequence(F.lit(1), F.pmod("id", F.lit(9)).cast("int") + 1)
+    tokens = spark.range(6_000).select(F.col("id").alias("ex_id"), ids.alias("input_ids"))
+    tokens = sequences.training_rows(tokens)
+    tracker = spark.sparkContext.statusTracker()
+    for build in (lambda r: groups.reward_by_step(steps, rows_per_range=r), lambda r: sequences.pad_batches(tokens, rows_per_range=r)):
+        texts, rows = [], []
+        for rows_per_range in (6_000, 60, None):
+            before = len(tracker.getJobIdsForGroup(None))
+            out = build(rows_per_range)
+            # with a given size of the ranges, rows and ranges are counted as well
+            assert len(tracker.getJobIdsForGroup(None)) - before <= (8 if rows_per_range is None else 12)
+            texts.append(len(out._jdf.queryExecution().optimizedPlan().toString()))
+            found = [[round(v, 9) if isinstance(v, float) else v for v in r] for r in out.collect()]
+            rows.append(sorted(map(repr, found)))
+        assert rows[0] == rows[1] == rows[2]
+        assert max(texts) - min(texts) < 200
+
+
+def test_an_empty_table_has_no_numbers(spark):
     df = spark.createDataFrame([], "k bigint")
-    ranges = cut_ranges(df, ["k"])
-    assert ranges.cuts == () and number_rows(df, ranges).count() == 0
+    out = number_rows(df, ["k"])
+    assert out.columns == ["k", "row_no"] and out.count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -143,13 +159,9 @@ def test_staged_tables_can_be_dropped(spark, tmp_path, monkeypatch):
 
 @pytest.mark.parametrize("kind", ["timestamp", "date", "decimal(20,4)"])
 def test_ranges_of_any_orderable_key(spark, kind):
-    from scoreloom.operators.numbering import cut_ranges, number_rows
-
     at = {"timestamp": "timestamp_micros(1700000000000000 + id * 1234567)", "date": "date_add(date'2020-01-01', CAST(id AS INT))"}
     df = spark.range(500).selectExpr("id", f"CAST({at.get(kind, 'id / 8')} AS {kind}) AS k").repartition(5)
-    ranges = cut_ranges(df, ["k"], rows_per_range=40)
-    assert len(ranges.cuts) > 5
-    got = number_rows(df, ranges).select("id", "row_no").collect()
+    got = number_rows(df, ["k"], rows_per_range=40).select("id", "row_no").collect()
     assert all(r["row_no"] == r["id"] + 1 for r in got)
 
 
