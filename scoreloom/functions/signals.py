@@ -8,9 +8,10 @@ a projection of their own means each regex or search runs once per row.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -191,6 +192,30 @@ BUILT_IN = SignalRegistry(
 )
 
 
+def batch_signal(
+    function: Callable[..., Sequence[float]],
+    prompt: str = "prompt",
+    completion: str = "completion",
+    columns: Sequence[str] = (),
+) -> Signal:
+    """A signal from a callable ``(prompts, completions, **columns) -> scores`` over whole batches.
+
+    The callable gets lists, an Arrow batch of rows at a time, and gives one number per row. Null
+    prompts and completions are empty; values of the further columns come as they are.
+    """
+
+    @F.pandas_udf("double")
+    def scores(*series: pd.Series) -> pd.Series:
+        prompts, completions, *more = (s.astype(object).where(s.notna(), None).tolist() for s in series)
+        found = function(prompts, completions, **dict(zip(columns, more, strict=True)))
+        if len(found) != len(prompts):
+            raise ValueError(f"{len(found)} scores for {len(prompts)} completions")
+        return pd.Series(list(found), dtype="float64")
+
+    texts = [F.coalesce(F.col(c), F.lit("")) for c in (prompt, completion)]
+    return lambda config: scores(*texts, *map(F.col, columns))
+
+
 def clamp(total: str, config: RewardConfig) -> str:
     """SQL that bounds a total; the upper bound wins if the two cross."""
     bounds = config.clamp_rewards

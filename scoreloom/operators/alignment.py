@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.config import DEFAULT, RewardConfig
-from scoreloom.operators.lookup import left_lookup
+from scoreloom.operators.lookup import HOT_SHARE, left_lookup
 from scoreloom.operators.scoring import export_rewards, score_completions
 
 #: Shown for an id that the vocabulary does not hold.
@@ -57,9 +57,34 @@ def align_prompts(
     return left.join(right, [prompt_position, "repeat_no"], "left").drop("repeat_no")
 
 
-def join_prompts(completions: DataFrame, prompts: DataFrame, key: str = "prompt_id") -> DataFrame:
-    """Pair completions with prompts by key."""
-    return completions.join(prompts, key, "left")
+def join_prompts(
+    completions: DataFrame,
+    prompts: DataFrame,
+    key: str = "prompt_id",
+    spread_by: str = "comp_id",
+    share: float = HOT_SHARE,
+) -> DataFrame:
+    """Pair completions with prompts by key; completions without a partner get a null prompt.
+
+    A prompt asked for by more than ``share`` of all completions is repeated, once for each such share of them,
+    and its completions are dealt over the repeats by ``spread_by``. All prompts together get at most
+    ``1 / share`` repeats, and no task gets more of one prompt than that share. Only the keys and numbers of
+    repeats are broadcast, at most ``1 / share`` of them; texts are exchanged.
+    """
+    counts = completions.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows"))
+    limit = completions.agg(F.greatest(F.count("*") * F.lit(share), F.lit(1.0)).alias("limit")).scalar()
+    hot = counts.where(F.col("rows") > limit).select(F.col(key).alias("hot_key"), F.ceil(F.col("rows") / limit).alias("repeats"))
+    hot = F.broadcast(hot)
+    # a null key meets no prompt, so its rows may go anywhere
+    repeats = F.when(F.col(key).isNull(), F.lit(round(1 / share))).otherwise(F.coalesce("repeats", F.lit(1)))
+    left = completions.join(hot, F.col(key) == F.col("hot_key"), "left").withColumn(
+        "repeat_no", F.pmod(F.xxhash64(spread_by), repeats)
+    )
+    right = prompts.join(hot, F.col(key) == F.col("hot_key"), "left").withColumn(
+        "repeat_no", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("repeats", F.lit(1)) - 1))
+    )
+    extra = ("hot_key", "repeats")
+    return left.drop(*extra).join(right.drop(*extra), [key, "repeat_no"], "left").drop("repeat_no")
 
 
 def decode_ids(

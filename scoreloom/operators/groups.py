@@ -76,20 +76,21 @@ def preference_pairs(
 ) -> DataFrame:
     """Best and worst completion of each prompt whose rewards differ.
 
-    Among equal rewards the lower id ranks higher. The picks are made on narrow
-    rows; only the texts of picked completions are then fetched by id.
+    Among equal rewards the lower id ranks higher. The picks are made on narrow rows and
+    written, so that rewards are computed once; only the texts of picked completions are
+    then fetched by id, in one pass.
     """
     order = F.struct(F.col("reward").alias("reward"), (-F.col(comp_id)).alias("rank"))
     ends = scored.groupBy(prompt).agg(
         F.max_by(comp_id, order).alias("chosen_id"), F.min_by(comp_id, order).alias("rejected_id"),
         (F.max("reward") - F.min("reward")).alias("margin"),
     ).where("margin > 0")
-    wanted = ends.select(prompt, F.explode(F.array("chosen_id", "rejected_id")).alias(comp_id))
-    texts = scored.select(comp_id, text).join(wanted.select(comp_id), comp_id, "left_semi")
-    chosen = texts.select(F.col(comp_id).alias("chosen_id"), F.col(text).alias("chosen"))
-    rejected = texts.select(F.col(comp_id).alias("rejected_id"), F.col(text).alias("rejected"))
-    joined = ends.join(chosen, "chosen_id").join(rejected, "rejected_id")
-    return joined.select(prompt, "chosen_id", "rejected_id", "chosen", "rejected", "margin")
+    ends = staged(ends, "picks")
+    pick = ["chosen_id", "rejected_id"]
+    wanted = ends.select("*", F.explode(F.array(*pick)).alias("pick_id"))
+    found = wanted.join(scored.select(F.col(comp_id).alias("pick_id"), text), "pick_id")
+    texts = [F.max(F.when(F.col("pick_id") == F.col(p), F.col(text))).alias(p.removesuffix("_id")) for p in pick]
+    return found.groupBy(prompt, *pick, "margin").agg(*texts).select(prompt, *pick, "chosen", "rejected", "margin")
 
 
 def best_of_prompt(scored: DataFrame, prompt: str = "prompt_id", comp_id: str = "comp_id") -> DataFrame:

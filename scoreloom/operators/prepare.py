@@ -159,6 +159,11 @@ def first_rows(df: DataFrame, n: int, order_by: str = "ex_id") -> DataFrame:
     return df.orderBy(order_by).limit(n)
 
 
+def peek(df: DataFrame, ids: str = "input_ids", order_by: str = "ex_id") -> DataFrame:
+    """The first row by id and how many tokens it has."""
+    return first_rows(df, 1, order_by).withColumn("n_tokens", F.size(ids).cast("bigint"))
+
+
 def row_count(df: DataFrame, name: str = "n_rows") -> DataFrame:
     return df.agg(F.count("*").alias(name))
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +77,21 @@ def tokenize_with(
     return df.withColumn(name, tokenizer(F.col(text)))
 
 
+def batch_tokenizer(load: Callable[[], Callable[[list[str]], list[list[int]]]]) -> Callable[[Column], Column]:
+    """A tokenizer for ``tokenize_with`` from one that takes lists of texts.
+
+    ``load`` runs once for all batches of a task, so that a model is not read again for each.
+    """
+
+    @F.pandas_udf("array<bigint>")
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = load()
+        for texts in batches:
+            yield pd.Series(encode(texts.fillna("").tolist()), index=texts.index, dtype=object)
+
+    return ids
+
+
 def training_rows(df: DataFrame, max_length: int = K.MAX_SEQUENCE, ids: str = "input_ids") -> DataFrame:
     """Cut ids to ``max_length`` and add ``attention_mask`` and ``labels``."""
     cut = df.withColumn(ids, F.slice(ids, 1, max_length))

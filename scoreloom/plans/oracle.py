@@ -399,6 +399,31 @@ FROM timed GROUP BY 1 HAVING window_start + 3600 <= any_value(passed)""",
 SELECT CAST(floor(s / 1200) * 1200 AS BIGINT) - k AS window_start, {r6('avg(reward)')} AS mean_reward, count(*) AS n_rows
 FROM timed, (VALUES (0), (1200), (2400)) w(k) GROUP BY 1 HAVING window_start + 3600 <= any_value(passed)""",
     "stream_group_advantage": ADVANTAGE,
+    "batch_callable_signal": f"""WITH {SC}, {measured()}, {scored()},
+ p AS (SELECT rw.*, text AS prompt FROM rw LEFT JOIN documents ON doc_id = CASE WHEN comp_id % 3 = 0 THEN 0 ELSE prompt_id END),
+ e AS (SELECT *, CASE WHEN left(coalesce(prompt, ''), 12) <> '' AND contains(completion, left(prompt, 12)) THEN -1.0::DOUBLE
+   ELSE (length(completion) % 7)::DOUBLE / 8 + CASE WHEN source < 'm' THEN 0.5::DOUBLE ELSE 0 END END AS r_echo FROM p),
+ t AS (SELECT *, raw_reward + {d(0.5)} * r_echo AS raw FROM e)
+SELECT comp_id, {r6('r_echo')} AS r_echo, {r6('raw')} AS raw_reward,
+ {r6(f"least({d(DEFAULT.clamp_rewards['max'])}, greatest({d(DEFAULT.clamp_rewards['min'])}, raw))")} AS reward FROM t""",
+    "prompts_by_key": f"""WITH {SC}, k AS (SELECT comp_id, CASE WHEN comp_id % 3 = 0 THEN 0 WHEN comp_id % 11 = 1 THEN NULL
+ ELSE prompt_id END AS prompt_id FROM sc)
+SELECT comp_id, prompt_id, text AS prompt FROM k LEFT JOIN documents ON doc_id = prompt_id""",
+    "empty_batch": f"{full()} SELECT comp_id, comp_id AS pos, completion AS prompt, reward FROM rw WHERE false",
+    "split_replaced": f"""WITH {SC} SELECT comp_id, prompt_id,
+ CASE WHEN comp_id % 10 = 0 THEN 'again' || chr(10) || completion ELSE completion END AS completion,
+ CASE WHEN comp_id % 10 = 0 THEN 'test' ELSE 'train' END AS split FROM sc""",
+    "json_read_back": f"WITH {SI} SELECT ex_id, instruction, context, answer FROM si",
+    "kept_columns": f"WITH {SI} SELECT ex_id, answer FROM si",
+    "plugin_tokenized": f"""WITH {TEXTS}, c AS (SELECT ex_id, left(text, {K.MAX_SEQUENCE}) AS t FROM tx)
+SELECT ex_id, CAST(length(t) AS BIGINT) AS n_tokens, array_to_string(list_transform(string_split(t, ''), lambda x: unicode(x)), ' ')
+ AS input_ids FROM c""",
+    "first_row_tokens": f"""WITH {TEXTS}, {ids('tx', 'text', K.MAX_SEQUENCE)}
+SELECT ex_id, n_tokens, input_ids FROM ids ORDER BY ex_id LIMIT 1""",
+    "batches_by_length": f"""WITH {TEXTS}, {ids('tx', 'text', K.MAX_SEQUENCE)},
+ bt AS (SELECT *, (row_number() OVER (ORDER BY n_tokens, ex_id) - 1) // {K.COLLATE_ROWS} AS batch_id FROM ids),
+ mx AS (SELECT *, max(n_tokens) OVER (PARTITION BY batch_id) - n_tokens AS gap FROM bt)
+ SELECT ex_id, batch_id, n_tokens, input_ids || repeat(' 0', gap) AS input_ids FROM mx""",
     "stream_session_windows": f"""{full()}, {TIMED},
  g AS (SELECT *, CASE WHEN (s - lag(s) OVER (PARTITION BY source ORDER BY s)) * 1000 < {SESSION_GAP_MS}
    THEN 0 ELSE 1 END AS opens FROM timed),

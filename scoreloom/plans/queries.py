@@ -11,7 +11,7 @@ from scoreloom import constants as K
 from scoreloom.config import DEFAULT, RewardConfig
 from scoreloom.functions import sql_functions
 from scoreloom.functions import text as T
-from scoreloom.functions.signals import BUILT_IN, measure
+from scoreloom.functions.signals import BUILT_IN, batch_signal, measure
 from scoreloom.functions.templates import CHATML, PLAIN
 from scoreloom.operators import alignment, conversations, groups, prepare, sequences
 from scoreloom.operators.numbering import number_rows
@@ -261,6 +261,33 @@ def split_read_back(spark, sf):
     return tables.read_table(spark, path, split="test")
 
 
+@query
+def split_replaced(spark, sf):
+    """The test split is written again, twice, with other texts; the train split stays."""
+    split = F.when(F.col("comp_id") % 10 == 0, "test").otherwise("train").alias("split")
+    rows = completions(spark, sf).select("comp_id", "prompt_id", "completion", split)
+    path = fresh_path(spark, "replaced")
+    tables.replace_splits(rows, path)
+    again = rows.where("split = 'test'").withColumn("completion", F.concat(F.lit("again\n"), "completion"))
+    for _ in range(2):
+        tables.replace_splits(again, path)
+    return tables.read_table(spark, path)
+
+
+@query
+def json_read_back(spark, sf):
+    """Line breaks, nulls and blanks come back as they were."""
+    rows = instructions(spark, sf).select("ex_id", "instruction", "context", "answer")
+    path = fresh_path(spark, "as-json")
+    tables.write_table(rows, path, fmt="json")
+    return tables.read_table(spark, path, fmt="json", schema=tables.INSTRUCTION_SCHEMA)
+
+
+@query
+def kept_columns(spark, sf):
+    return prepare.keep_columns(instructions(spark, sf), "ex_id", "answer")
+
+
 @query
 def reward_callback(spark, sf):
     rows = _positions(completions(spark, sf).select("comp_id", "completion"), ["comp_id"], "pos")
@@ -324,6 +351,42 @@ def custom_signal(spark, sf):
     )
 
 
+def echo_penalty(prompts: list[str], completions: list[str], source: list[str | None]) -> list[float]:
+    """A user's signal: -1 where a completion repeats how its prompt begins, else by length and source."""
+    rows = zip(prompts, completions, source, strict=True)
+    return [
+        -1.0 if p[:12] and p[:12] in c else len(c) % 7 / 8 + (0.5 if s is not None and s < "m" else 0.0) for p, c, s in rows
+    ]
+
+
+@query
+def batch_callable_signal(spark, sf):
+    rows = completions(spark, sf).withColumn("prompt_id", F.expr("if(comp_id % 3 = 0, 0, prompt_id)"))
+    asked = alignment.join_prompts(rows, derived.prompts_of(derived.table(spark, sf, "documents")))
+    registry = BUILT_IN.with_signal("echo", batch_signal(echo_penalty, columns=("source",)))
+    table = score_completions(asked, DEFAULT.reweighted(echo=0.5), registry=registry)
+    return table.select("comp_id", r6("r_echo", "r_echo"), r6("raw_reward", "raw_reward"), r6("reward", "reward"))
+
+
+@query
+def prompts_by_key(spark, sf):
+    """A third of all completions ask for one prompt, some for none."""
+    hot = F.expr("CASE WHEN comp_id % 3 = 0 THEN 0 WHEN comp_id % 11 = 1 THEN NULL ELSE prompt_id END")
+    rows = completions(spark, sf).select("comp_id", hot.alias("prompt_id"))
+    return alignment.join_prompts(rows, derived.prompts_of(derived.table(spark, sf, "documents")))
+
+
+@query
+def empty_batch(spark, sf):
+    """The whole callback over no completions: no rows, with the columns of any other batch."""
+    rows = _positions(completions(spark, sf).select("comp_id", "completion"), ["comp_id"], "pos").where("pos < 0")
+    asked = instructions(spark, sf).select("ex_id", "instruction")
+    prompts = _positions(asked, ["ex_id"], "prompt_pos").select("prompt_pos", F.col("instruction").alias("prompt"))
+    vocab = sequences.build_vocab(asked, "instruction")
+    rewards = alignment.reward_callback(rows, prompts, vocab, ids=("comp_id",))
+    return rewards.withColumn("reward", F.round(F.col("reward").cast("double"), 4) + F.lit(0.0))
+
+
 @query
 def sql_function_scores(spark, sf):
     sql_functions.register(spark)
@@ -444,6 +507,35 @@ def tokenized(spark, sf):
     )
 
 
+def code_points(texts: list[str]) -> list[list[int]]:
+    return [list(map(ord, t)) for t in texts]
+
+
+@query
+def plugin_tokenized(spark, sf):
+    texts = prepare.training_text(instructions(spark, sf)).select("ex_id", "text")
+    tokenizer = sequences.batch_tokenizer(lambda: code_points)
+    rows = sequences.training_rows(sequences.tokenize_with(texts, tokenizer, "text"))
+    return rows.select(
+        "ex_id", F.size("input_ids").cast("bigint").alias("n_tokens"), joined("input_ids").alias("input_ids")
+    )
+
+
+@query
+def first_row_tokens(spark, sf):
+    rows = sequences.training_rows(_token_rows(spark, sf, K.MAX_SEQUENCE))
+    return prepare.peek(rows).select("ex_id", "n_tokens", joined("input_ids").alias("input_ids"))
+
+
+@query
+def batches_by_length(spark, sf):
+    rows = staged(_token_rows(spark, sf, K.MAX_SEQUENCE), "token-rows")
+    batches = sequences.pad_batches(sequences.training_rows(rows), by_length=True)
+    return batches.select(
+        "ex_id", "batch_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), joined("input_ids").alias("input_ids")
+    )
+
+
 @query
 def padded_batches(spark, sf):
     rows = staged(_token_rows(spark, sf, K.MAX_SEQUENCE), "token-rows")

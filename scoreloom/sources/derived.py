@@ -94,6 +94,11 @@ def timed(completions: DataFrame) -> DataFrame:
     return completions.withColumn("ts", F.timestamp_seconds(after + F.lit(FIRST_SECOND)))
 
 
+def prompts_of(documents: DataFrame) -> DataFrame:
+    """A prompt text for every ``prompt_id`` of the completions, and for more ids."""
+    return documents.select(F.col("doc_id").alias("prompt_id"), F.col("text").alias("prompt"))
+
+
 def completions(spark: SparkSession, folder: str) -> DataFrame:
     return completions_of(table(spark, folder, "documents"))
 

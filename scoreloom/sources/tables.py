@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FORMATS = ("parquet", "json", "orc")
-FEW_SPLITS = 8
 
 INSTRUCTION_SCHEMA = T.StructType(
     [
@@ -61,18 +60,6 @@ def read_table(
     return df.where(F.col("split") == split)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core on a small table stored in very few splits.
-
-    One row group is one split, so a small file would be scored by one task. A
-    table of more than a handful of splits is returned as it is: it is large
-    enough to keep a cluster busy, and too large to be worth an exchange.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    few = df.rdd.getNumPartitions() < min(cores, FEW_SPLITS)
-    return df.repartition(cores, key) if few else df
-
-
 def from_columns(
     spark: SparkSession, columns: Mapping[str, Sequence], schema: T.StructType | None = None
 ) -> DataFrame:
@@ -96,3 +83,14 @@ def write_table(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
+
+
+def replace_splits(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ("split",)) -> None:
+    """Put the splits that ``df`` holds in place of those stored; the others stay.
+
+    Writing the same rows again leaves one copy of them, so a job that failed half way can simply run again.
+    """
+    if not partition_by:
+        raise ValueError("splits are told apart by at least one column")
+    writer = df.write.format(_known(fmt)).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partition_by).save(path)

@@ -6,7 +6,7 @@ from scoreloom.functions import text as T
 from scoreloom.functions.templates import CHATML, PLAIN, Template
 from scoreloom.operators import conversations, prepare
 from scoreloom.sources.tables import (
-    INSTRUCTION_SCHEMA, from_columns, read_table, spread, write_table,
+    INSTRUCTION_SCHEMA, from_columns, read_table, replace_splits, write_table,
 )
 
 SPACES = T.WHITESPACE
@@ -248,11 +248,17 @@ def test_from_columns(spark):
         from_columns(spark, {"a": [1], "b": []})
 
 
-def test_spread_only_when_splits_are_few(spark):
-    few = spark.range(100).coalesce(1)
-    assert spread(few, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(100).repartition(9)
-    assert spread(many, "id") is many
+def test_replacing_a_split(spark, tmp_path):
+    path = str(tmp_path / "splits")
+    schema = "ex_id long, text string, split string"
+    replace_splits(spark.createDataFrame([(1, "a\nb", "train"), (2, None, "test"), (3, "", "test")], schema), path)
+    for _ in range(2):
+        replace_splits(spark.createDataFrame([(4, "new", "test")], schema), path)
+    assert sorted(map(tuple, read_table(spark, path).collect())) == [(1, "a\nb", "train"), (4, "new", "test")]
+    replace_splits(spark.createDataFrame([], schema), path)
+    assert read_table(spark, path).count() == 2
+    with pytest.raises(ValueError):
+        replace_splits(spark.range(1), path, partition_by=())
 
 
 def test_summary_of_the_fixture_table(spark, fixture_sql):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.config import DEFAULT, RewardConfig
 from scoreloom.functions import sql_functions
-from scoreloom.functions.signals import BUILT_IN, measure
+from scoreloom.functions.signals import BUILT_IN, batch_signal, measure
 from scoreloom.operators.scoring import component_log, export_rewards, score_completions
 from scoreloom.sources.tables import COMPLETION_SCHEMA
 
@@ -244,3 +244,24 @@ def test_summary_of_the_fixture_table(spark, fixture_sql, scale, expected):
     assert tuple(got)[:7] == pytest.approx(expected[:7], abs=1e-6)
     assert literal == pytest.approx(expected[7], abs=1e-6)
     assert tuple(got)[7:] == pytest.approx((0.5, -0.2, -0.4, -0.1, -4.7, 2.05))
+
+
+def test_a_callable_over_batches_is_a_signal(spark):
+    seen = []
+
+    def echoes(prompts, completions, bonus):
+        seen.append(len(prompts))
+        return [float(p in c) + (b or 0) for p, c, b in zip(prompts, completions, bonus, strict=True)]
+
+    rows = spark.createDataFrame(
+        [("a", "abc", 1), ("x", "abc", None), (None, None, 2)], "prompt string, completion string, bonus int"
+    )
+    registry = BUILT_IN.with_signal("echo", batch_signal(echoes, columns=("bonus",)))
+    config = DEFAULT.reweighted(echo=2.0).with_(clamp_rewards=None)
+    got = score_completions(rows, config, registry=registry).collect()
+    plain = score_completions(rows, config.with_(weights={**config.weights})).collect()
+    assert [r["r_echo"] for r in got] == [2.0, 0.0, 3.0]
+    assert [round(r["reward"] - p["reward"], 9) for r, p in zip(got, plain, strict=True)] == [4.0, 0.0, 6.0]
+    few = BUILT_IN.with_signal("echo", batch_signal(lambda prompts, completions: [0.0]))
+    with pytest.raises(Exception, match="1 scores for"):
+        score_completions(rows.coalesce(1), config, registry=few).collect()

@@ -168,3 +168,44 @@ def test_join_prompts_keeps_every_completion(spark):
     prompts = spark.createDataFrame([(7, "p")], "prompt_id bigint, prompt string")
     got = {r["comp_id"]: r["prompt"] for r in alignment.join_prompts(completions, prompts).collect()}
     assert got == {1: "p", 2: None}
+
+
+def test_join_prompts_deals_hot_prompts_out(spark):
+    """A third of all completions under one prompt, a tenth under none: whole, and no task has much more than others."""
+    kind = F.expr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 10 = 1 THEN NULL ELSE id % 5000 END")
+    rows = spark.range(30_000).select(F.col("id").alias("comp_id"), kind.alias("prompt_id"))
+    prompts = spark.range(0, 5000, 2).select(F.col("id").alias("prompt_id"), F.concat(F.lit("p"), "id").alias("prompt"))
+    prompts = prompts.union(spark.createDataFrame([(7, "hot")], prompts.schema))
+    want = sorted(map(repr, rows.join(prompts, "prompt_id", "left").select("comp_id", "prompt_id", "prompt").collect()))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.skewJoin.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        joined = alignment.join_prompts(rows, prompts)
+        assert joined.columns == ["prompt_id", "comp_id", "prompt"]
+        sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+        assert sorted(map(repr, joined.select("comp_id", "prompt_id", "prompt").collect())) == want
+        assert len(sizes) == 16 and sizes[-1] <= 3 * sizes[8]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_a_tokenizer_over_batches(spark):
+    rows = spark.createDataFrame([(1, "ab"), (2, None), (3, "")], "ex_id long, text string")
+    tokenizer = sequences.batch_tokenizer(lambda: lambda texts: [list(map(ord, t)) for t in texts])
+    got = {r["ex_id"]: r["input_ids"] for r in sequences.tokenize_with(rows, tokenizer, "text").collect()}
+    assert got == {1: [97, 98], 2: [], 3: []}
+    assert sequences.tokenize_with(rows.where("false"), tokenizer, "text").count() == 0
+
+
+def test_peek_and_kept_columns(spark):
+    from scoreloom.operators import prepare
+
+    rows = spark.createDataFrame([(2, [1]), (1, [1, 2, 3])], "ex_id long, input_ids array<int>")
+    assert [(r["ex_id"], r["n_tokens"]) for r in prepare.peek(rows).collect()] == [(1, 3)]
+    assert prepare.peek(rows.where("false")).count() == 0
