@@ -10,8 +10,9 @@ Everything is DataFrame work on arrays inside the row; no text is shuffled.
 * *Training.* A candidate is positive where it overlaps a base span, or assigns a long mixed value
   to a secret's name. Trees of depth two are boosted on one half of the documents.
 * *Calibration.* On the other half, each generator gets the lowest score, even odds at least, from which on
-  ``PRECISE`` of its candidates are positive. Candidates at or above it that touch no base
-  span are added, the best of overlapping ones.
+  ``PRECISE`` of its candidates are positive, however many there are; even odds where it has none. Candidates at
+  or above it that touch no base span are added, the best of overlapping ones; an assignment of a long mixed
+  value to a secret's name is a candidate whatever the trees have learned.
 
 Regex quantifiers are possessive where giving back could not help, and start only where a
 match may begin, so time is linear in the text.
@@ -27,6 +28,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.staging import staged
+
 #: Base kinds in order, with a cheap test that no match fails.
 _LOCAL = "A-Za-z0-9._%+-"
 BASE = {
@@ -39,7 +42,7 @@ GENERATORS = {
     "mail": (r"(?<![^\x00-\x20<>\"',;:@])[^\x00-\x20<>\"',;:@]++ ?(?:@|\[at\]|\(at\)) ?[^\x00-\x20<>\"',;:@]++", r"@|\[at\]|\(at\)"),
     "number": (r"(?<![0-9A-Za-z])[+(]?[0-9](?:[ ().:/-]{0,2}[0-9]){6,}+(?![0-9A-Za-z])", r"[0-9]"),
     "address": (r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}+(?![0-9])", r"[0-9]\.[0-9]"),
-    "secret": (r"(?<![A-Za-z_])[A-Za-z_]{2,20}+ ?[=:] ?\"?[A-Za-z0-9+/_-]{16,}+\"?", r"[=:] ?\"?[A-Za-z0-9+/_-]{16}"),
+    "secret": (r"(?<![A-Za-z_])[A-Za-z_]{2,}+ ?[=:] ?[\"']?[A-Za-z0-9+/_-]{16,}+[\"']?", r"[=:] ?[\"']?[A-Za-z0-9+/_-]{16}"),
 }
 NAMES = {"mail": "x_mail", "number": "x_number", "address": "x_address", "secret": "x_secret"}
 SECRET_WORDS = r"(?i)(token|secret|passw|api.?key|credential)"
@@ -109,7 +112,7 @@ def _candidate(gen: int, text: Column, base: Column):
         digits = _digits(piece)
         before = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
         last = F.substring(text, start, F.least(start, F.lit(1)))
-        value = F.regexp_extract(piece, r"([A-Za-z0-9+/_-]{16,})\"?$", 1)
+        value = F.regexp_extract(piece, r"([A-Za-z0-9+/_-]{16,})[\"']?$", 1)
         named = F.rlike(piece, F.lit(SECRET_WORDS)) & F.rlike(value, F.lit("[0-9]")) & F.rlike(value, F.lit("[A-Za-z]"))
         secret = named if gen == 3 else F.lit(False)
         octets = F.coalesce(F.forall(F.split(piece, r"\."), lambda p: p.try_cast("double") <= 255), F.lit(False))
@@ -199,8 +202,10 @@ class Trees:
             for k, (score, r) in enumerate(own):
                 yes, no = yes + r["yes"], no + r["no"]
                 last = k + 1 == len(own) or own[k + 1][0] < score
-                if last and score >= 0 and yes >= PRECISE * (yes + no + 1):
+                if last and score >= 0 and yes >= PRECISE * (yes + no):
                     self.least[gen] = score
+            if not own:
+                self.least[gen] = 0.0
 
     def column(self, row: Column) -> Column:
         return sum((_case(t, row) for t in self.trees), F.lit(self.start))
@@ -253,15 +258,21 @@ def train_trees(found: DataFrame) -> Trees:
 
 def personal_spans(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
     """``(doc_id, base, added)`` per row: arrays of ``(order, kind, start, end)``, ordered."""
-    found = candidates(docs)
+    # written, so texts are searched once for training and choosing, and the optimizer has no search to repeat per field
+    found = staged(candidates(docs), "candidates")
     trees = trees if trees is not None else train_trees(found)
     scored = F.transform(
         F.filter("found", lambda c: ~c["known"]),
-        lambda c: F.struct(trees.column(c).alias("score"), c["start"].alias("start"), c["end"].alias("end"), c["gen"].alias("gen")),
+        lambda c: F.struct(
+            trees.column(c).alias("score"), c["start"].alias("start"), c["end"].alias("end"), c["gen"].alias("gen"),
+            c["secret"].alias("secret"),
+        ),
     )
     least = F.array(*[F.lit(x) for x in trees.least])
     rows = found.select("doc_id", "base", scored.alias("scored"))
-    rows = rows.select("doc_id", "base", F.filter("scored", lambda c: c["score"] >= F.element_at(least, c["gen"] + 1)).alias("chosen"))
+    rows = rows.select("doc_id", "base", F.filter(
+        "scored", lambda c: c["secret"] | (c["score"] >= F.element_at(least, c["gen"] + 1))
+    ).alias("chosen"))
 
     def beaten(c: Column) -> Column:
         rank = lambda x: F.struct(x["score"], x["end"] - x["start"], -x["gen"])
