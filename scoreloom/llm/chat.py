@@ -11,7 +11,7 @@
   loss mask lists the code point ranges of assistant texts.
 
 Defined cases: a null text is empty, a null role is the empty role; a null ``conv_id`` makes
-each row a conversation of its own; equal ``(conv_id, turn)`` rows follow one another; a parent
+each row a conversation of its own; equal ``(conv_id, turn)`` rows follow one another by role, then text; a parent
 that does not exist makes a node a root; nodes of a cycle lead to no root and are in no path;
 an empty table gives no conversation; further columns are ignored.
 """
@@ -75,8 +75,8 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def numbered_turns(conversations: DataFrame) -> DataFrame:
-    """``(node, parent, conv_id, role, text, score)``, written once."""
+def numbered_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(node, conv_id, parent, score)`` and ``(node, role, text)``, each written once."""
     rows = staged(
         conversations.select(
             F.monotonically_increasing_id().alias("node"), F.col("conv_id").cast("long"), "turn",
@@ -84,7 +84,7 @@ def numbered_turns(conversations: DataFrame) -> DataFrame:
         ),
         "turns",
     )
-    before = Window.partitionBy("conv_id", F.when(F.isnull("conv_id"), F.col("node"))).orderBy("turn", "node")
+    before = Window.partitionBy("conv_id", F.when(F.isnull("conv_id"), F.col("node"))).orderBy("turn", "role", "text", "node")
     links = rows.select("node", "conv_id", F.lag("node").over(before).alias("parent"))
     return staged(links.withColumn("score", F.lit(0.0)), "replies"), rows.select("node", "role", "text")
 

@@ -358,6 +358,18 @@ def test_personal_spans(spark, odd, nothing, docs):
     assert {r["doc_id"] for r in got if [s["kind"] for s in r["added"]] == ["x_secret"]} >= set(secrets)
 
 
+def test_conversations_do_not_depend_on_the_layout(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "z"), (1, None, "system", "s"), (2, 1, "user", "q"), (2, 1, "user", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = [
+        {r["conv_id"]: chat.read_back(r["formatted"]) for r in chat.format_conversations(part).collect()}
+        for part in (df.coalesce(1), df.repartition(7), df.orderBy(F.col("text").desc()).coalesce(1))
+    ]
+    assert found[0] == found[1] == found[2]
+    assert found[0][1] == [("system", "s"), ("assistant", "z"), ("user", "a"), ("user", "b")]
+    assert found[0][2] == [("user", ""), ("user", "q")]
+
+
 # --- language -------------------------------------------------------------------------------
 
 
