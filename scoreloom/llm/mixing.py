@@ -14,8 +14,8 @@ The words of a source, its documents laid end to end, are packed into blocks of
 * the slots meet the pieces of documents by ``(source, block)``.
 
 Permutations are "swap or not" rounds on integers: no sort, no state, the same on each
-run. Running sums go through chunks of documents, so a source with a third of all rows is
-never ordered in one task.
+run. Running sums go through groups of chunks of documents, so neither the rows of a source nor its
+chunks are ordered in one task.
 
 Defined cases: a null text has no words and is never taken; a null source is a source,
 last in order; a null ``doc_id`` is a document like any other; rows that repeat a
@@ -36,6 +36,8 @@ SHARE, MOST = 1.5, 2
 BLOCK, SHARD = 128, 4096
 #: Documents of one source whose running sum one task computes.
 CHUNK = 1_000
+#: Chunks of one source whose running sum one task computes.
+GROUP = 1_000
 #: Slots per cell of the lookup from slot number to source.
 CELL = 4096
 PRIME = 2_147_483_647
@@ -95,21 +97,32 @@ def source_targets(
 
 
 def _placed(sized: DataFrame) -> DataFrame:
-    """``start``: the words of the source before this document, by chunk and then within the chunk.
+    """``start``: the words of the source before this document, by group of chunks, chunk and place in the chunk.
 
     ``row`` follows the layout of the input, so it only tells fully equal rows apart.
     """
     chunks = sized.agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.lit(1)).cast("long")).first()[0]
     rows = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(chunks)))
     totals = rows.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
-    by_chunk = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("source", "chunk", F.coalesce(F.sum("words").over(by_chunk), F.lit(0)).alias("base"))
+    bases = _chunk_bases(staged(totals, "chunks"))
     within = Window.partitionBy("source", "chunk").orderBy("doc_id", "text_hash", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     same = rows["source"].eqNullSafe(bases["source"]) & (rows["chunk"] == bases["chunk"])
     return rows.join(bases, same).select("row", rows["source"], "size", (F.col("inner") + F.col("base")).alias("start"))
 
 
+def _chunk_bases(totals: DataFrame) -> DataFrame:
+    """``(source, chunk, base)``: the words of a source before each chunk, from those before its group of chunks."""
+    totals = totals.withColumn("group", F.expr(f"chunk div {GROUP}"))
+    groups = totals.groupBy("source", "group").agg(F.sum("words").alias("words"))
+    by_group = Window.partitionBy("source").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("source", "group", F.coalesce(F.sum("words").over(by_group), F.lit(0)).alias("ahead"))
+    by_chunk = Window.partitionBy("source", "group").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("inside", F.coalesce(F.sum("words").over(by_chunk), F.lit(0)))
+    same = totals["source"].eqNullSafe(groups["source"]) & (totals["group"] == groups["group"])
+    return totals.join(groups, same).select(totals["source"], "chunk", (F.col("ahead") + F.col("inside")).alias("base"))
+
+
 def mix_slots(sized: DataFrame, targets: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """``(shard, slot, source, pass, block)``: every slot of the mix with the block it holds."""
     running = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
