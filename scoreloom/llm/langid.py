@@ -1,8 +1,8 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a word (white space cuts words, a word of more than
-``LONGEST`` bytes is read in pieces) once forwards and once backwards and labels each
-byte with a probability per language. A document's probabilities are the mean over all
+The network reads the bytes of a word (white space cuts words) once forwards and once backwards and
+labels each byte with a probability per language. Of a word of more than ``LONGEST`` bytes, as scripts without
+spaces have, it labels that many bytes at a time, cut between characters and read with ``CONTEXT`` bytes on either side. A document's probabilities are the mean over all
 its positions. The state starts anew at each word, so a word's labels are the same
 wherever it stands: a task computes them once and keeps them, and the cost of a text is
 little more than cutting it into words.
@@ -30,7 +30,7 @@ from scoreloom.llm.common import GOLDEN, bytes_of, map_batches, mix
 
 UNKNOWN = "und"
 DOCS, WORDS = 200, 6000
-LONGEST = 24
+LONGEST, CONTEXT = 24, 8
 HIDDEN, EPOCHS, BATCH, RATE = 12, 3, 128, 0.02
 #: Words a task remembers with four languages, and words it reads at once; with more languages fewer, as rows are longer.
 REMEMBERED, AT_ONCE = 300_000, 1024
@@ -171,6 +171,33 @@ class ByteNetwork:
                     p -= (rate * m / (np.sqrt(v) + 1e-7)).astype(np.float32)
 
 
+def pieces_of(word: bytes) -> list[tuple[bytes, int, int]]:
+    """``(bytes, first, last)``: a word in pieces, and which bytes of each are to be labelled.
+
+    Those bytes follow one another without gap or overlap; what is around them only carries the state.
+    """
+    if len(word) <= LONGEST:
+        return [(word, 0, len(word))]
+    cuts = [0]
+    while cuts[-1] < len(word):
+        end = min(cuts[-1] + LONGEST, len(word))
+        cuts.append(_between_characters(word, end, end - 3))
+    out = []
+    for at, end in zip(cuts, cuts[1:], strict=False):
+        start = _between_characters(word, max(0, at - CONTEXT), 0)
+        stop = _between_characters(word, min(end + CONTEXT, len(word)), end)
+        out.append((word[start:stop], at - start, end - start))
+    return out
+
+
+def _between_characters(word: bytes, at: int, least: int) -> int:
+    """The last place between two characters from ``at`` back, at most three bytes and not before ``least``."""
+    for k in range(at, max(least, at - 3, 0) - 1, -1):
+        if k == len(word) or word[k] & 0xC0 != 0x80:
+            return k
+    return at
+
+
 class Reader:
     """A network in a task, with the words it has read."""
 
@@ -205,22 +232,23 @@ class Reader:
         """The row of each word, pieces of a long word added up."""
         n = len(self.network.languages)
         rows = np.zeros((len(words), 2 * n + 1))
-        by_length: dict[int, tuple[list[int], list[bytes]]] = {}
+        by_length: dict[int, tuple[list, list, list]] = {}
         for i, w in enumerate(words):
-            for at in range(0, len(w), LONGEST):
-                piece = w[at : at + LONGEST]
-                owners, pieces = by_length.setdefault(len(piece), ([], []))
+            for piece, first, last in pieces_of(w):
+                owners, pieces, inner = by_length.setdefault(len(piece), ([], [], []))
                 owners.append(i)
                 pieces.append(piece)
+                inner.append((first, last))
         step = max(1, int(AT_ONCE / self.narrow))
-        for length, (owners, pieces) in by_length.items():
+        for length, (owners, pieces, inner) in by_length.items():
+            place = np.arange(length)
             for at in range(0, len(owners), step):
                 part = pieces[at : at + step]
                 p = self.network.positions(np.frombuffer(b"".join(part), np.uint8).reshape(len(part), length))
-                labels = (p.argmax(axis=2)[:, :, None] == np.arange(n)).sum(axis=1)
-                np.add.at(rows, owners[at : at + step], np.concatenate(
-                    [p.sum(axis=1), labels, np.full((len(part), 1), length)], axis=1
-                ))
+                first, last = np.array(inner[at : at + step]).T[:, :, None]
+                counts = ((place >= first) & (place < last))[:, :, None]
+                labels = ((p.argmax(axis=2)[:, :, None] == np.arange(n)) & counts).sum(axis=1)
+                np.add.at(rows, owners[at : at + step], np.concatenate([(p * counts).sum(axis=1), labels, last - first], axis=1))
         return rows.astype(np.float32)
 
 
@@ -230,7 +258,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _draw(text: bytes, seed: int, most: int) -> list[bytes]:
     """At most ``most`` pieces of words from anywhere in a text, by hash of their place."""
-    pieces = [w[a : a + LONGEST] for w in text.split() for a in range(0, len(w), LONGEST)]
+    pieces = [piece for w in text.split() for piece, _, _ in pieces_of(w)]
     if len(pieces) <= most:
         return pieces
     order = mix(np.arange(len(pieces), dtype=np.uint64) * GOLDEN + np.uint64(seed & 0xFFFFFFFFFFFFFFFF))

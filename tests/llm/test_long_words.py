@@ -1,0 +1,53 @@
+"""The cached reader of the language network against plain forward passes, long words included."""
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from scoreloom.llm import langid
+
+CHINESE = "语言识别网络按字节读取没有空格的文本并且为每个位置给出概率" * 9
+
+
+@pytest.fixture(scope="module")
+def network():
+    return langid.ByteNetwork(["de", "en", "zh"], seed=5)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.one_of(st.text(min_size=1, max_size=200).map(str.encode), st.binary(min_size=1, max_size=200)))
+def test_pieces_tile_a_word(word):
+    pieces = langid.pieces_of(word)
+    assert b"".join(p[a:b] for p, a, b in pieces) == word
+    assert all(0 <= a < b <= len(p) and b - a <= langid.LONGEST for p, a, b in pieces)
+    assert all(len(p) <= langid.LONGEST + 2 * langid.CONTEXT + 3 for p, _, _ in pieces)
+
+
+def test_pieces_hold_whole_characters():
+    for word in (CHINESE, "ä" * 100, "x" + "é" * 99, "😀" * 40):
+        pieces = langid.pieces_of(word.encode())
+        assert len(pieces) > 1
+        assert "".join(p.decode()[len(p[:a].decode()) : len(p[:b].decode())] for p, a, b in pieces) == word
+
+
+def test_reader_equals_forward_passes(network):
+    texts = ["plain words of a text", CHINESE, f"mixed {CHINESE} and more", "", "y" * 24, "z" * 25]
+    got = langid.Reader(network).read([t.encode() for t in texts])
+    for text, row in zip(texts, got, strict=True):
+        expected = np.zeros(7)
+        for word in text.encode().split():
+            for piece, first, last in langid.pieces_of(word):
+                p = network.positions(np.frombuffer(piece, np.uint8)[None])[0][first:last].astype(np.float64)
+                expected += [*p.sum(axis=0), *np.bincount(p.argmax(axis=1), minlength=3), last - first]
+        np.testing.assert_allclose(row, expected, atol=1e-3)
+        assert row[-1] == sum(len(w) for w in text.encode().split())
+
+
+def test_long_word_close_to_one_pass(network):
+    """Context on either side leaves little of the difference to reading the word in one go."""
+    word = CHINESE.encode()
+    whole = network.positions(np.frombuffer(word, np.uint8)[None])[0].sum(axis=0)
+    got = langid.Reader(network).read([word])[0][:3]
+    bare = sum(network.positions(np.frombuffer(p[a:b], np.uint8)[None])[0].sum(axis=0) for p, a, b in langid.pieces_of(word))
+    assert np.abs(got - whole).max() < 0.25 * np.abs(bare - whole).max()
