@@ -15,8 +15,9 @@ is one window as a whole; with fewer shingles than 0.75 of the item's it cannot
   is 22 with a deviation of 4.3.
 * *Verification.* Candidates are compared on their full shingle counts.
 
-The benchmark is taken in parts of at most ``PART`` items, each sent to the executors;
-the documents pass once per part and are never shuffled or grouped.
+The benchmark is taken in parts of about ``PART`` items or ``PART_BYTES`` of text, each sent to the executors.
+Up to ``CHAIN`` parts are compared in one pass over the documents; with more, the result is written and the parts are
+given up before the next ones are sent. Documents are never shuffled or grouped.
 
 Defined cases: a null or empty text is clean; null or empty items match nothing; rows
 repeating an item or a document are judged one by one; without items all is clean; further
@@ -36,12 +37,15 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from scoreloom.llm.common import ODD, among, bytes_of, gram_hashes, mix, text_hashes
+from scoreloom.staging import staged
 
 WORDS, SIMILARITY = 5, 0.75
 BITS, BLOCKS, BLOCK_RADIUS = 128, 16, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Items sent to the executors at once, and the size of an item's part in that limit.
-PART = 2_000
+PART, PART_BYTES = 2_000, 4 << 20
+#: Parts compared in one pass.
+CHAIN = 4
 #: Windows fingerprinted at once.
 WINDOWS = 4_096
 FOUND = "array<struct<item_id: bigint, from_word: bigint, n_words: bigint, similarity: double>>"
@@ -158,22 +162,31 @@ def _joined(runs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
 
 
 def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in parts of about ``PART`` items, by a hash of the text."""
+    """The benchmark in parts of about ``PART`` items or ``PART_BYTES``, by a hash of the text."""
     items = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text")
-    n = items.count()
-    parts = -(-n // PART)
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(-(-n // PART), -(-size // PART_BYTES))
     for k in range(parts):
         chosen = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
         yield sorted((r[0], r[1]) for r in chosen.collect())
 
 
 def search_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with a column ``found``: per item with a similar window, the best one."""
-    empty = F.array().cast(FOUND)
-    name = "found" if "found" not in docs.columns else "__found"
-    out = docs.withColumn(name, empty)
+    """``docs`` with one more column, last: per item with a similar window, the best one.
+
+    It is called ``found``, with as many underscores ahead as the columns of ``docs`` make necessary.
+    """
+    name = "found"
+    while name.lower() in [c.lower() for c in docs.columns]:
+        name = "_" + name
+    out, chained = docs.withColumn(name, F.array().cast(FOUND)), []
     for items in _parts(benchmark):
+        if len(chained) == CHAIN:
+            out = staged(out, "decontaminated")
+            while chained:
+                chained.pop().unpersist()
         sent = docs.sparkSession.sparkContext.broadcast(Items(items))
+        chained.append(sent)
         schema = T.StructType([*docs.schema.fields, T.StructField(name, T._parse_datatype_string(FOUND))])
         arrow = to_arrow_schema(schema)
 
