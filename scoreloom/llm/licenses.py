@@ -107,6 +107,7 @@ BINS = 1000
 FOUND = "doc_id long, found array<struct<family: string, paragraph: int, probability: double, similarity: double>>, unlike array<int>, windows long"
 _TOKEN = re.compile(rb"[a-z0-9]+(?:[.][a-z0-9]+)*|\n")
 _hashes = WordHashes()
+_LINE_END = _hashes[b"\n"]
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -114,24 +115,26 @@ def tokens(text: bytes) -> list[bytes]:
     return _TOKEN.findall(text.lower().replace(b"\r\n", b"\n").replace(b"\r", b"\n"))
 
 
-def paragraphs(text: bytes) -> tuple[list[bytes], np.ndarray]:
-    """The words of a text, and where paragraphs start and the last one ends."""
+def paragraphs(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words of a text, their hashes, and where paragraphs start and the last one ends."""
     found = tokens(text)
-    ends = np.fromiter((w == b"\n" for w in found), bool, len(found))
+    hashes = _hashes.of(found)
+    ends = hashes == _LINE_END
+    if ends.all():
+        return [], hashes[:0], np.zeros(1, np.int64)
     blank = np.zeros(len(found), bool)
-    blank[1:] = ends[1:] & ends[:-1]
+    np.logical_and(ends[1:], ends[:-1], out=blank[1:])
     of_word = np.cumsum(blank)[~ends]
-    words = [w for w in found if w != b"\n"]
-    return words, np.concatenate([[0], np.flatnonzero(np.diff(of_word)) + 1, [len(words)]]) if words else np.zeros(1, np.int64)
+    words = [w for w in found if w != b"\n"] if ends.any() else found
+    return words, hashes[~ends], np.concatenate([[0], np.flatnonzero(of_word[1:] != of_word[:-1]) + 1, [len(words)]])
 
 
 def grams(words: list[bytes], n: int = 3) -> set:
     return set(zip(*[words[k:] for k in range(n)], strict=False))
 
 
-def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of each word, and of each pair of neighbours."""
-    h = _hashes.of(words)
+def features(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of each word, given by its hash, and of each pair of neighbours."""
     limit = np.uint64(FEATURES - 1)
     return (mix(h) & limit).astype(np.int64), (mix(h[:-1] * ODD + h[1:]) & limit).astype(np.int64)
 
@@ -188,7 +191,7 @@ class Classifier:
 
     def probabilities(self, words: list[bytes]) -> np.ndarray:
         """Of one window, the plain way."""
-        single, pairs = features(words)
+        single, pairs = features(_hashes.of(words))
         e = self.weights[np.concatenate([single, pairs])].sum(axis=0, dtype=np.float64)
         e = e / np.sqrt(2 * len(words) - 1) + self.bias
         e = np.exp(e - e.max())
@@ -196,7 +199,7 @@ class Classifier:
 
     def train(self, samples: list[list[bytes]], labels: list[int], epochs: int = 6, rate: float = 0.1) -> None:
         rng = np.random.default_rng(5)
-        seen = [np.concatenate(features(s)) for s in samples]
+        seen = [np.concatenate(features(_hashes.of(s))) for s in samples]
         squares = np.full(self.weights.shape, 1e-2, np.float32)
         for _ in range(epochs):
             for k in rng.permutation(len(seen)):
@@ -211,33 +214,33 @@ class Classifier:
                 squares[f] += step * step
                 self.weights[f] -= rate * step / np.sqrt(squares[f])
 
-    def of_windows(self, words: list[bytes], at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    def of_windows(self, hashes: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
         """Probabilities of windows, by running sums over the words: a word is looked up once however many hold it."""
         out = np.empty((len(at), len(self.bias)))
-        for first in range(0, len(words), ROUND):
+        for first in range(0, len(hashes), ROUND):
             here = slice(*np.searchsorted(at, [first, first + ROUND]).tolist())
             if here.start == here.stop:
                 continue
-            part = words[first : int(to[here].max())]
-            single, pairs = features(part)
-            alone = self.weights[single].astype(np.float64)
-            sums = np.zeros((len(part) + 1, alone.shape[1]))
+            single, pairs = features(hashes[first : int(to[here].max())])
+            alone = self.weights[single]
+            sums = np.zeros((len(alone) + 1, alone.shape[1]))
             sums[1:] = alone
             sums[1:-1] += self.weights[pairs]
             np.cumsum(sums, axis=0, out=sums)
             a, b = at[here] - first, to[here] - first
             e = (sums[b - 1] - sums[a] + alone[b - 1]) / np.sqrt(2 * (b - a) - 1)[:, None] + self.bias
-            e = np.exp(e - e.max(axis=1, keepdims=True))
-            out[here] = e / e.sum(axis=1, keepdims=True)
+            e -= e.max(axis=1, keepdims=True)
+            np.exp(e, out=e)
+            np.divide(e, e.sum(axis=1, keepdims=True), out=out[here])
         return np.round(out, 6)
 
     def read(self, text: bytes | None) -> tuple[list[dict], list[int], int]:
         """The likeliest confirmed window of each family, the steps of unknown windows, and the number of windows."""
-        words, edges = paragraphs(text or b"")
+        words, hashes, edges = paragraphs(text or b"")
         if not words:
             return [], [], 0
         at, to, which = windows(edges)
-        p = self.of_windows(words, at, to)
+        p = self.of_windows(hashes, at, to)
         best: dict[str, dict] = {}
         unlike = []
         for k in np.flatnonzero(p[:, 1:].max(axis=1) >= FLOOR).tolist():
@@ -271,7 +274,7 @@ def _unknown_windows(docs: DataFrame, classifier: Classifier) -> list[list[bytes
         for batch in batches:
             out = []
             for place, text in zip(batch.column("p").to_pylist(), bytes_of(batch.column("text")), strict=True):
-                words, edges = paragraphs(text)
+                words, _, edges = paragraphs(text)
                 if place in seen or not words:
                     continue
                 seen.add(place)

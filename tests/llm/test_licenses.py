@@ -101,6 +101,6 @@ def test_threshold_counts_all_windows(spark):
 
 
 def test_paragraphs():
-    words, edges = licenses.paragraphs(b"\n\na b\nc\n * \nd\r\n\r\n\r\ne")
+    words, _, edges = licenses.paragraphs(b"\n\na b\nc\n * \nd\r\n\r\n\r\ne")
     assert words == [b"a", b"b", b"c", b"d", b"e"] and edges.tolist() == [0, 3, 4, 5]
     assert licenses.paragraphs(b" \n")[0] == [] and licenses.paragraphs(b"")[0] == []
