@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +19,10 @@ from scoreloom.staging import fresh_path
 
 #: States that the completions of a prompt are dealt over.
 PROMPT_PARTS = 8
-STATISTICS = "n long, mean double, squares double"
-RUNNING = f"comp_id long, prompt_id long, reward double, part int, {STATISTICS}"
+#: Neighbouring prompt ids whose statistics share a state, as a power of two: Python is called per state.
+BLOCK_BITS = 6
+STATISTICS = "slot array<int>, n array<long>, mean array<double>, squares array<double>"
+RUNNING = "comp_id long, prompt_id long, reward double, part int, n long, mean double, squares double"
 
 
 def read_stream(
@@ -134,29 +137,41 @@ def per_batch_to(
 
 
 def _running_statistics(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Arriving rewards of one part of a prompt with count, mean and squared deviations of all so far."""
-    n, mean, squares = state.get if state.exists else (0, 0.0, 0.0)
+    """Arriving rewards of one part of a block of prompts with count, mean and squared deviations of all so far."""
+    n, (mean, squares) = np.zeros(1 << BLOCK_BITS, "int64"), np.zeros((2, 1 << BLOCK_BITS))
+    if state.exists:
+        slots, *kept = state.get
+        n[slots], mean[slots], squares[slots] = kept
     for rows in batches:
-        rewards = rows["reward"].to_numpy(float)
-        if len(rewards):
-            own, both = rewards.mean(), n + len(rewards)
-            squares += ((rewards - own) ** 2).sum() + (own - mean) ** 2 * n * len(rewards) / both
-            mean += (own - mean) * len(rewards) / both
-            n = both
-        yield rows.assign(n=n, mean=mean, squares=squares)
-    state.update((n, float(mean), float(squares)))
+        slots, rewards = rows["slot"].to_numpy(), rows["reward"].to_numpy(float)
+        here, at = np.unique(slots, return_inverse=True)  # other prompts of the block stay as they are
+        before, own_n = n[here], np.bincount(at)
+        own, both = np.bincount(at, rewards) / own_n, before + own_n
+        apart = own - mean[here]
+        squares[here] += np.bincount(at, (rewards - own[at]) ** 2) + apart**2 * before * own_n / both
+        mean[here] += apart * own_n / both
+        n[here] = both
+        yield rows.drop(columns=["slot", "block"]).assign(n=n[slots], mean=mean[slots], squares=squares[slots])
+    known = np.flatnonzero(n)
+    state.update((known.tolist(), n[known].tolist(), mean[known].tolist(), squares[known].tolist()))
 
 
 def stream_advantage(scored: DataFrame, path: str, checkpoint: str, parts: int = PROMPT_PARTS):
     """Rewards of a stream with the statistics of their prompts, from which ``latest_advantages`` reads advantages.
 
-    The state store holds three numbers per part of a prompt, and a micro-batch reads and writes its own rows and
-    the state of the prompts it touches, however many came before. A prompt's completions are dealt over ``parts``
-    states by id, so that no task gets all rows of a hot one.
+    The state store holds three numbers per part of a prompt, those of a block of neighbouring prompts in one state,
+    and a micro-batch reads and writes its own rows and the blocks it touches, however many came before. A prompt's
+    completions are dealt over ``parts`` states by id, so that no task gets all rows of a hot one.
     """
-    part = F.pmod(F.xxhash64("comp_id"), F.lit(parts)).cast("int")
-    keyed = scored.select("comp_id", "prompt_id", "reward", part.alias("part"))
-    rows = keyed.groupBy("prompt_id", "part").applyInPandasWithState(
+    comp, prompt = F.col("comp_id"), F.col("prompt_id").cast("long")
+    # ids that are null have a part of their own: among others they would turn these into floats
+    part = F.when(comp.isNull(), F.lit(parts)).otherwise(F.pmod(F.xxhash64(comp), F.lit(parts))).cast("int")
+    slot = F.coalesce(prompt.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)), F.lit(0)).cast("int")
+    keyed = scored.select(
+        "comp_id", "prompt_id", "reward", part.alias("part"), slot.alias("slot"),
+        F.shiftright(prompt, BLOCK_BITS).alias("block"),
+    )
+    rows = keyed.groupBy("block", "part").applyInPandasWithState(
         _running_statistics, RUNNING, STATISTICS, "append", GroupStateTimeout.NoTimeout
     )
     return append_to(rows, path, checkpoint)

@@ -159,3 +159,23 @@ def test_rerun_adds_nothing(spark, folder):
         stream = jobs.score_stream(stream_of(spark, folder)).select("comp_id", "prompt_id", "reward")
         jobs.stream_advantage(stream, path, state)
     assert spark.read.parquet(path).count() == 57
+
+
+def test_neighbouring_prompts_share_states(spark, tmp_path):
+    """Python is called per state: far fewer than completions, and the advantages are those of the batch."""
+    path = str(tmp_path / "near")
+    for k in range(2):
+        made = [(8 * i + 2 * j + k, i - 100, "نص " * (i * j % 11)) for i in range(200) for j in range(4)]
+        made += [(None if j else (1 << 60) + k, p, "نص " * (j + k)) for p in (None, 5, 1 << 60) for j in range(3)]
+        df = spark.createDataFrame(made, "comp_id bigint, prompt_id bigint, completion string")
+        df.coalesce(1).write.mode("append").parquet(path)
+    score = lambda df: score_completions(df).select("comp_id", "prompt_id", "reward")
+    stream = score(jobs.read_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1))
+    out = fresh_path(spark, "near")
+    query = jobs.stream_advantage(stream, out, fresh_path(spark, "near-state"))
+    blocks = len({p >> jobs.BLOCK_BITS for p in range(-100, 100)}) + 2
+    updated = [p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(updated) == 2 and max(updated) <= blocks * (jobs.PROMPT_PARTS + 1)
+    columns = ["comp_id", "prompt_id", F.round("advantage", 9).alias("advantage")]
+    batch = group_advantage(score(spark.read.parquet(path)))
+    assert rows(jobs.latest_advantages(spark.read.parquet(out)).select(columns)) == rows(batch.select(columns))
