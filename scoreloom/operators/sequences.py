@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import pairwise
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from scoreloom.operators.numbering import number_blocks, number_rows
 from scoreloom.staging import staged
 
 SPECIALS = (K.END_OF_TEXT, K.TURN_START, K.TURN_END)
+#: Text that a plugged-in tokenizer gets at a time, beside the text that reaches it.
+BYTES_AT_ONCE = 1 << 20
 
 
 def build_vocab(
@@ -80,14 +85,19 @@ def tokenize_with(
 def batch_tokenizer(load: Callable[[], Callable[[list[str]], list[list[int]]]]) -> Callable[[Column], Column]:
     """A tokenizer for ``tokenize_with`` from one that takes lists of texts.
 
-    ``load`` runs once for all batches of a task, so that a model is not read again for each.
+    ``load`` runs once for all batches of a task, so that a model is not read again for each. A batch is
+    tokenized and given back in parts of about ``BYTES_AT_ONCE``, as lists of ids take many times their texts.
     """
 
-    @F.pandas_udf("array<bigint>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<bigint>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = load()
         for texts in batches:
-            yield pd.Series(encode(texts.fillna("").tolist()), index=texts.index, dtype=object)
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype="int64")
+            cuts = np.flatnonzero(np.diff(ends // BYTES_AT_ONCE)) + 1
+            for start, end in pairwise([0, *cuts.tolist(), len(texts)]):
+                part = [t or "" for t in texts[start:end].to_pylist()]
+                yield pa.array(encode(part), pa.list_(pa.int64()))
 
     return ids
 

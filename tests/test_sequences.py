@@ -203,6 +203,23 @@ def test_a_tokenizer_over_batches(spark):
     assert sequences.tokenize_with(rows.where("false"), tokenizer, "text").count() == 0
 
 
+def test_a_tokenizer_gets_parts_of_a_batch(spark):
+    """However many rows an Arrow batch has, about a million bytes of text are made into ids at a time."""
+
+    def load():
+        def encode(texts):
+            most = sum(len(t.encode()) for t in texts) <= sequences.BYTES_AT_ONCE + 40_000 or len(texts) == 1
+            return [[len(t), int(most)] for t in texts]
+
+        return encode
+
+    long = F.expr("CASE WHEN id % 50 = 7 THEN NULL WHEN id = 33 THEN repeat('a', 3000000) ELSE repeat('ن', CAST(id % 20000 AS INT)) END")
+    rows = spark.range(0, 400, 1, 1).select((F.col("id") * 37).alias("id")).select("id", long.alias("text"))
+    tokenized = sequences.tokenize_with(rows, sequences.batch_tokenizer(load), "text")
+    got = tokenized.select("id", "input_ids", F.coalesce(F.length("text"), F.lit(0)).alias("n")).collect()
+    assert len(got) == 400 and all(r["input_ids"] == [r["n"], 1] for r in got)
+
+
 def test_peek_and_kept_columns(spark):
     from scoreloom.operators import prepare
 
